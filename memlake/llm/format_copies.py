@@ -19,22 +19,34 @@ from memlake.llm import canon
 from memlake.runtime import Scratch, hot_safe_join
 
 
-def _canonical(batches):
-    for b in batches:
-        ks = [canon.keys(t) for t in b.column("content").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("raw"), b.column("n"), b.column("first_id"), pa.array([k[0] for k in ks], pa.binary()), pa.array([k[1] for k in ks], pa.binary())],
-            names=["raw", "n", "first_id", "seq_key", "field_key"],
-        )
+SCHEMA = "raw binary, n long, first_id long, seq_key binary, field_key binary"
 
 
-def copy_classes(df: DataFrame, id_col: str = "id", text_col: str = "content") -> tuple[DataFrame, DataFrame, int, Scratch]:
-    """(rows: id, raw), (survivors: raw, n, keep_id, copies) of the copy relation."""
+def _canonical(extra=None):
+    def run(batches):
+        for b in batches:
+            texts = b.column("content").to_pylist()
+            ks = [canon.keys(t) for t in texts]
+            columns = {"raw": b.column("raw"), "n": b.column("n"), "first_id": b.column("first_id")}
+            columns |= {"seq_key": pa.array([k[0] for k in ks], pa.binary()), "field_key": pa.array([k[1] for k in ks], pa.binary())}
+            if extra:
+                columns |= extra(texts)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def copy_classes(df: DataFrame, id_col: str = "id", text_col: str = "content", extra=None, extra_schema: str = "") -> tuple[DataFrame, DataFrame, int, Scratch]:
+    """(rows: id, raw), (survivors: raw, n, keep_id, copies) of the copy relation.
+
+    ``extra`` maps a list of texts to more Arrow columns, made in the same pass
+    and found in the scratch table ``canonical``.
+    """
     scratch = Scratch(df.sparkSession)
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     rows = base.select("id", F.unhex(F.md5("content")).alias("raw"))
     survivors = base.select(F.unhex(F.md5("content")).alias("raw"), "content", "id").groupBy("raw", "content").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    canonical = scratch.save(survivors.mapInArrow(_canonical, "raw binary, n long, first_id long, seq_key binary, field_key binary"), "canonical")
+    canonical = scratch.save(survivors.mapInArrow(_canonical(extra), SCHEMA + extra_schema), "canonical")
     # a text in an unreadable notation joins the labelled texts with the same runs
     by_seq = canonical.groupBy("seq_key").agg(F.min("field_key").alias("f"), F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
     by_seq = by_seq.withColumn("key", F.coalesce("f", "seq_key"))
