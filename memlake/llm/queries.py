@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from memlake.llm import components, format_copies, near_duplicates
+from memlake.llm import components, format_copies, near_duplicates, neighbours
 from memlake.runtime import table
 
 QUERIES = {
+    "p1_found": lambda s, d: neighbours.neighbours(table(s, d, "memory_embeddings")),
     "p3_found": lambda s, d: components.link_groups(table(s, d, "memory_graph"), table(s, d, "memories")),
     "p4_found": lambda s, d: near_duplicates.near_duplicates(table(s, d, "memories")),
     "p5_found": lambda s, d: format_copies.copies(table(s, d, "memories")),
