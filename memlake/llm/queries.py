@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memlake.llm import components, format_copies, near_duplicates, neighbours
+from memlake.llm import components, format_copies, near_duplicates, neighbours, pii
 from memlake.runtime import table
 
 QUERIES = {
@@ -10,6 +10,8 @@ QUERIES = {
     "p3_found": lambda s, d: components.link_groups(table(s, d, "memory_graph"), table(s, d, "memories")),
     "p4_found": lambda s, d: near_duplicates.near_duplicates(table(s, d, "memories")),
     "p5_found": lambda s, d: format_copies.copies(table(s, d, "memories")),
+    "p6_found": lambda s, d: pii.personal_information(table(s, d, "memories"), table(s, d, "given_names")),
+    "p6_redacted": lambda s, d: pii.redacted(table(s, d, "memories"), table(s, d, "given_names")),
     "p5_counts": lambda s, d: format_copies.copy_counts(table(s, d, "memories")),
 }
 
