@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from memlake.runtime import Scratch, hot_safe_join
 
-TABLES, CELL, MAX_BLOCK = 6, 2048, 8192
-LIST, PIVOTS, FLOOR = 10, 2, 0.70
+TABLES, CELL, MAX_BLOCK = 5, 2048, 8192
+LIST, PIVOTS, FLOOR = 8, 2, 0.70
 #: Lists of rows to leave out (24 bytes a row) and of large blocks are broadcast up to this many rows, else joined by shuffle.
 MAX_BROADCAST = 200_000
 
@@ -103,7 +103,7 @@ def _codes(dim, half: bool):
     return run
 
 
-def _compare(ids: np.ndarray, x: np.ndarray, k: int, floor: float) -> pa.Table:
+def _compare(ids: np.ndarray, x: np.ndarray, k: int, floor: float, decimals: int) -> pa.Table:
     """For each row its up to k most similar others, as (u, list of (d, v)) with d the negative similarity."""
     ids, first = np.unique(ids, return_index=True)
     x = x[first]
@@ -123,7 +123,7 @@ def _compare(ids: np.ndarray, x: np.ndarray, k: int, floor: float) -> pa.Table:
         us.append(ids[at : at + len(s)][has])
         ns.append(count[has])
         vs.append(ids[c])
-        ss.append(-np.round(np.minimum(val, 1), 6))
+        ss.append(-np.round(np.minimum(val, 1), decimals))
     n = np.concatenate(ns) if ns else np.empty(0, int)
     offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
     pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(ss).astype(np.float32) if ss else [], pa.float32()), pa.array(np.concatenate(vs) if vs else [], pa.int64())], names=["d", "v"])
@@ -134,7 +134,7 @@ def _block(dim, half: bool, k: int, floor: float):
     def run(key, t):
         raw = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float16 if half else np.int8).reshape(-1, dim).astype(np.float32)
         raw /= np.linalg.norm(raw, axis=1, keepdims=True)
-        return _compare(t.column("rowid").to_numpy(), raw, k, floor)
+        return _compare(t.column("rowid").to_numpy(), raw, k, floor, 6 if half else 3)
 
     return run
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from memlake.llm import components, format_copies, near_duplicates, neighbours, pii
-from memlake.runtime import table
+from memlake.llm import components, containers, format_copies, near_duplicates, neighbours, pii, tokens
+from memlake.runtime import Scratch, table
 
 QUERIES = {
     "p1_found": lambda s, d: neighbours.neighbours(table(s, d, "memory_embeddings")),
@@ -12,6 +12,9 @@ QUERIES = {
     "p5_found": lambda s, d: format_copies.copies(table(s, d, "memories")),
     "p6_found": lambda s, d: pii.personal_information(table(s, d, "memories"), table(s, d, "given_names")),
     "p6_redacted": lambda s, d: pii.redacted(table(s, d, "memories"), table(s, d, "given_names")),
+    "p8_ids": lambda s, d: tokens.encode(table(s, d, "documents")),
+    "p8_decoded": lambda s, d: tokens.decode(tokens.encode(table(s, d, "documents"))),
+    "p9_containers": lambda s, d: containers.fill(Scratch(s).save(tokens.token_counts(table(s, d, "documents")), "counts")),
     "p5_counts": lambda s, d: format_copies.copy_counts(table(s, d, "memories")),
 }
 
