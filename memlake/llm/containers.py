@@ -4,10 +4,10 @@ Items are dealt by a hash into blocks of about BLOCK items. In a block the
 least number of windows that could hold the items is tried: every item starts
 as a partial partition of its own, the two partial partitions with the largest
 imbalances are merged with opposing orders (largest window of the one with the
-smallest of the other) until one is left. If a window exceeds the capacity,
-the window count rises and the differencing is repeated, until a short repair
-(items of windows that are too full move to windows with room) gives a valid
-assignment. Blocks are independent tasks of bounded size.
+smallest of the other) until one is left. Windows that are full to at least
+the mean are closed, the items of the rest are dealt and differenced again,
+and the window count rises whenever the capacity stays exceeded. Blocks are
+independent tasks of bounded size.
 
 Defined results: texts without tokens have no rows; a text above the capacity
 is split into full containers and a rest, which is an item like the others;
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, BLOCK = 1024, 4096
+CAPACITY, BLOCK, PART, PATIENCE = 1024, 4096, 12, 12
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -73,49 +73,42 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return window
 
 
-def repair(sizes: np.ndarray, window: np.ndarray, k: int, capacity: int) -> np.ndarray | None:
-    """Move items out of windows above the capacity, or swap them for smaller ones, into room elsewhere; None if some stay above."""
-    window = window.copy()
-    load = np.bincount(window, weights=sizes, minlength=k).astype(np.int64)
-    todo = [int(w) for w in np.argsort(-load) if load[w] > capacity]
-    while todo:
-        w = todo.pop()
-        while load[w] > capacity:
-            over = load[w] - capacity
-            room = capacity - load
-            mine = np.flatnonzero(window == w)
-            has = room[window] > 0
-            # moving is swapping with nothing: an empty partner in every window
-            partner = np.concatenate([np.flatnonzero(has), len(sizes) + np.flatnonzero(room > 0)])
-            other = np.concatenate([sizes, np.zeros(k, np.int64)])[partner]
-            home = np.concatenate([window, np.arange(k)])[partner]
-            d = sizes[mine][:, None] - other[None, :]
-            left = room[home][None, :] - d
-            # relieve as much of the excess as there is, and leave the least room
-            gain = np.where((d > 0) & (left >= 0), np.minimum(d, over) * 4096 - np.minimum(left + np.maximum(d - over, 0), 4095), -1)
-            at = int(gain.argmax())
-            if gain.flat[at] < 0:
-                return None
-            i, p = mine[at // len(partner)], int(partner[at % len(partner)])
-            v = int(home[at % len(partner)])
-            change = int(d.flat[at])
-            window[i] = v
-            if p < len(sizes):
-                window[p] = w
-            load[w] -= change
-            load[v] += change
-    return window
-
-
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """A valid window of each item (each at most ``capacity``)."""
-    k = max(1, math.ceil(sizes.sum() / capacity), int((sizes * 2 > capacity).sum()))
-    while True:
-        window = differencing(sizes, k)
-        got = repair(sizes, window, k, capacity)
-        if got is not None:
-            return got
-        k += max(1, k // 500)
+    """A valid window of each item (each at most ``capacity``).
+
+    Windows that come out between the mean load and the capacity are closed;
+    the items of all others are dealt anew and differenced again. Where a few
+    rounds close nothing, the window count of the rest rises.
+    """
+    rng = np.random.default_rng(7)
+    window = np.full(len(sizes), -1, np.int64)
+    rest, closed, extra, idle = np.arange(len(sizes)), 0, 0, 0
+    while len(rest):
+        total = int(sizes[rest].sum())
+        k = max(1, math.ceil(total / capacity), int((sizes[rest] * 2 > capacity).sum())) + extra
+        parts = max(1, k // PART)
+        deal = rng.permutation(len(rest)) % parts
+        done = np.zeros(len(rest), bool)
+        valid = []
+        for part in range(parts):
+            mine = np.flatnonzero(deal == part)
+            s = sizes[rest[mine]]
+            w = differencing(s, max(1, math.ceil(s.sum() * k / total - 1e-9)) if parts > 1 else k)
+            load = np.bincount(w, weights=s)
+            valid.append((load.max() <= capacity, mine, w, load))
+        last = parts == 1 and valid[0][0]
+        for _, mine, w, load in valid:
+            good = (load <= capacity) & ((load * k >= total) | last) & (load > 0)
+            name = np.cumsum(good) - 1 + closed
+            take = good[w]
+            window[rest[mine[take]]] = name[w[take]]
+            done[mine[take]] = True
+            closed += int(good.sum())
+        rest = rest[~done]
+        idle = 0 if done.any() else idle + 1
+        if idle >= PATIENCE:
+            extra, idle = extra + 1, 0
+    return window
 
 
 def _pack(capacity: int):
