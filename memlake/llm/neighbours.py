@@ -201,7 +201,8 @@ def neighbours(df: DataFrame, k: int = 5, min_similarity: float = 0.80, dim: int
         degree = edges.groupBy("v").agg(F.count(F.lit(1)).alias("deg"))
         lists = edges.unionByName(graph.select("u", F.col("u").alias("v"))).join(degree, "v", "left").groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.coalesce("deg", F.lit(0))).alias("d"), "v"))), 1, PIVOTS).alias("p"))
         joins = scratch.save(lists.select(F.col("u").alias("rowid"), F.explode("p.v").alias("block")), f"joins{r}")
-        met = vectors(True).join(joins, "rowid")
+        # a hash join: the lists are far smaller than the vectors, which then needn't be sorted
+        met = vectors(True).join(joins.hint("shuffle_hash"), "rowid")
         local = _blocks(met, joins.groupBy("block").count(), f"large{r}", scratch).groupBy("block", "chunk").applyInArrow(_block(dim, True, LIST, floor), NEAR)
         # a pair met at half precision replaces the value of the 8-bit codes
         fine = local.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d", F.lit(1).alias("fine"))
