@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memlake.llm import components, containers, format_copies, near_duplicates, neighbours, pii, tokens
+from memlake.llm import components, containers, format_copies, fusion, near_duplicates, neighbours, pii, tokens
 from memlake.runtime import Scratch, table
 
 QUERIES = {
@@ -12,10 +12,30 @@ QUERIES = {
     "p5_found": lambda s, d: format_copies.copies(table(s, d, "memories")),
     "p6_found": lambda s, d: pii.personal_information(table(s, d, "memories"), table(s, d, "given_names")),
     "p6_redacted": lambda s, d: pii.redacted(table(s, d, "memories"), table(s, d, "given_names")),
+    "p7_found": lambda s, d: fusion.survivors(table(s, d, "duplicate_sets"), table(s, d, "memories")),
+    "p7_fused": lambda s, d: fusion.fuse(fusion.claims(table(s, d, "duplicate_sets"), table(s, d, "memories"))),
     "p8_ids": lambda s, d: tokens.encode(table(s, d, "documents")),
     "p8_decoded": lambda s, d: tokens.decode(tokens.encode(table(s, d, "documents"))),
     "p9_containers": lambda s, d: containers.fill(Scratch(s).save(tokens.token_counts(table(s, d, "documents")), "counts")),
     "p5_counts": lambda s, d: format_copies.copy_counts(table(s, d, "memories")),
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p7_found": """
+WITH m AS (
+  SELECT DISTINCT s.set_id, e.id,
+    CASE WHEN NOT isnan(e.strength) AND e.strength BETWEEN 0.3 AND 5.0 THEN e.strength END AS strength,
+    CASE WHEN isnan(e.updated_at) THEN NULL WHEN e.updated_at BETWEEN 1577836800 AND 1772323200 THEN e.updated_at
+         WHEN e.updated_at BETWEEN 1577836800000 AND 1772323200000 THEN e.updated_at / 1000 END AS upd,
+    CASE WHEN json_valid(e.metadata) AND json_type(CASE WHEN json_valid(e.metadata) THEN e.metadata END) = 'OBJECT' THEN e.metadata END AS j
+  FROM duplicate_sets s JOIN memories e ON e.id = s.memory_id),
+n AS (
+  SELECT set_id, id, strength, coalesce(upd, -1) AS t, upd, j,
+    CASE WHEN json_type(j, '$.credibility') IN ('BIGINT', 'UBIGINT', 'DOUBLE') AND CAST(j ->> '$.credibility' AS DOUBLE) BETWEEN 0 AND 1 THEN CAST(j ->> '$.credibility' AS DOUBLE) ELSE -1 END AS trust,
+    CASE WHEN j IS NOT NULL THEN len(list_filter(json_keys(j), lambda k: json_type(j, '$."' || k || '"') <> 'NULL' AND NOT (json_type(j, '$."' || k || '"') = 'VARCHAR' AND trim(j ->> ('$."' || k || '"'), ' ' || chr(9) || chr(10) || chr(13)) = ''))) END AS filled
+  FROM m)
+SELECT set_id, 'strength' AS field_name, id AS winner_id FROM n WHERE strength IS NOT NULL QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY trust DESC, t DESC, id) = 1
+UNION ALL SELECT set_id, 'updated_at', id FROM n WHERE upd IS NOT NULL QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY upd DESC, id) = 1
+UNION ALL SELECT set_id, 'metadata', id FROM n WHERE j IS NOT NULL QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY filled DESC, t DESC, id) = 1
+""",
+}
