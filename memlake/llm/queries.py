@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memlake.llm import components, containers, format_copies, fusion, near_duplicates, neighbours, pii, tokens
+from memlake.llm import components, containers, format_copies, fusion, near_duplicates, neighbours, pii, subjects, tokens
 from memlake.runtime import Scratch, table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "p8_ids": lambda s, d: tokens.encode(table(s, d, "documents")),
     "p8_decoded": lambda s, d: tokens.decode(tokens.encode(table(s, d, "documents"))),
     "p9_containers": lambda s, d: containers.fill(Scratch(s).save(tokens.token_counts(table(s, d, "documents")), "counts")),
+    "p10_found": lambda s, d: subjects.classify(table(s, d, "documents"), table(s, d, "subject_areas"), table(s, d, "subject_labels")),
     "p5_counts": lambda s, d: format_copies.copy_counts(table(s, d, "memories")),
 }
 

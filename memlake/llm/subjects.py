@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from memlake.runtime import Scratch
 
-BUCKETS, DIM, SHARDS, ROUNDS, STEPS = 1 << 15, 24, 8, 10, 8
-MAX_LABELED, SMOOTH, COUNTERS = 40_000, 3e-4, 1 << 18
+BUCKETS, DIM, SHARDS, ROUNDS, STEPS, SCALE = 1 << 15, 24, 8, 4, 5, 4.0
+MAX_LABELED, SMOOTH, COUNTERS, THRESHOLD = 40_000, 3e-4, 1 << 18, 0.3
 WORD = re.compile(r"[^\W\d_]{3,24}")
 
 
@@ -118,11 +118,95 @@ def train(corpus: Corpus, y: np.ndarray, params, steps: int = STEPS, rate: float
     return params
 
 
-SCALE = 4.0
-
-
 def predict(corpus: Corpus, params) -> np.ndarray:
     table, out, bias = params
     p = 1 / (1 + np.exp(-(corpus.vectors(table) * SCALE @ out + bias)))
     p[corpus.empty] = 0
     return p
+
+
+def _count(batches):
+    counts = np.zeros(COUNTERS, np.int64)
+    for b in batches:
+        hashed = [_hash(w) % COUNTERS for t in b.column("text").to_pylist() for w in words(t)]
+        counts += np.bincount(np.array(hashed, np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_pydict({"counter": pa.array(at, pa.int32()), "n": pa.array(counts[at], pa.int64())})
+
+
+def _pack(params) -> bytes:
+    return b"".join(p.astype(np.float32).tobytes() for p in params)
+
+
+def _unpack(raw: bytes, outputs: int):
+    flat = np.frombuffer(raw, np.float32).astype(np.float64)
+    a, b = BUCKETS * DIM, BUCKETS * DIM + DIM * outputs
+    return flat[:a].reshape(BUCKETS, DIM), flat[a:b].reshape(DIM, outputs), flat[b:]
+
+
+def _step(shared, rate: float, m: int):
+    def step(t):
+        raw, freq = shared.value
+        y = np.zeros((t.num_rows, m))
+        for i, ys in enumerate(t.column("ys").to_pylist()):
+            y[i, ys] = 1
+        start = _unpack(raw, m)
+        end = train(Corpus(t.column("text").to_pylist(), freq), y, start, STEPS, rate)
+        return pa.table({"n": pa.array([t.num_rows], pa.int64()), "delta": pa.array([_pack([a - b for a, b in zip(end, start)])], pa.binary())})
+
+    return step
+
+
+def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = ROUNDS):
+    """(parameters, word frequencies): trained on labels (doc_id, subject) of docs (doc_id, text); None without labels."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    frequency = np.zeros(COUNTERS)
+    # at most COUNTERS rows, whatever the input
+    for r in docs.filter("text is not null").select("text").mapInArrow(_count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
+        frequency[r[0]] = r[1]
+    frequency /= max(1.0, frequency.sum())
+    names = F.create_map(*[x for k, s in enumerate(subjects) for x in (F.lit(s.strip().lower()), F.lit(k))])
+    known = labels.select("doc_id", names[F.lower(F.trim("subject"))].alias("k")).dropna().groupBy("doc_id").agg(F.collect_set("k").alias("ys"))
+    rows = known.join(docs.filter(F.length("text") > 0).select("doc_id", "text"), "doc_id")
+    n = known.count()
+    if not n:
+        return None
+    if n > MAX_LABELED:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_LABELED / n))
+    sample = scratch.save(rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SHARDS)).cast("int")), "sample")
+    params, m = initial(len(subjects)), len(subjects)
+    for r in range(rounds):
+        shared = spark.sparkContext.broadcast((_pack(params), frequency))
+        rate = 0.05 * (1 - 0.5 * r / rounds)
+
+        moved = sample.groupBy("shard").applyInArrow(_step(shared, rate, m), "n long, delta binary").collect()
+        total = sum(x[0] for x in moved)
+        if total:
+            params = [p + sum(x[0] / total * d for x, d in zip(moved, ds)) for p, ds in zip(params, zip(*[_unpack(bytes(x[1]), m) for x in moved]))]
+        shared.unpersist()
+    return params, frequency
+
+
+def classify(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, subject): every document with each subject that it is about."""
+    spark = docs.sparkSession
+    subjects = [r[0] for r in areas.filter("subject is not null").groupBy("subject").agg(F.min("subject_id").alias("k")).orderBy("k", "subject").limit(1000).collect()]
+    docs = docs.select("doc_id", "text")
+    model = fit(docs, labels, subjects) if subjects else None
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if model is None:
+        return docs.limit(0).select("doc_id", F.lit("").alias("subject"))
+    shared = spark.sparkContext.broadcast((_pack(model[0]), model[1]))
+
+    def score(batches):
+        raw, freq = shared.value
+        params = _unpack(raw, len(subjects))
+        for big in batches:
+            for at in range(0, big.num_rows, 500):
+                b = big.slice(at, 500)
+                p = predict(Corpus(b.column("text").to_pylist(), freq), params)
+                i, k = np.nonzero(p >= THRESHOLD)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(i)), pa.array([subjects[x] for x in k], pa.string())], names=["doc_id", "subject"])
+
+    return docs.filter(F.length("text") > 0).mapInArrow(score, f"doc_id {kind}, subject string")
