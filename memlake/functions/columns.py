@@ -47,7 +47,7 @@ def type_not_in(*types: str) -> Column:
 
 def tag_array(c: Column | None = None) -> Column:
     c = F.col("tags") if c is None else c
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: strip(x)), lambda x: x != "")
 
 
 def has_tag(tag: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packed",)
+MODULES = ("packed", "scan", "aggregates")
 
 
 def _merged(name: str) -> dict:
