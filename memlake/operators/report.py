@@ -128,3 +128,19 @@ def health_score(empty_rate: Column, p95_ms: Column, sufficiency_pct: Column, du
     lat = F.when(p95_ms <= 500, 1.0).otherwise(F.greatest(1 - (p95_ms - 500) / 2000, F.lit(0.0)))
     dup = 1 - F.least(duplicate_groups / 20.0, F.lit(1.0))
     return F.round(100 * (0.2 * (1 - empty_rate) + 0.2 * lat + 0.2 * sufficiency_pct / 100 + 0.15 * dup + 0.1 * (1 - orphan_pct / 100) + 0.15 * coverage_pct / 100), 2)
+
+
+def health(memories: DataFrame, edges: DataFrame, vectors: DataFrame, usage: DataFrame) -> DataFrame:
+    """One row of the health report: its measures and the score."""
+    from memlake.operators.graph import orphans
+
+    empty = usage.agg(F.coalesce(F.avg(F.when(F.col("action_name") == "search", F.col("empty_result").cast("int"))), F.lit(0.0)).alias("empty_rate"))
+    p95 = percentiles(usage.filter("latency_ms >= 0").withColumn("all", F.lit(1)), "all", "latency_ms").select(F.col("p95").alias("p95_ms"))
+    enough = sufficiency(usage).select(F.col("percent").alias("sufficiency_pct"))
+    dup = memories.filter(C.active()).groupBy(F.substring("content", 1, 100)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.count(F.lit(1)).alias("duplicate_groups"))
+    bad = orphans(edges, memories.filter(C.active()).select(F.col("content_hash").alias("hash"))).agg(F.count(F.lit(1)).alias("orphans")).crossJoin(edges.agg(F.count(F.lit(1)).alias("n")))
+    bad = bad.select(F.coalesce(F.round(F.try_divide(100.0 * F.col("orphans"), F.col("n")), 6), F.lit(0.0)).alias("orphan_pct"))
+    cover = coverage(memories, vectors, C.NOW).select(F.coalesce("percent", F.lit(0.0)).alias("coverage_pct"))
+    row = empty.crossJoin(p95).crossJoin(enough).crossJoin(dup).crossJoin(bad).crossJoin(cover)
+    cols = [F.col(c) for c in ("empty_rate", "p95_ms", "sufficiency_pct", "duplicate_groups", "orphan_pct", "coverage_pct")]
+    return row.withColumn("score", health_score(*cols))

@@ -62,7 +62,7 @@ add(
 add(
     "AG07_strength_histogram",
     lambda s, d: R.histogram(mem(s, d).filter(C.active()), C.number(F.col("strength")), 0.5, 10),
-    f"SELECT CAST(b AS INTEGER) AS bin, count(x) AS n FROM range(10) r(b) LEFT JOIN (SELECT least(greatest(CAST(trunc({S.num('strength')} / 0.5) AS BIGINT), 0), 9) AS x FROM memories WHERE {S.ACTIVE}) ON x = b GROUP BY 1",
+    f"SELECT CAST(b AS INTEGER) AS bin, count(x) AS n FROM range(10) r(b) LEFT JOIN (SELECT least(greatest(CAST(trunc({S.num('strength')} / 0.5) AS BIGINT), 0), 9) AS x FROM memories WHERE {S.ACTIVE} AND {S.num('strength')} IS NOT NULL) ON x = b GROUP BY 1",
 )
 add("AG08_tag_cloud", lambda s, d: R.tag_cloud(mem(s, d).filter(C.active())), f"SELECT tag, count(*) AS n FROM (SELECT unnest({S.TAGS}) AS tag FROM memories WHERE {S.ACTIVE}) GROUP BY 1 ORDER BY n DESC, tag LIMIT 50")
 add(
