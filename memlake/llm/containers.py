@@ -130,5 +130,6 @@ def fill(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
     full = pieces.filter(F.col("n") == capacity).select("doc_id", "piece", F.col("n").alias("n_tokens"), F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("container_id"))
     rest = pieces.filter(F.col("n") < capacity)
     blocks = max(1, round(rest.count() / BLOCK))
-    packed = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks))).groupBy("block").applyInArrow(_pack(capacity), f"doc_id {kind}, piece int, n_tokens int, container_id string")
+    # the rows are few and the work is not: a given number of partitions isn't merged by adaptive execution
+    packed = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks))).repartition(min(blocks, 10_000), "block").groupBy("block").applyInArrow(_pack(capacity), f"doc_id {kind}, piece int, n_tokens int, container_id string")
     return full.unionByName(packed)

@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = R
         shared = spark.sparkContext.broadcast((_pack(params), frequency))
         rate = 0.05 * (1 - 0.5 * r / rounds)
 
-        moved = sample.groupBy("shard").applyInArrow(_step(shared, rate, m), "n long, delta binary").collect()
+        moved = sample.repartition(SHARDS, "shard").groupBy("shard").applyInArrow(_step(shared, rate, m), "n long, delta binary").collect()
         total = sum(x[0] for x in moved)
         if total:
             params = [p + sum(x[0] / total * d for x, d in zip(moved, ds)) for p, ds in zip(params, zip(*[_unpack(bytes(x[1]), m) for x in moved]))]
