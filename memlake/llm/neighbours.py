@@ -243,3 +243,65 @@ def _with_twins(found: DataFrame, keys: DataFrame, twins: DataFrame, total: int,
     alone = lists.join(twins.select(F.col("rep").alias("u")).distinct(), "u", "left_anti")
     both = members.select(F.col("rowid").alias("u"), "near").unionByName(alone)
     return both.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d").filter("u <> v")
+
+
+def graph_search(df: DataFrame, queries: DataFrame, k: int = 5, dim: int = 96, id_col: str = "rowid", vector_col: str = "content_embedding", entries: int = 1024, beam: int = 24, hops: int = 4) -> DataFrame:
+    """(rowid, neighbor_rowid, similarity): the k most similar stored vectors of each query vector, by greedy graph search.
+
+    The graph is the neighbour graph of ``df`` without a floor. A query starts
+    at its nearest of ``entries`` stored vectors (a sample by hash, of fixed
+    size), and in each hop a Spark join fetches the lists of its ``beam`` best
+    vectors so far; their vectors are joined by id and compared. The query's
+    own id is left out.
+    """
+    scratch = Scratch(df.sparkSession)
+    source = df.select(F.col(id_col).cast("long").alias("rowid"), F.col(vector_col).alias("v"))
+    coded = scratch.save(source.mapInArrow(_codes(dim, True), "rowid long, h binary, v binary").groupBy("rowid").agg(F.min(F.struct("h", "v")).alias("m")).select("rowid", "m.v"), "coded")
+    graph = scratch.save(_seed_graph(coded, dim, scratch), "links")
+    q = queries.select(F.col(id_col).cast("long").alias("rowid"), F.col(vector_col).alias("v")).mapInArrow(_codes(dim, True), "rowid long, h binary, v binary")
+    q = scratch.save(q.groupBy("rowid").agg(F.min("v").alias("q")), "queries")
+    start = coded.orderBy(F.xxhash64("rowid"), "rowid").limit(entries).collect()
+    ids = np.array([r[0] for r in start], np.int64)
+    x = np.stack([np.frombuffer(r[1], np.float16) for r in start]).astype(np.float32) if start else np.empty((0, dim), np.float32)
+
+    def enter(batches):
+        for b in batches:
+            qs = np.frombuffer(b"".join(b.column("q").to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+            best = np.argsort(-(qs @ x.T), axis=1)[:, :8] if len(x) else np.empty((len(qs), 0), int)
+            yield pa.RecordBatch.from_pydict({"rowid": pa.array(np.repeat(b.column("rowid").to_numpy(), best.shape[1]), pa.int64()), "c": pa.array(ids[best.ravel()] if len(x) else [], pa.int64())})
+
+    pool = _scored(q.mapInArrow(enter, "rowid long, c long").distinct(), q, coded, dim)
+    for h in range(hops):
+        pool = scratch.save(pool, f"pool{h}")
+        best = pool.withColumn("r", F.row_number().over(Window.partitionBy("rowid").orderBy(F.desc("s"), "c"))).filter(F.col("r") <= beam)
+        reach = best.join(graph.withColumnRenamed("u", "c"), "c").select("rowid", F.explode("near.v").alias("c")).distinct()
+        pool = pool.unionByName(_scored(reach.join(pool.select("rowid", "c"), ["rowid", "c"], "left_anti"), q, coded, dim))
+    rank = F.row_number().over(Window.partitionBy("rowid").orderBy(F.desc("s"), "c"))
+    found = pool.filter("rowid <> c").withColumn("r", rank).filter(F.col("r") <= k)
+    return found.select("rowid", F.col("c").alias("neighbor_rowid"), F.round("s", 5).alias("similarity"))
+
+
+def _seed_graph(coded: DataFrame, dim: int, scratch: Scratch) -> DataFrame:
+    """(u, near): lists without a floor, both ways, from random cells of saved half-precision codes."""
+    cells = max(1, math.ceil(coded.count() / CELL))
+
+    def spread(batches):
+        for b in batches:
+            u = np.frombuffer(b"".join(b.column("v").to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+            take = pa.array(np.repeat(np.arange(len(u)), TABLES))
+            yield pa.RecordBatch.from_arrays([c.take(take) for c in b.columns] + [pa.array(_cells(u, cells, dim).ravel())], names=["rowid", "v", "block"])
+
+    rows = scratch.save(coded.mapInArrow(spread, "rowid long, v binary, block long"), "cells")
+    near = _merge(_blocks(rows, rows.groupBy("block").count(), "large-cells", scratch).groupBy("block", "chunk").applyInArrow(_block(dim, True, LIST, -0.999), NEAR), LIST)
+    back = near.select("u", F.explode("near").alias("e")).select(F.col("e.v").alias("u"), F.array(F.struct(F.col("e.d").alias("d"), F.col("u").alias("v"))).alias("near"))
+    return _merge(near.unionByName(back), 2 * LIST)
+
+
+def _scored(pairs: DataFrame, q: DataFrame, coded: DataFrame, dim: int) -> DataFrame:
+    def compare(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32) for c in ("q", "v"))
+            yield pa.RecordBatch.from_arrays([b.column("rowid"), b.column("c"), pa.array((x * y).sum(axis=1).astype(np.float64))], names=["rowid", "c", "s"])
+
+    joined = pairs.join(q, "rowid").join(coded.select(F.col("rowid").alias("c"), "v"), "c").select("rowid", "c", "q", "v")
+    return joined.mapInArrow(compare, "rowid long, c long, s double")

@@ -7,6 +7,7 @@ from memlake.runtime import Scratch, table
 
 QUERIES = {
     "p1_found": lambda s, d: neighbours.neighbours(table(s, d, "memory_embeddings")),
+    "p1_search": lambda s, d: (lambda t: neighbours.graph_search(t, t.filter("rowid % 20 = 0")))(table(s, d, "memory_embeddings")),
     "p3_found": lambda s, d: components.link_groups(table(s, d, "memory_graph"), table(s, d, "memories")),
     "p4_found": lambda s, d: near_duplicates.near_duplicates(table(s, d, "memories")),
     "p5_found": lambda s, d: format_copies.copies(table(s, d, "memories")),
