@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from memlake.runtime import Scratch, hot_safe_join
 
-TABLES, CELL, MAX_BLOCK = 5, 2048, 8192
+TABLES, CELL, MAX_BLOCK = 6, 2048, 8192
 LIST, PIVOTS, FLOOR = 8, 2, 0.70
 #: Lists of rows to leave out (24 bytes a row) and of large blocks are broadcast up to this many rows, else joined by shuffle.
 MAX_BROADCAST = 200_000
@@ -111,7 +111,13 @@ def _compare(ids: np.ndarray, x: np.ndarray, k: int, floor: float, decimals: int
     for at in range(0, len(ids), 1024):
         s = x[at : at + 1024] @ x.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -1
-        r, c = np.nonzero(s >= floor)
+        if floor > 0 or len(ids) <= 2 * k:
+            r, c = np.nonzero(s >= floor)
+        else:
+            # without a telling floor: the best k of each row before any sorting
+            c = np.argpartition(-s, k, axis=1)[:, :k].ravel()
+            r = np.repeat(np.arange(len(s)), k)
+            r, c = r[s[r, c] >= floor], c[s[r, c] >= floor]
         val = s[r, c]
         order = np.lexsort((ids[c], -val, r))
         r, c, val = r[order], c[order], val[order]
@@ -245,8 +251,8 @@ def _with_twins(found: DataFrame, keys: DataFrame, twins: DataFrame, total: int,
     return both.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d").filter("u <> v")
 
 
-def graph_search(df: DataFrame, queries: DataFrame, k: int = 5, dim: int = 96, id_col: str = "rowid", vector_col: str = "content_embedding", entries: int = 1024, beam: int = 24, hops: int = 4) -> DataFrame:
-    """(rowid, neighbor_rowid, similarity): the k most similar stored vectors of each query vector, by greedy graph search.
+def graph_search(df: DataFrame, queries: DataFrame, k: int = 5, dim: int = 96, id_col: str = "rowid", vector_col: str = "content_embedding", entries: int = 16384, beam: int = 32, hops: int = 5, min_similarity: float = 0.80) -> DataFrame:
+    """(rowid, neighbor_rowid, similarity): the k most similar stored vectors of at least ``min_similarity`` of each query vector, by greedy graph search.
 
     The graph is the neighbour graph of ``df`` without a floor. A query starts
     at its nearest of ``entries`` stored vectors (a sample by hash, of fixed
@@ -267,7 +273,7 @@ def graph_search(df: DataFrame, queries: DataFrame, k: int = 5, dim: int = 96, i
     def enter(batches):
         for b in batches:
             qs = np.frombuffer(b"".join(b.column("q").to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
-            best = np.argsort(-(qs @ x.T), axis=1)[:, :8] if len(x) else np.empty((len(qs), 0), int)
+            best = np.argsort(-(qs @ x.T), axis=1)[:, :16] if len(x) else np.empty((len(qs), 0), int)
             yield pa.RecordBatch.from_pydict({"rowid": pa.array(np.repeat(b.column("rowid").to_numpy(), best.shape[1]), pa.int64()), "c": pa.array(ids[best.ravel()] if len(x) else [], pa.int64())})
 
     pool = _scored(q.mapInArrow(enter, "rowid long, c long").distinct(), q, coded, dim)
@@ -277,7 +283,7 @@ def graph_search(df: DataFrame, queries: DataFrame, k: int = 5, dim: int = 96, i
         reach = best.join(graph.withColumnRenamed("u", "c"), "c").select("rowid", F.explode("near.v").alias("c")).distinct()
         pool = pool.unionByName(_scored(reach.join(pool.select("rowid", "c"), ["rowid", "c"], "left_anti"), q, coded, dim))
     rank = F.row_number().over(Window.partitionBy("rowid").orderBy(F.desc("s"), "c"))
-    found = pool.filter("rowid <> c").withColumn("r", rank).filter(F.col("r") <= k)
+    found = pool.filter((F.col("rowid") != F.col("c")) & (F.col("s") >= min_similarity)).withColumn("r", rank).filter(F.col("r") <= k)
     return found.select("rowid", F.col("c").alias("neighbor_rowid"), F.round("s", 5).alias("similarity"))
 
 

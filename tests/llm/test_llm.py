@@ -68,7 +68,7 @@ def test_graph_search(spark):
     x = rng.normal(size=(400, 96)) * 0.4 + rng.normal(size=(20, 96))[np.arange(400) % 20]
     df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "rowid long, content_embedding array<float>")
     got = {}
-    for r in neighbours.graph_search(df, df.filter("rowid % 20 = 0"), k=5).collect():
+    for r in neighbours.graph_search(df, df.filter("rowid % 20 = 0"), k=5, min_similarity=-1.0).collect():
         got.setdefault(r.rowid, []).append(r.neighbor_rowid)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = total = 0
