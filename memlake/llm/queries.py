@@ -39,5 +39,16 @@ n AS (
 SELECT set_id, 'strength' AS field_name, id AS winner_id FROM n WHERE strength IS NOT NULL QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY trust DESC, t DESC, id) = 1
 UNION ALL SELECT set_id, 'updated_at', id FROM n WHERE upd IS NOT NULL QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY upd DESC, id) = 1
 UNION ALL SELECT set_id, 'metadata', id FROM n WHERE j IS NOT NULL QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY filled DESC, t DESC, id) = 1
+""",
+    "p3_found": r"""
+WITH RECURSIVE c AS (SELECT lower(regexp_replace(h, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS h FROM (SELECT source_hash AS h FROM memory_graph UNION ALL SELECT target_hash FROM memory_graph UNION ALL SELECT content_hash FROM memories)),
+known AS (SELECT DISTINCT regexp_replace(h, '^sha256:\s*', '') AS h FROM c WHERE h IS NOT NULL),
+full_of AS MATERIALIZED (SELECT h, h AS f FROM known WHERE regexp_full_match(h, '[0-9a-f]{64}') UNION ALL SELECT s.h, min(k.h) FROM known s JOIN known k ON regexp_full_match(s.h, '[0-9a-f]{12}') AND regexp_full_match(k.h, '[0-9a-f]{64}') AND substr(k.h, 1, 12) = s.h GROUP BY 1 HAVING count(*) = 1),
+g AS (SELECT regexp_replace(lower(regexp_replace(source_hash, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), '^sha256:\s*', '') AS s, regexp_replace(lower(regexp_replace(target_hash, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), '^sha256:\s*', '') AS t
+  FROM memory_graph WHERE lower(regexp_replace(relationship_type, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) IN ('related', 'supports') AND similarity >= 0.80 AND NOT isnan(similarity)),
+p AS MATERIALIZED (SELECT DISTINCT a.f AS a, b.f AS b FROM g JOIN full_of a ON a.h = s JOIN full_of b ON b.h = t WHERE a.f <> b.f),
+e AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(node, other) AS (SELECT a, b FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a)
+SELECT node AS content_hash, least(node, min(other)) AS group_hash FROM r GROUP BY 1
 """,
 }
