@@ -103,10 +103,14 @@ def _codes(dim, half: bool):
     return run
 
 
-def _compare(ids: np.ndarray, x: np.ndarray, k: int, floor: float, decimals: int) -> pa.Table:
-    """For each row its up to k most similar others, as (u, list of (d, v)) with d the negative similarity."""
-    ids, first = np.unique(ids, return_index=True)
-    x = x[first]
+def _compare(ids: np.ndarray, x: np.ndarray, k: int, floor: float, decimals: int):
+    """For each row of a block its up to k most similar others: (rows, list lengths, others, negative similarities)."""
+    if len(ids) > 1:
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        if (ids[1:] == ids[:-1]).any():
+            first = np.concatenate([[True], ids[1:] != ids[:-1]])
+            ids, x = ids[first], x[first]
     us, ns, vs, ss = [], [], [], []
     for at in range(0, len(ids), 1024):
         s = x[at : at + 1024] @ x.T
@@ -118,33 +122,72 @@ def _compare(ids: np.ndarray, x: np.ndarray, k: int, floor: float, decimals: int
             c = np.argpartition(-s, k, axis=1)[:, :k].ravel()
             r = np.repeat(np.arange(len(s)), k)
             r, c = r[s[r, c] >= floor], c[s[r, c] >= floor]
+        if not len(r):
+            continue
         val = s[r, c]
-        order = np.lexsort((ids[c], -val, r))
+        # columns are in rising order of id, and the sort is stable
+        order = np.lexsort((-val, r)) if floor > 0 else np.lexsort((ids[c], -val, r))
         r, c, val = r[order], c[order], val[order]
-        start = np.searchsorted(r, np.arange(len(s)))
-        keep = np.arange(len(r)) - start[r] < k
-        r, c, val = r[keep], c[keep], val[keep]
         count = np.bincount(r, minlength=len(s))
+        if count.max() > k:
+            keep = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count) < k
+            c, val, count = c[keep], val[keep], np.minimum(count, k)
         has = count > 0
         us.append(ids[at : at + len(s)][has])
         ns.append(count[has])
         vs.append(ids[c])
         ss.append(-np.round(np.minimum(val, 1), decimals))
-    n = np.concatenate(ns) if ns else np.empty(0, int)
+    return us, ns, vs, ss
+
+
+def _lists(found) -> pa.RecordBatch:
+    """One batch (u, near) of the results of many blocks."""
+    found = list(found)
+    us, ns, vs, ss = ([a for f in found for a in f[k]] for k in range(4))
+    n = np.concatenate(ns) if ns else np.empty(0, np.int64)
     offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
     pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(ss).astype(np.float32) if ss else [], pa.float32()), pa.array(np.concatenate(vs) if vs else [], pa.int64())], names=["d", "v"])
-    return pa.table({"u": pa.array(np.concatenate(us) if us else [], pa.int64()), "near": pa.ListArray.from_arrays(pa.array(offsets), pairs)})
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us) if us else [], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["u", "near"])
+
 
+def _sweep(dim, half: bool, k: int, floor: float):
+    """Rows sorted by (block, chunk) to lists: blocks are taken as they end, many to an Arrow batch (local joins are mostly of a few rows)."""
 
-def _block(dim, half: bool, k: int, floor: float):
-    def run(key, t):
-        raw = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float16 if half else np.int8).reshape(-1, dim).astype(np.float32)
-        raw /= np.linalg.norm(raw, axis=1, keepdims=True)
-        return _compare(t.column("rowid").to_numpy(), raw, k, floor, 6 if half else 3)
+    def run(batches):
+        kept: list = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = np.frombuffer(b"".join(b.column("v").to_pylist()), np.float16 if half else np.int8).reshape(-1, dim)
+            rows = (b.column("rowid").to_numpy(), b.column("block").to_numpy(), b.column("chunk").to_numpy(), code)
+            if kept:
+                rows = tuple(np.concatenate([a, c]) for a, c in zip(kept, rows))
+            ids, block, chunk, code = rows
+            ends = np.flatnonzero((block[1:] != block[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+            last = int(ends[-1]) if len(ends) else 0
+            yield _lists(_blocks_of(ids[:last], code[:last], ends, k, floor, half))
+            kept = [a[last:] for a in rows]
+        if kept:
+            ids, _, _, code = kept
+            yield _lists(_blocks_of(ids, code, np.array([len(ids)]), k, floor, half))
 
     return run
 
 
+def _blocks_of(ids, code, ends, k, floor, half):
+    x = code.astype(np.float32)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] if len(x) else 1
+    start = 0
+    for end in ends:
+        if end - start > 1:
+            yield _compare(ids[start:end], x[start:end], k, floor, 6 if half else 3)
+        start = end
+
+
+def _joined(rows: DataFrame, dim: int, half: bool, k: int, floor: float) -> DataFrame:
+    return rows.select("rowid", "block", "chunk", "v").repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(_sweep(dim, half, k, floor), NEAR)
+
+
 NEAR = "u long, near array<struct<d:float,v:long>>"
 
 
@@ -200,7 +243,7 @@ def neighbours(df: DataFrame, k: int = 5, min_similarity: float = 0.80, dim: int
         spread = spread.join(conflicts, "rowid", "left").filter("right is null or h = right").drop("right")
     if left_out is not None:
         spread = spread.join(left_out, "rowid", "left_anti")
-    seeded = _blocks(spread.drop("h"), sizes, "large", scratch).groupBy("block", "chunk").applyInArrow(_block(dim, False, LIST, floor - 0.02), NEAR)
+    seeded = _joined(_blocks(spread.drop("h"), sizes, "large", scratch), dim, False, LIST, floor - 0.02)
     graph = scratch.save(_merge(seeded, LIST), "graph0")
     for r in range(rounds):
         edges = graph.select("u", F.explode("near.v").alias("v"))
@@ -209,7 +252,7 @@ def neighbours(df: DataFrame, k: int = 5, min_similarity: float = 0.80, dim: int
         joins = scratch.save(lists.select(F.col("u").alias("rowid"), F.explode("p.v").alias("block")), f"joins{r}")
         # a hash join: the lists are far smaller than the vectors, which then needn't be sorted
         met = vectors(True).join(joins.hint("shuffle_hash"), "rowid")
-        local = _blocks(met, joins.groupBy("block").count(), f"large{r}", scratch).groupBy("block", "chunk").applyInArrow(_block(dim, True, LIST, floor), NEAR)
+        local = _joined(_blocks(met, joins.groupBy("block").count(), f"large{r}", scratch), dim, True, LIST, floor)
         # a pair met at half precision replaces the value of the 8-bit codes
         fine = local.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d", F.lit(1).alias("fine"))
         coarse = graph.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d", F.lit(0).alias("fine"))
@@ -298,7 +341,7 @@ def _seed_graph(coded: DataFrame, dim: int, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.take(take) for c in b.columns] + [pa.array(_cells(u, cells, dim).ravel())], names=["rowid", "v", "block"])
 
     rows = scratch.save(coded.mapInArrow(spread, "rowid long, v binary, block long"), "cells")
-    near = _merge(_blocks(rows, rows.groupBy("block").count(), "large-cells", scratch).groupBy("block", "chunk").applyInArrow(_block(dim, True, LIST, -0.999), NEAR), LIST)
+    near = _merge(_joined(_blocks(rows, rows.groupBy("block").count(), "large-cells", scratch), dim, True, LIST, -0.999), LIST)
     back = near.select("u", F.explode("near").alias("e")).select(F.col("e.v").alias("u"), F.array(F.struct(F.col("e.d").alias("d"), F.col("u").alias("v"))).alias("near"))
     return _merge(near.unionByName(back), 2 * LIST)
 
