@@ -141,3 +141,38 @@ def seed_fsrs(now: float = C.NOW) -> dict[str, Column]:
     s = F.coalesce(C.number(F.col("strength")), F.lit(1.0))
     reads = F.coalesce(C.json_number("access_count"), F.lit(0.0))
     return {"due": F.lit(now) + C.DAY * F.greatest(s, F.lit(0.5)), "difficulty": F.when(reads >= 20, 3.0).when(reads >= 10, 4.0).when(reads >= 3, 5.0).otherwise(6.0)}
+
+
+def merge_groups(memories: DataFrame, groups: DataFrame, now: float = C.NOW) -> DataFrame:
+    """(group_id, base_id, content, tags, strength, merged_from): each group of rows (group_id, id) merged into its strongest.
+
+    Lines of the others that the base hasn't are appended in order of id, tags
+    are the sorted union, strengths add up to at most 5. Lines are
+    deduplicated on the JVM side, before a group's text is put together.
+    """
+    rows = groups.select("group_id", "id").distinct().join(memories.filter(C.active()), "id").withColumn("st", F.coalesce(C.number(F.col("strength")), F.lit(1.0)))
+    base = rows.groupBy("group_id").agg(F.max(F.struct("st", (-F.col("id")).alias("i"))).alias("m"), F.sum("st").alias("total"), F.sort_array(F.collect_set("id")).alias("ids"))
+    base = base.select("group_id", (-F.col("m.i")).alias("base_id"), F.round(F.least("total", F.lit(5.0)), 6).alias("strength"), "ids")
+    lines = rows.join(base.select("group_id", "base_id"), "group_id").select("group_id", "id", (F.col("id") != F.col("base_id")).alias("later"), F.posexplode(F.split("content", "\n")).alias("pos", "line"))
+    once = F.row_number().over(Window.partitionBy("group_id", F.trim("line")).orderBy("later", "id", "pos"))
+    kept = lines.withColumn("k", once).filter("k = 1 or not later").groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("later", "id", "pos", "line"))).alias("l"))
+    tags = rows.select("group_id", F.explode_outer(C.tag_array()).alias("t")).groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("tags"))
+    out = base.join(kept, "group_id").join(tags, "group_id")
+    return out.select("group_id", "base_id", F.array_join(F.col("l.line"), "\n").alias("content"), "tags", "strength", F.array_except("ids", F.array("base_id")).alias("merged_from"))
+
+
+def flag_contradictions(edges: DataFrame, pairs: DataFrame, now: float = C.NOW) -> DataFrame:
+    """Edges with a ``contradicts`` edge for each pair (source_hash, target_hash) that has none in either direction."""
+    have = edges.filter("relationship_type = 'contradicts'").select(F.least("source_hash", "target_hash").alias("a"), F.greatest("source_hash", "target_hash").alias("b")).distinct()
+    new = pairs.select("source_hash", "target_hash", F.least("source_hash", "target_hash").alias("a"), F.greatest("source_hash", "target_hash").alias("b")).filter("a <> b").dropDuplicates(["a", "b"])
+    new = new.join(have, ["a", "b"], "left_anti")
+    typed = {"source_hash": F.col("source_hash"), "target_hash": F.col("target_hash"), "relationship_type": F.lit("contradicts"), "created_at": F.lit(now), "connection_types": F.lit("[]")}
+    return edges.unionByName(new.select(*[typed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in edges.schema]))
+
+
+def merge_or_insert(incoming: DataFrame, near: DataFrame, memories: DataFrame, threshold: float = 0.85, now: float = C.NOW) -> DataFrame:
+    """(key, action, target_id) of incoming rows (key, content_hash) with their nearest stored row (key, id, cosine): exact copies first, then a merge above the threshold, else an insert."""
+    same = memories.filter("content_hash is not null").groupBy("content_hash").agg(F.min(F.struct(F.when(C.active() & C.unexpired(now), 0).otherwise(1).alias("gone"), "id")).alias("m"))
+    j = incoming.join(same, "content_hash", "left").join(near, "key", "left")
+    action = F.when(F.col("m.gone") == 0, "noop").when(F.col("m.gone") == 1, "revive").when(F.col("cosine") > threshold, "merge").otherwise("insert")
+    return j.select("key", action.alias("action"), F.coalesce(F.col("m.id"), F.when(F.col("cosine") > threshold, F.col("id")), F.lit(-1)).alias("target_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packed", "scan", "aggregates", "retrieval", "mutations", "pipelines")
+MODULES = ("packed", "scan", "aggregates", "retrieval", "mutations", "pipelines", "more")
 
 
 def _merged(name: str) -> dict:

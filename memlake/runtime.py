@@ -28,12 +28,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_MADE: list[Scratch] = []
+
+
+def _clean() -> None:
+    """At the end of the driver: results may be read until then."""
+    for s in _MADE:
+        try:
+            s.drop("")
+        except Exception:  # noqa: BLE001  the session may be gone, and its tables with it
+            return
+
+
 class Scratch:
-    """Named Parquet tables of one operator run."""
+    """Named Parquet tables of one operator run, removed when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/memlake-{uuid.uuid4().hex}"
+        if not _MADE:
+            atexit.register(_clean)
+        _MADE.append(self)
 
     def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
