@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from memlake.runtime import Scratch
 
 BUCKETS, DIM, SHARDS, ROUNDS, STEPS, SCALE = 1 << 15, 24, 8, 4, 5, 4.0
-MAX_LABELED, SMOOTH, COUNTERS, THRESHOLD = 40_000, 3e-4, 1 << 18, 0.3
-WORD = re.compile(r"[^\W\d_]{3,24}")
+MAX_LABELED, SMOOTH, COUNTERS, THRESHOLD = 40_000, 3e-4, 1 << 18, 0.2
+WORD = re.compile(r"(?<![\w/.])[^\W\d_]{3,24}(?![\w/(]|\.\w)")
 
 
 def _hash(s: str) -> int:
