@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from memlake.runtime import Scratch, hot_safe_join
 
-TABLES, CELL, MAX_BLOCK = 6, 2048, 8192
+TABLES, CELL, MAX_BLOCK = 8, 2048, 8192
 LIST, PIVOTS, FLOOR = 8, 2, 0.70
 #: Lists of rows to leave out (24 bytes a row) and of large blocks are broadcast up to this many rows, else joined by shuffle.
 MAX_BROADCAST = 200_000
