@@ -3,13 +3,17 @@
 The neighbour graph is seeded from random cells: each table draws random
 directions, a vector falls in the cell of the direction nearest to it, and
 the vectors of a cell are compared in blocks (8-bit codes). NN-descent then
-improves it by joins of neighbours of neighbours: every vector joins the local
-joins of the PIVOTS best-connected members of its neighbour list (itself
-included), so vectors that share a neighbour meet and are compared at half
-precision. Lists are merged on the JVM side.
-
-Cells and local joins above MAX_BLOCK rows are cut into random chunks, other
-ones in every table, so a cell that holds a third of all rows stays linear.
+improves it by joins of neighbours of neighbours: in each round every vector
+joins the local joins of PIVOTS members of its neighbour list (itself
+included), the best-connected first and the next ones in the next round, so
+vectors that share a neighbour meet and are compared at half precision. Rounds
+go on until no more than CHANGED of the pairs found are new (ROUNDS at most).
+Lists are merged on the JVM side.
+
+Cells and local joins above MAX_BLOCK rows are split again by the nearest of
+further random directions, seen from the mean of the block, level by level, so
+a cell that holds a third of all rows stays linear and its near rows stay
+together. Only rows that no direction tells apart are cut into random chunks.
 Rows with the very same vector are searched once, by their smallest id, and
 share its list: they are each other's nearest neighbours.
 
@@ -33,6 +37,8 @@ from memlake.runtime import Scratch, hot_safe_join
 
 TABLES, CELL, MAX_BLOCK = 8, 2048, 8192
 LIST, PIVOTS, FLOOR = 8, 2, 0.70
+#: A large block is split at most FAN ways a level, LEVELS deep. Rounds end when so small a share of the pairs found is new.
+FAN, LEVELS, ROUNDS, CHANGED = 64, 32, 9, 0.005
 #: Lists of rows to leave out (24 bytes a row) and of large blocks are broadcast up to this many rows, else joined by shuffle.
 MAX_BROADCAST = 200_000
 
@@ -180,7 +186,7 @@ def _blocks_of(ids, code, ends, k, floor, half):
     start = 0
     for end in ends:
         if end - start > 1:
-            yield _compare(ids[start:end], x[start:end], k, floor, 6 if half else 3)
+            yield _compare(ids[start:end], x[start:end], k, floor, 6 if half else 5)
         start = end
 
 
@@ -197,17 +203,110 @@ def _bounded(df: DataFrame, name: str, scratch: Scratch) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
 
-def _blocks(spread: DataFrame, sizes: DataFrame, name: str, scratch: Scratch) -> DataFrame:
-    large = sizes.filter(F.col("count") > MAX_BLOCK).select("block", F.ceil(F.col("count") / MAX_BLOCK).cast("int").alias("parts"))
-    spread = spread.join(_bounded(large, name, scratch), "block", "left")
-    return spread.withColumn("chunk", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rowid", "block"), F.col("parts"))).cast("int")).drop("parts")
+def _matrix(codes: pa.Array, dim: int, half: bool) -> np.ndarray:
+    """Unit vectors of codes."""
+    x = np.frombuffer(b"".join(codes.to_pylist()), np.float16 if half else np.int8).reshape(-1, dim).astype(np.float32)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _split(block: np.ndarray, codes: pa.Array, plan: list, dim: int, half: bool) -> np.ndarray:
+    """The block of each row after the levels of ``plan``: (level, sorted blocks, ways, means)."""
+    block, at, x = block.copy(), np.arange(len(block)), None
+    for level, ids, ways, means in plan:
+        k = np.minimum(np.searchsorted(ids, block[at]), len(ids) - 1)
+        hit = ids[k] == block[at]
+        at, k = at[hit], k[hit]
+        if not len(at):
+            break
+        x = _matrix(codes.take(pa.array(at)), dim, half) if x is None else x[hit]
+        part = block[at] >> 40
+        for t in np.unique(part):
+            own = np.flatnonzero(part == t)
+            rng = np.random.default_rng([int(t) & 0xFFFFFFFF, level, 77])
+            scores = (x[own] - means[k[own]]) @ rng.standard_normal((dim, FAN)).astype(np.float32)
+            scores[np.arange(FAN) >= ways[k[own]][:, None]] = -np.inf
+            child = block[at[own]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (scores.argmax(axis=1).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
+            block[at[own]] = t << 40 | (child >> np.uint64(24)).astype(np.int64)
+    return block
+
+
+def _sums(plan: list, wanted: np.ndarray, dim: int, half: bool):
+    """Number and sum of the vectors of each block that the last level of ``plan`` makes of the blocks ``wanted`` (of these blocks themselves without a level)."""
+
+    def run(batches):
+        total: dict = {}
+        for b in batches:
+            codes = b.column("v")
+            parent = _split(b.column("block").to_numpy(), codes, plan[:-1], dim, half)
+            at = np.flatnonzero(np.isin(parent, wanted))
+            if not len(at):
+                continue
+            codes, parent = codes.take(pa.array(at)), parent[at]
+            block = _split(parent, codes, plan[-1:], dim, half)
+            order = np.argsort(block, kind="stable")
+            block, start, n = np.unique(block[order], return_index=True, return_counts=True)
+            s = np.add.reduceat(_matrix(codes, dim, half)[order].astype(np.float64), start)
+            for i, p, m, v in zip(block.tolist(), parent[order][start].tolist(), n.tolist(), s):
+                old = total.get(i, (p, 0, 0.0))
+                total[i] = (p, old[1] + m, old[2] + v)
+        rows = [(i, p, n, s.tolist()) for i, (p, n, s) in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())))], names=["block", "parent", "n", "s"])
+
+    return run
+
+
+def _added(t: pa.Table) -> pa.Table:
+    s = np.sum(np.array(t.column("s").to_pylist()), axis=0)
+    return pa.table({"block": t.column("block")[:1], "parent": t.column("parent")[:1], "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "s": pa.array([s.tolist()], pa.list_(pa.float64()))})
+
+
+def _plan(spread: DataFrame, large: dict[int, int], dim: int, half: bool) -> tuple[list, dict[int, int]]:
+    """The levels of splits, and the large blocks that no direction splits any more."""
+    plan: list = []
+    stuck: dict[int, int] = {}
+    schema = "block long, parent long, n long, s array<double>"
+    while large:
+        sums = spread.mapInArrow(_sums(plan, np.array(sorted(large), np.int64), dim, half), schema)
+        got = sums.groupBy("block").applyInArrow(_added, schema).filter(F.col("n") > MAX_BLOCK).orderBy("block").collect()
+        if plan:
+            stuck |= {r.block: r.n for r in got if r.n == large[r.parent] or len(plan) == LEVELS}
+        got = [r for r in got if r.block not in stuck]
+        large = {r.block: r.n for r in got}
+        if got:
+            n = np.array([r.n for r in got])
+            plan.append((len(plan), np.array([r.block for r in got], np.int64), np.clip(-(-n // CELL), 2, FAN), (np.array([r.s for r in got]) / n[:, None]).astype(np.float32)))
+    return plan, stuck
+
+
+def _blocks(spread: DataFrame, sizes: DataFrame, dim: int, half: bool) -> DataFrame:
+    """The rows (rowid, v, block) with large blocks split, and their chunk."""
+    spread = spread.select("rowid", "v", "block")
+    large = {r[0]: r[1] for r in sizes.filter(F.col("count") > MAX_BLOCK).select("block", "count").collect()}
+    if not large:
+        return spread.withColumn("chunk", F.lit(0))
+    plan, stuck = _plan(spread, large, dim, half)
+    whole = np.array(sorted(stuck), np.int64)
+    parts = np.array([-(-stuck[i] // MAX_BLOCK) for i in whole.tolist()], np.int64)
+
+    def split(batches):
+        for b in batches:
+            block = _split(b.column("block").to_numpy(), b.column("v"), plan, dim, half)
+            chunk = np.zeros(len(block), np.int32)
+            if len(whole):
+                k = np.minimum(np.searchsorted(whole, block), len(whole) - 1)
+                at = np.flatnonzero(whole[k] == block)
+                mixed = (b.column("rowid").to_numpy()[at] ^ block[at]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                chunk[at] = mixed.astype(np.int64) % parts[k[at]]
+            yield pa.RecordBatch.from_arrays([b.column("rowid"), b.column("v"), pa.array(block), pa.array(chunk)], names=["rowid", "v", "block", "chunk"])
+
+    return spread.mapInArrow(split, "rowid long, v binary, block long, chunk int")
 
 
 def _merge(lists: DataFrame, k: int) -> DataFrame:
     return lists.groupBy("u").agg(F.slice(F.array_distinct(F.array_sort(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
 
 
-def neighbours(df: DataFrame, k: int = 5, min_similarity: float = 0.80, dim: int = 96, id_col: str = "rowid", vector_col: str = "content_embedding", rounds: int = 1) -> DataFrame:
+def neighbours(df: DataFrame, k: int = 5, min_similarity: float = 0.80, dim: int = 96, id_col: str = "rowid", vector_col: str = "content_embedding", rounds: int = ROUNDS) -> DataFrame:
     """(rowid, neighbor_rowid): the up to k most similar other rows of cosine similarity of at least ``min_similarity``."""
     scratch = Scratch(df.sparkSession)
     source = df.select(F.col(id_col).cast("long").alias("rowid"), F.col(vector_col).alias("v"))
@@ -243,21 +342,25 @@ def neighbours(df: DataFrame, k: int = 5, min_similarity: float = 0.80, dim: int
         spread = spread.join(conflicts, "rowid", "left").filter("right is null or h = right").drop("right")
     if left_out is not None:
         spread = spread.join(left_out, "rowid", "left_anti")
-    seeded = _joined(_blocks(spread.drop("h"), sizes, "large", scratch), dim, False, LIST, floor - 0.02)
+    seeded = _joined(_blocks(spread, sizes, dim, False), dim, False, LIST, floor - 0.02)
     graph = scratch.save(_merge(seeded, LIST), "graph0")
     for r in range(rounds):
         edges = graph.select("u", F.explode("near.v").alias("v"))
         degree = edges.groupBy("v").agg(F.count(F.lit(1)).alias("deg"))
-        lists = edges.unionByName(graph.select("u", F.col("u").alias("v"))).join(degree, "v", "left").groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.coalesce("deg", F.lit(0))).alias("d"), "v"))), 1, PIVOTS).alias("p"))
+        lists = edges.unionByName(graph.select("u", F.col("u").alias("v"))).join(degree, "v", "left").groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.coalesce("deg", F.lit(0))).alias("d"), "v"))), r * PIVOTS % (LIST + 1) + 1, PIVOTS).alias("p"))
         joins = scratch.save(lists.select(F.col("u").alias("rowid"), F.explode("p.v").alias("block")), f"joins{r}")
         # a hash join: the lists are far smaller than the vectors, which then needn't be sorted
         met = vectors(True).join(joins.hint("shuffle_hash"), "rowid")
-        local = _joined(_blocks(met, joins.groupBy("block").count(), f"large{r}", scratch), dim, True, LIST, floor)
+        local = _joined(_blocks(met, joins.groupBy("block").count(), dim, True), dim, True, LIST, floor)
         # a pair met at half precision replaces the value of the 8-bit codes
         fine = local.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d", F.lit(1).alias("fine"))
         coarse = graph.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d", F.lit(0).alias("fine"))
-        best = fine.unionByName(coarse).groupBy("u", "v").agg(F.max(F.struct("fine", "d")).alias("m")).select("u", F.struct("m.d", "v").alias("e"))
+        best = fine.unionByName(coarse).groupBy("u", "v").agg(F.max(F.struct("fine", "d")).alias("m"), F.min("fine").alias("new")).select("u", F.struct("m.d", "v", "new").alias("e"))
         graph = scratch.save(best.groupBy("u").agg(F.slice(F.array_sort(F.collect_list("e")), 1, LIST).alias("near")), f"graph{r + 1}")
+        first = graph.select(F.explode(F.slice("near", 1, k)).alias("e")).filter(F.col("e.d") <= -min_similarity)
+        new, all_pairs = first.agg(F.coalesce(F.sum("e.new"), F.lit(0)), F.count(F.lit(1))).first()
+        if new <= CHANGED * all_pairs:
+            break
     found = graph.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d").filter(F.col("d") <= -min_similarity)
     if twins is not None:
         found = _with_twins(found, keys, twins, total, k, scratch)
@@ -341,7 +444,7 @@ def _seed_graph(coded: DataFrame, dim: int, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.take(take) for c in b.columns] + [pa.array(_cells(u, cells, dim).ravel())], names=["rowid", "v", "block"])
 
     rows = scratch.save(coded.mapInArrow(spread, "rowid long, v binary, block long"), "cells")
-    near = _merge(_joined(_blocks(rows, rows.groupBy("block").count(), "large-cells", scratch), dim, True, LIST, -0.999), LIST)
+    near = _merge(_joined(_blocks(rows, rows.groupBy("block").count(), dim, True), dim, True, LIST, -0.999), LIST)
     back = near.select("u", F.explode("near").alias("e")).select(F.col("e.v").alias("u"), F.array(F.struct(F.col("e.d").alias("d"), F.col("u").alias("v"))).alias("near"))
     return _merge(near.unionByName(back), 2 * LIST)
 

@@ -63,6 +63,21 @@ def test_large_cells_are_cut(spark, monkeypatch):
     assert len(got) == 300
 
 
+def test_neighbours_in_a_hot_cell(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_BLOCK", 64)
+    monkeypatch.setattr(neighbours, "CELL", 32)
+    rng = np.random.default_rng(5)
+    # a third of the rows in one tight cluster without twins
+    hot = rng.normal(size=96) + 0.25 * rng.normal(size=(1000, 6)) @ rng.normal(size=(6, 96)) / np.sqrt(6)
+    rest = rng.normal(size=(250, 96))[np.arange(2000) % 250] + 0.35 * rng.normal(size=(2000, 96))
+    x = np.concatenate([hot, rest]).astype(np.float32)
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "rowid long, content_embedding array<float>")
+    got = {tuple(r) for r in neighbours.neighbours(df).collect() if r[0] < 1000}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {(i, int(j)) for i in range(1000) for s in [np.where(np.arange(3000) == i, -2, u @ u[i])] for j in np.argsort(-s)[:5]}
+    assert len(got & want) >= 0.93 * len(want)
+
+
 def test_graph_search(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 96)) * 0.4 + rng.normal(size=(20, 96))[np.arange(400) % 20]
