@@ -247,6 +247,28 @@ def test_survivors(spark):
     assert got == {(1, "strength", 2), (1, "updated_at", 2), (1, "metadata", 3), (3, "strength", 1), (3, "updated_at", 1), (3, "metadata", 1)}
 
 
+def test_claims_of_all_fields_and_members(spark):
+    m = [
+        (1, 1.0, 1.6e9, '{"source_type": "a", "k": "x", "strength": "high"}'),
+        (2, 2.0, 1.6e12, '{"k": "y", "credibility": 0.5}'),
+        (3, 9.0, None, '{"source_type": " ", "k": "x"}'),
+        (4, 1.5, 1.7e9, "not JSON"),
+        (5, float("nan"), 5.0, None),
+    ]
+    mem = frame(spark, m, "id long, strength double, updated_at double, metadata string")
+    sets = frame(spark, [(1, i) for i in (1, 2, 3, 5)] + [(2, 4), (3, 5)], "set_id long, memory_id long")
+    made = fusion.claims(sets, mem)
+    got = {(r.set_id, r.field, r.source, r.value) for r in made.collect()}
+    own = fusion.NO_SOURCE
+    assert got == {
+        (1, "strength", "a", "1.0"), (1, "updated_at", "a", "1.6E9"), (1, "k", "a", "x"), (1, "metadata.strength", "a", "high"),
+        (1, "strength", own, "2.0"), (1, "updated_at", own, "1.6E9"), (1, "k", own, "y"), (1, "k", own, "x"),
+        (2, "strength", own, "1.5"), (2, "updated_at", own, "1.7E9"),
+    }
+    fused = {(r.set_id, r.field) for r in fusion.fuse(made).collect()}
+    assert fused == {(s, f) for s, f, _, _ in got}
+
+
 def test_fusion_discounts_copies(spark):
     claims = []
     rng = np.random.default_rng(0)
