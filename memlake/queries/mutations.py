@@ -44,7 +44,7 @@ def usage(s, d):
 _Z = r"'^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'"
 add(
     "DML01_store",
-    lambda s, d: D.store(mem(s, d).filter("id <= 500"), queue(s, d).filter("content rlike '^[\\\\x00-\\\\x7F]*$'").select("content", "memory_type", "tags", "metadata")).groupBy(F.substring("content_hash", 1, 2).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(C.active(), 1)).alias("live")),
+    lambda s, d: D.store(mem(s, d), queue(s, d).select("content", "memory_type", "tags", "metadata")).groupBy(F.substring("content_hash", 1, 2).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(C.active(), 1)).alias("live")),
 )
 add(
     "DML02_upsert_actions",

@@ -138,6 +138,8 @@ add(
 add("VE01_semantic_search", lambda s, d: V.semantic_search(emb(s, d), Q96, 10, 0.1, mem(s, d).filter(C.active() & C.unexpired() & C.type_not_in("session_summary", "progress"))).select("id", F.round("cosine", 6).alias("cosine")), f"SELECT id, round(cosine, 6) AS cosine FROM {LIVE_EMB} WHERE cosine > 0.1 AND id IN (SELECT id FROM memories WHERE {S.LIVE} AND (memory_type IS NULL OR memory_type NOT IN ('session_summary', 'progress'))) ORDER BY cosine DESC, id LIMIT 10")
 add("VE03_recall", lambda s, d: V.semantic_search(emb(s, d), Q96, 5, 0.1, mem(s, d).filter(C.active() & C.like_tag("proj:")), table(s, d, "duplicate_sets").select(F.col("memory_id").alias("id"))).select("id", F.round("cosine", 6).alias("cosine")), f"SELECT id, round(cosine, 6) AS cosine FROM {LIVE_EMB} WHERE cosine > 0.1 AND id IN (SELECT id FROM memories WHERE {S.ACTIVE} AND tags ILIKE '%proj:%') AND id NOT IN (SELECT memory_id FROM duplicate_sets) ORDER BY cosine DESC, id LIMIT 5")
 add("VE04_rerank", lambda s, d: V.rerank(mem(s, d).filter("id <= 200").select("id"), emb(s, d), Q96).select("id", F.round("score", 6).alias("score")), f"SELECT m.id, round(greatest(coalesce(cosine, 0.0), 0.0), 6) AS score FROM memories m LEFT JOIN {LIVE_EMB} v ON v.id = m.id WHERE m.id <= 200")
+# the whole table; VE04_rerank's SQL holds it to 200 ids
+add("VE04_rerank_all", lambda s, d: V.rerank(mem(s, d).select("id"), emb(s, d), Q96).select("id", F.round("score", 6).alias("score")))
 _E64 = "(SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
