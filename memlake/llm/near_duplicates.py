@@ -8,8 +8,11 @@ block the Hamming ball of radius 2 around each row's ball bits is enumerated,
 the matches fetched, and the complete distance of the fingerprints verified.
 Pairs within the distance are then checked exactly on their words.
 
-Per table a pair of J = 0.7 is met with probability 0.85^w * 0.895 for w key
-bits; w grows with the logarithm of the rows, so that blocks keep their size.
+For w key bits a row also visits the blocks of the smaller keys within
+``key_radius(w)`` bits of its own. Per table a pair of J = 0.7 is met with
+probability P(B(w, 0.15) <= radius) * 0.895; w grows with the logarithm of the
+rows, so that blocks keep their size, and the radius with w, so that this
+probability is never below that of three key bits.
 A block above MAX_BLOCK rows is cut into chunks that meet in pairs, so no task
 holds an unbounded block and no pair is lost.
 
@@ -88,6 +91,15 @@ def key_width(rows: int) -> int:
     return min(SEGMENT - BALL_BITS, max(0, math.ceil(math.log2(max(1, rows) / BLOCK))))
 
 
+def key_radius(width: int) -> int:
+    """Flips allowed in the key bits: the fewest that meet a pair of J = 0.7 as often as three key bits do without flips."""
+    met, radius = 0.85**width, 0
+    while met < 0.85**3 - 1e-12:
+        radius += 1
+        met += math.comb(width, radius) * 0.15**radius * 0.85 ** (width - radius)
+    return radius
+
+
 def max_distance(threshold: float) -> int:
     """Largest complete distance kept: three standard deviations above the mean at the threshold."""
     p = (1 - threshold) / 2
@@ -101,34 +113,45 @@ def _segments(fp: np.ndarray) -> np.ndarray:
 
 
 def _explode(width: int):
+    masks = np.array([m for m in range(1 << width) if m.bit_count() <= key_radius(width)], np.int64)
+
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), "<u8").reshape(-1, 4)
             key = _segments(fp) >> BALL_BITS & ((1 << width) - 1)
-            block = (np.arange(TABLES) << 16 | key).ravel()
-            at = pa.array(np.repeat(np.arange(len(fp)), TABLES))
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), b.column("rep").take(at), b.column("fp").take(at)], names=["block", "rep", "fp"])
+            # a row stays in the block of its key and visits those of smaller keys
+            to = key[:, :, None] ^ masks
+            row, table, k = np.nonzero((to < key[:, :, None]) | (masks == 0))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(table << 16 | to[row, table, k], pa.int64()), b.column("rep").take(at), b.column("fp").take(at)], names=["block", "rep", "fp"])
 
     return run
 
 
-def _pairs_within(ids, fp, chunk, table, width, limit):
-    """Pairs of one block whose complete distance is at most ``limit`` and that no earlier table finds."""
+def _pairs_within(ids, fp, chunk, table, width, limit, key):
+    """Pairs of one block, of its own rows and of those with its visitors, whose complete distance is at most ``limit`` and that no earlier table finds."""
     seg = _segments(fp)
     ball = seg[:, table] & ((1 << BALL_BITS) - 1)
-    order = np.argsort(ball, kind="stable")
+    visits = (seg[:, table] >> BALL_BITS & ((1 << width) - 1)) != key
+    # own rows first, then visitors, either by ball bits
+    order = np.lexsort((ball, visits))
     ids, fp, seg, ball, chunk = ids[order], fp[order], seg[order], ball[order], chunk[order]
-    start = np.searchsorted(ball, np.arange((1 << BALL_BITS) + 1))
-    rows = np.arange(len(ids))
+    own = len(ids) - int(visits.sum())
+    start = np.searchsorted(ball[:own], np.arange((1 << BALL_BITS) + 1))
+    guest = own + np.searchsorted(ball[own:], np.arange((1 << BALL_BITS) + 1))
+    rows, ball = np.arange(own), ball[:own]
+    radius = key_radius(width)
     first, near = fp[:, 0].copy(), int(limit / 4 + 10)
     out_a, out_b = [], []
     cross = len(np.unique(chunk)) > 1
-    for mask in _BALL:
+    for mask, visitors in ((m, v) for m in _BALL for v in (False, True)):
         other = ball ^ mask
-        lo, hi = start[other], start[other + 1]
-        if mask:
+        lo, hi = (guest if visitors else start)[other], (guest if visitors else start)[other + 1]
+        if visitors:
+            left = rows
+        elif mask:
             left = rows[other > ball]
             lo, hi = lo[left], hi[left]
         else:
@@ -153,7 +176,7 @@ def _pairs_within(ids, fp, chunk, table, width, limit):
                 i, j = i[keep], j[keep]
             if table and len(i):
                 x = seg[i, :table] ^ seg[j, :table]
-                met = ((x >> BALL_BITS & ((1 << width) - 1)) == 0) & (np.bitwise_count(x & ((1 << BALL_BITS) - 1)) <= RADIUS)
+                met = (np.bitwise_count(x >> BALL_BITS & ((1 << width) - 1)) <= radius) & (np.bitwise_count(x & ((1 << BALL_BITS) - 1)) <= RADIUS)
                 keep = ~met.any(axis=1)
                 i, j = i[keep], j[keep]
             out_a.append(np.minimum(ids[i], ids[j]))
@@ -165,7 +188,8 @@ def _pairs_within(ids, fp, chunk, table, width, limit):
 def _match(width: int, limit: int):
     def run(key, t):
         fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").reshape(-1, 4)
-        a, b = _pairs_within(t.column("rep").to_numpy(), fp, t.column("chunk").to_numpy(), int(key[0].as_py()) >> 16, width, limit)
+        block = int(key[0].as_py())
+        a, b = _pairs_within(t.column("rep").to_numpy(), fp, t.column("chunk").to_numpy(), block >> 16, width, limit, block & 0xFFFF)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run

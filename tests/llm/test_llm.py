@@ -158,6 +158,21 @@ def test_near_duplicates_in_cut_blocks(spark, monkeypatch):
     assert len(got) == len(set(got)) == 80 * 79 // 2
 
 
+def test_near_duplicates_at_every_key_width(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    fp = []
+    for _ in range(600):
+        # two fingerprints as of a pair of Jaccard similarity 0.7
+        a = rng.integers(0, 2, 256, dtype=np.uint8)
+        fp += [a, a ^ (rng.random(256) < 0.15)]
+    df = frame(spark, [(i, bytes(np.packbits(f, bitorder="little"))) for i, f in enumerate(fp)], "rep long, fp binary")
+    near = {(i, i + 1) for i in range(0, 1200, 2) if (fp[i] != fp[i + 1]).sum() <= near_duplicates.max_distance(0.7)}
+    for width in (7, 10):
+        monkeypatch.setattr(near_duplicates, "key_width", lambda rows, w=width: w)
+        got = [tuple(r) for r in near_duplicates.candidates(df, 1200, 0.7).collect()]
+        assert len(got) == len(set(got)) and len(set(got) & near) >= 0.99 * len(near)
+
+
 COPIES = [
     ("Decision: use Kafka | Reason: it is fast", "REASON: it is fast; DECISION: use kafka"),
     ('{"decision": "use Kafka", "reason": "it is fast"}', "- **Reason**: it is fast\n- **Decision**: use Kafka"),
