@@ -10,7 +10,8 @@ Names are found by given names that are known and by surnames whose endings
 the corpus itself teaches: one pass over all texts counts, for the words next
 to known given names, their endings with the number of different given names,
 and how often each word occurs elsewhere. The model is bounded: at most
-MAX_ENDINGS endings and MAX_ORDINARY ordinary words.
+MAX_ENDINGS endings, as many whole surnames of up to ENDING letters, and
+MAX_ORDINARY ordinary words.
 
 Defined results: null, empty and blank texts have no finds and stay as they
 are; a text found twice in one content is one row; an empty table gives an
@@ -63,7 +64,6 @@ ID_NUMBER = re.compile(
     rf"|(?<![\w.+/-])(?P<w>{_SHORT_ID})\s?[(\[]\s?(?:{ID_LABEL})",
     re.I,
 )
-_ID_HINT = re.compile(rf"(?:{ID_LABEL})", re.I)
 PHONE = re.compile(r"(?<![\w.+/@#-])(?<!\d[ ,:])(?:\+|(?=[\d(]))(?:\(?\d[\d]*\)?)(?:[ \-./]{0,2}\(?\d+\)?){0,7}(?!\w)")
 _PHONE_HINT = re.compile(r"(?:\d[ \-./()]{0,3}){9}")
 PHONE_WORD = re.compile(r"(?:call|phone|tel|telefon|mobile|cell|whatsapp|sms|ring|fax|numara|rückruf|ara|contact|dial|handy|mobil)\W*(?:\w+\W+){0,2}$", re.I)
@@ -143,17 +143,17 @@ def valid_phone(s: str, before: str) -> bool:
 class Names:
     """Finds names by known given names, learned surname endings and ordinary words."""
 
-    def __init__(self, given: set[str], endings: set[str], ordinary: set[str], before: set[str]):
-        self.given, self.endings, self.ordinary, self.before = given, endings, ordinary, before
+    def __init__(self, given: set[str], endings: set[str], ordinary: set[str], before: set[str], short: set[str] = frozenset()):
+        self.given, self.endings, self.ordinary, self.before, self.short = given, endings, ordinary, before, short
 
     def surname(self, w: str) -> bool:
         parts = w.split("-")
-        return all(len(p) >= ENDING + 1 and p[-ENDING:] in self.endings and p not in self.ordinary and p not in self.given for p in map(lower, parts))
+        return all((p in self.short or len(p) >= ENDING + 1 and p[-ENDING:] in self.endings) and p not in self.ordinary and p not in self.given for p in map(lower, parts))
 
     def find(self, text: str):
         words = [(m.start(), m.end(), m.group()) for m in _WORDS.finditer(text)]
         for k, (start, end, w) in enumerate(words):
-            if len(w) <= ENDING or not self.surname(w):
+            if not self.surname(w):
                 continue
             if start and text[start - 1] in "_.@/+\\" or end < len(text) and (text[end] in "_@/\\" or text[end] == "." and text[end + 1 : end + 2].isalnum()):
                 continue
@@ -206,9 +206,13 @@ def lower(w: str) -> str:
 
 
 _STREET_WORDS = frozenset(w.lower() for w in STREET_EN.split("|"))
-_STREET_TR = frozenset("sokak sokağı sk sok caddesi cadde cad cd bulvarı blv bulv mahallesi mah meydanı yolu".split())
+#: Each word of the pattern as lower() makes it of either case, alone and with the "No" that may follow without a space.
+_STREET_TR = frozenset(lower(c) + no for w in STREET_TR.replace(r"\.?", "").split("|") for c in (w, w.upper()) for no in ("", "no"))
 _STREET_DE = ("straße", "strasse", "str", "weg", "platz", "allee", "gasse", "ufer", "damm", "steig", "stieg", "graben", "markt", "pfad", "chaussee", "wall", "promenade", "zeile", "ring")
-_ID_WORDS = frozenset("ssn ss social soc socialsecurity tckn kimlik tc national nat nino ni passport pasaport reisepass personalausweis ausweis identity id steuer steuerid sozialversicherung".split())
+#: What the first or last run of letters of any match of ID_LABEL is, or begins with.
+_ID_WORDS = frozenset("ss soc social tc nat national ni identity id steuer".split())
+_ID_BEGIN = tuple("ssn socsec socialsec tckn tckimlik ckimlik kimlik tcno natins nationalins nino ninum passport pasaport reisepass personalausweis ausweis sozialversicherung steuerid".split())
+_ID_FOLD = str.maketrans("ıſ", "is")
 
 
 def finds(text: str | None, names: Names) -> list[tuple[int, int, str]]:
@@ -234,7 +238,9 @@ def finds(text: str | None, names: Names) -> list[tuple[int, int, str]]:
             if t[s:e].lower().startswith("git@") or t[e : e + 1] == ":" and re.match(r":[\w~./-]+/", t[e:]) or re.match(r"/[\w-]+/", t[e:]) and t[:s].endswith("://"):
                 continue
             take(s, e, "email")
-    if not have.isdisjoint(_ID_WORDS) or any(w.startswith(("sozialv", "steuer")) for w in have):
+    # re.I takes ı for i and ſ for s
+    labels = have if t.isascii() else {w.translate(_ID_FOLD) for w in have}
+    if not labels.isdisjoint(_ID_WORDS) or any(w.startswith(_ID_BEGIN) for w in labels):
         for m in ID_NUMBER.finditer(t):
             s, e = m.span("v") if m.group("v") else m.span("w")
             if 7 <= sum(c.isalnum() for c in t[s:e]) <= 13:
@@ -256,7 +262,7 @@ def finds(text: str | None, names: Names) -> list[tuple[int, int, str]]:
             v = t[s:e]
             if v.count("(") == v.count(")") and valid_phone(v, t[max(0, s - 40) : s]):
                 take(s, e, "phone")
-    if any(w[-ENDING:] in names.endings and len(w) > ENDING and w not in names.ordinary for w in words):
+    if any((w[-ENDING:] in names.endings and len(w) > ENDING or w in names.short) and w not in names.ordinary for w in words):
         for s, e in names.find(t):
             take(s, e, "name")
     if at is not None:
@@ -337,10 +343,15 @@ def learn(df: DataFrame, given: DataFrame, id_col: str = "id", text_col: str = "
     usual = (F.col("large") * 2 <= F.col("n")) & (F.col("beside") * 8 < F.col("n"))
     ordinary = words.filter(usual & (F.col("n") >= 4)).orderBy(F.desc("n"), "word").limit(MAX_ORDINARY)
     before = words.filter("lead >= 3").orderBy(F.desc("lead"), "word").limit(MAX_ORDINARY)
-    pairs = counts.filter(~F.col("given").startswith("\x00")).join(words.filter(~usual).select("word"), "word", "left_semi").filter(F.length("word") > ENDING)
+    pairs = counts.filter(~F.col("given").startswith("\x00")).join(words.filter(~usual).select("word"), "word", "left_semi")
+    # up to ENDING letters: whole words, mostly capital and mostly beside given names, of several of them
+    own = words.filter(~usual & (F.col("large") * 2 > F.col("n")) & (F.col("beside") * 2 >= F.col("n")))
+    short = pairs.filter(F.length("word").between(2, ENDING)).join(own.select("word"), "word", "left_semi").groupBy("word").agg(F.countDistinct("given").alias("g"), F.sum("n").alias("n"))
+    short = short.filter(F.col("g") >= MIN_GIVEN).orderBy(F.desc("n"), "word").limit(MAX_ENDINGS)
+    pairs = pairs.filter(F.length("word") > ENDING)
     endings = pairs.groupBy(F.expr(f"right(word, {ENDING})").alias("e")).agg(F.countDistinct("given").alias("g"), F.countDistinct("word").alias("w"), F.sum("n").alias("n"))
     endings = endings.filter((F.col("g") >= MIN_GIVEN) & (F.col("w") >= 2)).orderBy(F.desc("n"), "e").limit(MAX_ENDINGS)
-    return Names(set(known), {r[0] for r in endings.collect()}, {r[0] for r in ordinary.select("word").collect()} - known, {r[0] for r in before.select("word").collect()})
+    return Names(set(known), {r[0] for r in endings.collect()}, {r[0] for r in ordinary.select("word").collect()} - known, {r[0] for r in before.select("word").collect()}, {r.word for r in short.collect()})
 
 
 def _finder(names: Names):

@@ -226,6 +226,28 @@ def test_pii(text, want):
     assert sorted((k, text[s:e]) for s, e, k in got) == sorted(want)
 
 
+HINTS = ["Reisepassnummer: C12345678", "Ausweisnr. 123456789", "TCKimlik no 12345678901", "KİMLİK: 12345678901", "kımlık no: 12345678901", "123456789 (SSN)", "soc. sec. no 123456789", "ni no: QQ316037C"]
+
+
+@pytest.mark.parametrize("text", HINTS)
+def test_pii_word_tests_skip_no_id(text):
+    assert pii.ID_NUMBER.search(text) and [k for _, _, k in pii.finds(text, NAMES)] == ["id_number"]
+
+
+@pytest.mark.parametrize("street", ["SOKAĞI", "BULVARI", "MEYDANI", "Sokağı", "CADDESİ".replace("İ", "I"), "YOLU"])
+def test_pii_word_tests_skip_no_street(street):
+    text = f"Zeytin {street} No: 141"
+    assert pii.ADDRESS_TR.search(text) and pii.finds(text, NAMES) == [(0, len(text), "address")]
+
+
+def test_pii_short_surnames(spark):
+    given = ["Carla", "Deniz", "Rose", "Pinar"]
+    rows = [f"Ask {g} Kaya about the parser and the merge." for g in given] + [f"We saw {g} and the team" for g in given] + ["We and they and you and I"] * 40
+    model = pii.learn(frame(spark, list(enumerate(rows)), "id long, content string"), frame(spark, [(g,) for g in given], "given_name string"))
+    assert model.short == {"kaya"}
+    assert pii.replace("Mail to Rose Kaya now", model) == "Mail to [NAME] now"
+
+
 def test_pii_spelled_phone():
     text = "call zero two zero seven nine four six zero six nine five now"
     assert [(k, text[s:e]) for s, e, k in pii.finds(text, NAMES)] == [("phone", "zero two zero seven nine four six zero six nine five")]
