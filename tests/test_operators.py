@@ -1,6 +1,7 @@
 """Operators without SQL, on hand-made cases and against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,33 +18,56 @@ from memlake.operators import vector as V
 from memlake.schema import MEMORIES, normalize
 
 
+def best(field, logp=None, unseen=-9.0):
+    return P.best_path(P.lattice(field), logp or {}, unseen)
+
+
 def test_packed_readings():
-    assert P.sure_reading('a, "b c";`d`') == ["a", "b c", "d"]
-    assert P.sure_reading("“x y” | 'it''s'") == ["x y", "it's"]
-    assert P.sure_reading(r'"say \"no\""') == ['say "no"']
-    assert P.sure_reading("don't") is None and P.sure_reading("'open") is None
-    assert P.best_path("don't, stop", {}, -9.0) == ["don", "t", "stop"]
+    assert best('a, "b c";`d`') == ["a", "b c", "d"]
+    assert best("“x y” | 'it''s'") == ["x y", "it's"]
+    assert best(r'"say \"no\""') == ['say "no"']
+    assert best("don't, stop") == ["don", "t", "stop"] and best("'open") == ["open"]
+    assert best('"a", ' + "b, " * 90 + '"c"') == ["a", *["b"] * 90, "c"]
+
+
+def test_packed_frequencies_decide():
+    made = P.lattice("x 'y' z w'")
+    assert P.readings(made[1])
+    assert P.best_path(made, {"y": -1.0, "z": -1.0, "w": -1.0}, -30.0) == ["x", "y", "z", "w"]
+    assert P.best_path(made, {"y": -1.0, "z w": -1.0}, -30.0) == ["x", "y", "z w"]
+    doubled = P.lattice('"note:the ""old"" ranker"')
+    assert P.best_path(doubled, {}, -9.0) == ['note:the "old" ranker']
+    assert P.best_path(doubled, {"note:the": 0.0, "old": 0.0, "ranker": 0.0}, -60.0) == ["note:the", "old", "ranker"]
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab '\"`,;“”\\", max_size=14))
 def test_viterbi_is_the_best_path(field):
     logp, unseen = {"a": -1.0, "b": -2.0, "a b": -3.0}, -9.0
-    edges = P.lattice(field)
+    last, edges = P.lattice(field)
 
     def every(at):
-        if at == len(field):
+        if at == last:
             yield 0.0, []
         for e in edges:
             if e[0] == at:
                 for s, rest in every(e[1]):
-                    yield s + P._score(e, logp, unseen), ([e[2]] if e[2] else []) + rest
+                    yield s + e[3] + (logp.get(e[2], unseen) if e[2] else 0.0), ([e[2]] if e[2] else []) + rest
 
     best = max(s for s, _ in every(0))
-    got = P.best_path(field, logp, unseen)
+    got = P.best_path((last, edges), logp, unseen)
     assert any(abs(s - best) < 1e-9 and v == got for s, v in every(0))
 
 
+def test_packed_rows_come_from_the_lattice(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "x, y"), (2, '"a ""b"" c", d')], "id long, tags string")
+    assert {tuple(r) for r in P.split_packed(df).collect()} == {(1, 1, "x"), (1, 2, "y"), (2, 1, 'a "b" c'), (2, 2, "d")}
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "field": ["x, y", '"a b", c']})
+    assert [b.column("values").to_pylist() for b in P._parse([batch])] == [[["x", "y"], ["a b", "c"]]]
+    monkeypatch.setattr(P, "best_path", lambda *_: ["stub"])
+    assert [b.column("values").to_pylist() for b in P._parse([batch])] == [[["stub"], ["stub"]]]
+
+
 def test_packed_table(spark):
     rows = [(1, "x, y", "a"), (1, "x, y", "a"), (2, None, "a"), (3, "", "a"), (4, "don't, x", "a"), (5, '["p q"]' + "x " * 20000, "a"), (6, " ,; ", "a")]
     df = spark.createDataFrame(rows, "id long, tags string, tag string")
