@@ -1,8 +1,11 @@
 """Problem 8: encoding of a corpus with a public byte-level BPE tokenizer.
 
-Texts are split into words on the JVM side, each distinct word is encoded
-once, and ids are joined back by position. Words that hold more than one in a
-thousand of all positions are broadcast (there can be no more than a
+Texts are split into words on the JVM side and kept in chunks of documents,
+each with its distinct words once and the number of the word at every
+position. Each distinct word of the corpus is encoded once; the words of a
+chunk fetch their ids by a join (a word stands once in a chunk, however often
+it occurs), and ids are laid out by position. Words that stand in more than
+one in a thousand of these rows are broadcast (there can be no more than a
 thousand), the rest take a shuffle join. Decoding is a join of ids with the
 tokenizer's pieces (as many as the vocabulary has).
 
@@ -17,16 +20,21 @@ import functools
 import json
 import os
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from memlake.runtime import Scratch, hot_safe_join
 
 TOKENIZERS = os.environ.get("MEMLAKE_TOKENIZERS", "/opt/tokenizers")
 NAME = "byte_bpe_50k.json"
-#: The word pattern of byte-level BPE (fixed value of the format), with Unicode white space in Java.
-WORD = r"(?U:'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+)"
+#: The word pattern of byte-level BPE (fixed value of the format), with Unicode white space as Java names it.
+WORD = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
+#: Documents are kept in chunks of about so many words, a row each; a task holds so many chunks.
+CHUNK, CHUNKS_A_TASK = 1 << 17, 64
 
 
 @functools.lru_cache(4)
@@ -48,54 +56,96 @@ def _encode(path: str):
     return run
 
 
-def _exact_words(path: str):
-    """The tokenizer's own splitting, for texts with characters that are newer than the JVM's tables."""
+def _codes(path: str, kind: pa.DataType):
+    """Chunks of documents as one row each: their distinct words, and the number of the word at each position.
+
+    Texts with characters that are newer than the JVM's tables come whole and
+    are split by the tokenizer itself.
+    """
 
     def run(batches):
-        t = _tokenizer(path)
+        chunk, t = TaskContext.get().partitionId() << 32, _tokenizer(path)
         for b in batches:
-            words = [[s[x:y] for _, (x, y) in t.pre_tokenizer.pre_tokenize_str(s)] for s in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(words, pa.list_(pa.string()))], names=["row", "doc_id", "words"])
+            words = b.column("words")
+            if b.column("strange").null_count < b.num_rows:
+                split = lambda s: [s[x:y] for _, (x, y) in t.pre_tokenizer.pre_tokenize_str(s)]
+                words = pa.array([w if s is None else split(s) for w, s in zip(words.to_pylist(), b.column("strange").to_pylist())], pa.list_(pa.string()))
+            lengths = np.asarray(words.value_lengths().fill_null(0)).astype(np.int64)
+            ends = np.cumsum(lengths)
+            flat = words.flatten()
+            cuts = np.flatnonzero(np.diff((ends - lengths) // CHUNK, prepend=-1)).tolist() + [b.num_rows]
+            for at, to in zip(cuts, cuts[1:]):
+                own = flat.slice(int(ends[at] - lengths[at]), int(lengths[at:to].sum())).dictionary_encode()
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                docs = b.column("doc_id").slice(at, to - at).cast(kind)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), one(own.dictionary), one(docs), one(pa.array(lengths[at:to], pa.int32())), one(own.indices.cast(pa.int32()))], names=["chunk", "words", "docs", "lengths", "codes"])
+                chunk += 1
 
     return run
 
 
-def split_words(docs: DataFrame, path: str) -> DataFrame:
-    """(row, doc_id, words): the words of each non-empty text, in order."""
-    rows = docs.filter(F.length("text") > 0)
-    # unassigned in this JVM: maybe a letter of a later Unicode version
-    strange = F.col("text").rlike(r"[\p{Cn}]")
-    plain = rows.filter(~strange).select("row", "doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return plain.unionByName(rows.filter(strange).mapInArrow(_exact_words(path), f"row long, doc_id {kind}, words array<string>"))
+def _assembled(counts: bool):
+    """Chunks with their dictionaries to documents: the ids, or their number, by position."""
 
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                docs, lengths, codes = b.column("docs")[i].values, np.asarray(b.column("lengths")[i].values), np.asarray(b.column("codes")[i].values)
+                ends = np.concatenate([[0], np.cumsum(lengths)])
+                if b.column("ids")[i].is_valid:
+                    code, value = b.column("ids")[i].values.flatten()
+                else:
+                    code, value = pa.array([], pa.int32()), pa.array([], pa.int32() if counts else pa.list_(pa.int32()))
+                n = np.zeros(len(code), np.int64)
+                n[np.asarray(code)] = np.asarray(value if counts else value.value_lengths())
+                each = n[codes]
+                offsets = np.concatenate([[0], np.cumsum(each)])[ends]
+                if counts:
+                    yield pa.RecordBatch.from_arrays([docs, pa.array(np.diff(offsets), pa.int32())], names=["doc_id", "n_tokens"])
+                    continue
+                length = np.asarray(value.value_lengths())
+                start = np.zeros(len(code), np.int64)
+                start[np.asarray(code)] = np.cumsum(length) - length
+                at = np.repeat(start[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                flat = np.asarray(value.flatten())[at] if len(at) else np.empty(0, np.int32)
+                yield pa.RecordBatch.from_arrays([docs, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))], names=["doc_id", "ids"])
 
-def encoded_words(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", value: Column | None = None):
-    """((row, doc_id, pos, ids) of each word of each text, the numbered documents). ``value`` may replace ids by a function of them."""
+    return run
+
+
+def _by_words(df: DataFrame, path: str | None, id_col: str, text_col: str, counts: bool) -> DataFrame:
     path = path or f"{TOKENIZERS}/{NAME}"
-    scratch = Scratch(df.sparkSession)
-    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    words = scratch.save(split_words(docs, path).select("row", "doc_id", F.posexplode("words").alias("pos", "word")), "words")
-    distinct = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    table = scratch.save(distinct.mapInArrow(_encode(path), "word string, n long, ids array<int>"), "table")
+    spark = df.sparkSession
+    scratch = Scratch(spark)
+    # unassigned in this JVM: maybe a letter of a later Unicode version
+    strange = F.col("text").rlike(r"[\p{Cn}]")
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    split = docs.select("doc_id", F.when(~strange, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"), F.when(strange, F.col("text")).alias("strange"))
+    field = docs.schema["doc_id"].dataType
+    kind = field.simpleString()
+    coded = split.mapInArrow(_codes(path, to_arrow_type(field)), f"chunk long, words array<string>, docs array<{kind}>, lengths array<int>, codes array<int>")
+    coded = scratch.save(coded, "coded")
+    chunks = coded.count()
+    asked = coded.select("chunk", F.posexplode("words").alias("code", "word"))
+    table = scratch.save(asked.groupBy("word").agg(F.count(F.lit(1)).alias("n")).mapInArrow(_encode(path), "word string, n long, ids array<int>"), "table")
     total = table.agg(F.sum("n")).first()[0] or 0
-    if value is not None:
-        table = table.withColumn("ids", value)
-    return hot_safe_join(words, table, "word", "n", total).select("row", "doc_id", "pos", "ids"), docs
+    if counts:
+        table = table.withColumn("ids", F.size("ids"))
+    known = hot_safe_join(asked, table, "word", "n", total)
+    tasks = max(1, min(chunks, spark.sparkContext.defaultParallelism), -(-chunks // CHUNKS_A_TASK))
+    known = known.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("code", "ids")).alias("ids"))
+    whole = coded.drop("words").repartition(tasks, "chunk").join(known, "chunk", "left")
+    return whole.mapInArrow(_assembled(counts), f"doc_id {kind}, " + ("n_tokens int" if counts else "ids array<int>"))
 
 
 def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids of each text, without special tokens."""
-    words, docs = encoded_words(df, path, id_col, text_col)
-    lists = words.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("w")).select("doc_id", F.flatten(F.col("w.ids")).alias("ids"))
-    empty = docs.filter(F.coalesce(F.length("text"), F.lit(0)) == 0).select("doc_id", F.array().cast("array<int>").alias("ids"))
-    return lists.unionByName(empty)
+    return _by_words(df, path, id_col, text_col, False)
 
 
 def token_counts(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) of each text that has tokens."""
-    words, _ = encoded_words(df, path, id_col, text_col, F.size("ids"))
-    return words.groupBy("row", "doc_id").agg(F.sum("ids").cast("int").alias("n_tokens")).select("doc_id", "n_tokens")
+    return _by_words(df, path, id_col, text_col, True).filter("n_tokens > 0")
 
 
 def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:

@@ -320,6 +320,79 @@ def test_fusion_discounts_copies(spark):
     assert sum(v == "true" for v in got.values()) >= 58
 
 
+def brute_fuse(rows, rounds=3):
+    """Fusion of (item, source, value) with an even prior, by plain loops."""
+    n = {}
+    for i, s, v in rows:
+        n[i, s, v] = n.get((i, s, v), 0) + 1
+    vote = {}
+    for (i, s, v), c in n.items():
+        vote[i, s] = max(vote.get((i, s), (0, "")), (c, v))
+    vote = {k: v for k, (_, v) in vote.items()}
+    sources, items = sorted({s for _, s in vote}), sorted({i for i, _ in vote})
+    acc, copy = dict.fromkeys(sources, 0.8), {}
+    for k in range(rounds):
+        belief, best = {}, {}
+        for i in items:
+            score = {}
+            for s in sources:
+                if (i, s) in vote:
+                    free = np.prod([1 - 0.8 * copy.get((s, o), 0.0) for o in sources if o != s and vote.get((i, o)) == vote[i, s]])
+                    score[vote[i, s]] = score.get(vote[i, s], 0.0) + np.log(10 * acc[s] / (1 - acc[s])) * free
+            z = sum(np.exp(x) for x in score.values()) + 10
+            belief |= {(i, v): np.exp(x) / z for v, x in score.items()}
+            best[i] = max((x, v) for v, x in score.items())[1]
+        if k == rounds - 1:
+            return {i: (best[i], belief[i, best[i]]) for i in items}
+        acc = {s: min(0.95, max(0.05, np.mean([belief[i, v] for (i, t), v in vote.items() if t == s]))) for s in sources}
+        copy = {}
+        for a, b in itertools.permutations(sources, 2):
+            if acc[a] > acc[b] or acc[a] == acc[b] and a < b:
+                continue
+            met = [i for i in items if (i, a) in vote and (i, b) in vote]
+            same = [belief[i, vote[i, a]] for i in met if vote[i, a] == vote[i, b]]
+            if not met:
+                continue
+            kt, kf, kd = sum(same), sum(1 - p for p in same), len(met) - len(same)
+            both, wrong = acc[a] * acc[b], (1 - acc[a]) * (1 - acc[b]) / 10
+            apart = max(1e-6, 1 - both - wrong)
+            lc = kt * np.log(acc[b] * 0.8 + both * 0.2) + kf * np.log((1 - acc[b]) * 0.8 + wrong * 0.2) + kd * np.log(apart * 0.2)
+            lf = kt * np.log(both) + kf * np.log(wrong) + kd * np.log(apart)
+            copy[a, b] = 1 / (1 + 4 * np.exp(min(500, lf - lc)))
+
+
+def test_fusion_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        for s, good in (("a", 0.9), ("b", 0.7), ("c", 0.5), ("d", 0.5)):
+            for _ in range(int(rng.integers(0, 3))):
+                rows.append((i, s, "true" if rng.random() < good else f"x{int(rng.integers(0, 3))}"))
+    want = brute_fuse(rows)
+    df = frame(spark, [(i, "f", s, v) for i, s, v in rows], "set_id long, field string, source string, value string")
+    got = {r.set_id: (r.value, r.probability) for r in fusion.fuse(df).collect()}
+    assert set(got) == set(want)
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 2e-6 for i in want)
+
+
+def test_prior_outweighs_votes_that_decide_without_it(spark):
+    rows = [(1, "f", s, v, (e, 0.0, -k)) for k, (s, v, e) in enumerate([("a", "x", 0.9), ("b", "y", 0.5), ("c", "y", 0.4), ("d", "y", 0.4)])]
+    df = frame(spark, rows, "set_id long, field string, source string, value string, best struct<e:double,t:double,i:long>")
+    with_prior, without = fusion.fuse(df).first(), fusion.fuse(df.drop("best")).first()
+    assert with_prior.value == "x" and with_prior.best.i == 0 and without.value == "y"
+
+
+def test_survivors_in_a_hot_set(spark):
+    rng = np.random.default_rng(8)
+    m = [(i, float(rng.integers(3, 50)) / 10, 1.6e9 + int(rng.integers(0, 50)), f'{{"credibility": {int(rng.integers(0, 5)) / 4}, "source_type": "{"abc"[i % 3]}", "k": {i % 7}}}') for i in range(400)]
+    mem = frame(spark, m, "id long, strength double, updated_at double, metadata string")
+    got = {r.field_name: r.winner_id for r in fusion.survivors(frame(spark, [(1, i) for i in range(400)], "set_id long, memory_id long"), mem).collect()}
+    trust = lambda r: float(r[3].split(":")[1].split(",")[0])
+    assert got["strength"] == max(m, key=lambda r: (trust(r), r[2], -r[0]))[0]
+    assert got["updated_at"] == got["metadata"] == max(m, key=lambda r: (r[2], -r[0]))[0]
+    assert fusion.survivors(frame(spark, [], "set_id long, memory_id long"), mem).count() == 0
+
+
 # --- 8 and 9 ---
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(f"{tokens.TOKENIZERS}/{tokens.NAME}"), reason="no tokenizer")
 TEXTS = ["Hello  world\n\n don't", "", None, " ", "naïve 東京 😀 ‍  x", "<|endoftext|> raw", "a" * 5000, "tab\t\ttab  \r\n", "١٢٣ ½ Ⅷ", "͸\U0001fae9 x", "x\x85y\x1cz"]
