@@ -16,7 +16,6 @@ equal sizes and repeated ids are fine; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -25,87 +24,100 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY, BLOCK, PART, PATIENCE = 1024, 4096, 12, 12
+#: So many parts are differenced side by side; few items are dealt in up to so many ways at once.
+SIDE_BY_SIDE, WAYS = 64, 12
 
 
-def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
-    """The window (0 .. k - 1) of each item, by multiway differencing."""
-    n = len(sizes)
-    if k <= 1 or n == 0:
-        return np.zeros(n, np.int64)
-    heap = [(-int(s), i) for i, s in enumerate(sizes)]
-    heapq.heapify(heap)
-    # a node is (sums in falling order, its left and right nodes, the permutation after the merge)
-    single = np.zeros(k, np.int64)
-    sums: list = [None] * (2 * n - 1)
-    merge: list = [None] * (2 * n - 1)
-    free = n
-
-    def of(i):
-        if i < n:
-            s = single.copy()
-            s[0] = sizes[i]
-            return s
-        return sums[i]
-
-    while len(heap) > 1:
-        _, a = heapq.heappop(heap)
-        _, b = heapq.heappop(heap)
-        s = of(a) + of(b)[::-1]
-        order = np.argsort(-s, kind="stable")
-        s = s[order]
-        s -= s[-1]
-        sums[free], merge[free] = s, (a, b, order)
-        sums[a] = sums[b] = None
-        heapq.heappush(heap, (-int(s[0]), free))
-        free += 1
-    window = np.zeros(n, np.int64)
-    stack = [(heap[0][1], np.arange(k))]
-    while stack:
-        node, place = stack.pop()
-        if node < n:
-            window[node] = place[0]
-            continue
-        a, b, order = merge[node]
-        back = np.empty(k, np.int64)
-        back[order] = place
-        stack.append((a, back))
-        stack.append((b, back[::-1]))
-    return window
+def differencing(sizes: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """[parts, items]: the window (0 .. windows - 1) of each item of each part, by multiway differencing.
+
+    ``sizes`` is [parts, items], padded with zeros; the parts go through their
+    merges side by side. Windows that a part doesn't have are loaded so that
+    no item goes there.
+    """
+    parts, n = sizes.shape
+    k = int(windows.max())
+    rows = np.arange(parts)
+    # nodes: the items first, then one for each merge; sums in falling order
+    sums = np.zeros((parts, n, k), np.int64)
+    sums[:, :, 0] = sizes
+    imbalance, node = sizes.astype(np.int64), np.tile(np.arange(n), (parts, 1))
+    merges = []
+    base, barred = rows[:, None] * k, np.arange(k) >= windows[:, None]
+    # the least loaded window of one with the most loaded one of the other, among the windows the part has
+    order = (windows[:, None] - 1 - np.arange(k)) % k + base
+    for m in range(n - 1):
+        i = imbalance.argmax(axis=1)
+        imbalance[rows, i] = -1
+        j = imbalance.argmax(axis=1)
+        s = sums[rows, i] + sums[rows, j].ravel()[order]
+        s[barred] = -1
+        by = np.argsort(-s, axis=1, kind="stable") + base
+        s = s.ravel()[by]
+        s -= s[rows, windows - 1][:, None]
+        s[barred] = 0
+        merges.append((node[rows, i], node[rows, j], by))
+        sums[rows, i], imbalance[rows, i], node[rows, i] = s, s[:, 0], n + m
+        imbalance[rows, j] = -1
+    place = np.zeros((parts, 2 * n - 1, k), np.int16)
+    place[:, -1] = np.arange(k)
+    back = np.empty(parts * k, np.int16)
+    turned = np.empty(parts * k, np.int16)
+    for m in range(n - 2, -1, -1):
+        a, b, by = merges[m]
+        back[by] = place[:, n + m]
+        place[rows, a] = back.reshape(parts, k)
+        turned[order] = back.reshape(parts, k)
+        place[rows, b] = turned.reshape(parts, k)
+    return place[:, :n, 0].astype(np.int64)
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """A valid window of each item (each at most ``capacity``).
 
     Windows that come out between the mean load and the capacity are closed;
-    the items of all others are dealt anew and differenced again. Where a few
-    rounds close nothing, the window count of the rest rises.
+    the items of all others are dealt anew and differenced again. Few items
+    are dealt in several ways at once, of which the windows that share no item
+    are closed. Where a few rounds close nothing, the window count of the rest
+    rises.
     """
     rng = np.random.default_rng(7)
     window = np.full(len(sizes), -1, np.int64)
     rest, closed, extra, idle = np.arange(len(sizes)), 0, 0, 0
     while len(rest):
-        total = int(sizes[rest].sum())
+        n, total = len(rest), int(sizes[rest].sum())
         k = max(1, math.ceil(total / capacity), int((sizes[rest] * 2 > capacity).sum())) + extra
         parts = max(1, k // PART)
-        deal = rng.permutation(len(rest)) % parts
-        done = np.zeros(len(rest), bool)
-        valid = []
-        for part in range(parts):
-            mine = np.flatnonzero(deal == part)
-            s = sizes[rest[mine]]
-            w = differencing(s, max(1, math.ceil(s.sum() * k / total - 1e-9)) if parts > 1 else k)
-            load = np.bincount(w, weights=s)
-            valid.append((load.max() <= capacity, mine, w, load))
-        last = parts == 1 and valid[0][0]
-        for _, mine, w, load in valid:
-            good = (load <= capacity) & ((load * k >= total) | last) & (load > 0)
-            name = np.cumsum(good) - 1 + closed
-            take = good[w]
-            window[rest[mine[take]]] = name[w[take]]
-            done[mine[take]] = True
-            closed += int(good.sum())
-        rest = rest[~done]
-        idle = 0 if done.any() else idle + 1
+        ways = max(1, min(WAYS, SIDE_BY_SIDE // parts))
+        deal = np.concatenate([rng.permutation(n) % parts + parts * way for way in range(ways)])
+        order = np.argsort(deal, kind="stable")
+        item = order % n
+        count = np.bincount(deal, minlength=parts * ways)
+        row, column = deal[order], np.arange(n * ways) - np.repeat(np.cumsum(count) - count, count)
+        dealt = np.zeros((parts * ways, int(count.max())), np.int64)
+        dealt[row, column] = sizes[rest[item]]
+        wanted = np.maximum(1, np.ceil(dealt.sum(axis=1) * k / total - 1e-9).astype(np.int64)) if parts > 1 else np.full(ways, k)
+        width = int(wanted.max())
+        at = row * width + differencing(dealt, wanted)[row, column]
+        load = np.bincount(at, weights=sizes[rest[item]], minlength=parts * ways * width)
+        good = (load <= capacity) & (load * k >= total) & (load > 0)
+        if parts == 1:
+            fits = load.reshape(ways, width).max(axis=1) <= capacity
+            if fits.any():
+                good = (load > 0) & np.repeat(np.arange(ways) == fits.argmax(), width)
+        taken = np.zeros(n, bool)
+        for way in range(ways):
+            own = slice(way * n, way * n + n)
+            free = good.copy()
+            free[at[own][taken[item[own]]]] = False
+            take = free[at[own]]
+            if take.any():
+                names, back = np.unique(at[own][take], return_inverse=True)
+                window[rest[item[own][take]]] = closed + back
+                taken[item[own][take]] = True
+                closed += len(names)
+        idle = 0 if taken.any() else idle + ways
+        rest = rest[~taken]
         if idle >= PATIENCE:
             extra, idle = extra + 1, 0
     return window
