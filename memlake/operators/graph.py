@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.runtime import Scratch
+from memlake.runtime import Scratch, hubs, salted_join
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -48,22 +48,29 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = scratch.save(both, "both")
     labels = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels0")
-    k = 0
+    hot = scratch.save(hubs(both, "a", both.count()), "hubs")
+    n, k = labels.count(), 0
     while True:
-        sent = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("component").alias("m"))
+        sent = salted_join(both, labels.withColumnRenamed("node", "a"), "a", "b", hot).groupBy("b").agg(F.min("component").alias("m"))
         hooked = labels.join(sent.withColumnRenamed("b", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("further"))
         k += 1
-        after = scratch.save(hooked.join(jump, "component").select("node", "old", F.col("further").alias("component")), f"labels{k}")
+        hooked = scratch.save(hooked, f"hooked{k}")
+        jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        # a component may hold most nodes
+        large = scratch.save(hubs(hooked, "component", n), f"large{k}")
+        after = scratch.save(salted_join(hooked, jump, "component", "node", large).select("node", "old", F.col("further").alias("component")), f"labels{k}")
         changed = after.filter("old <> component").limit(1).count()
         labels = after.select("node", "component")
-        scratch.drop(f"labels{k - 1}") if k > 1 else None
+        scratch.drop(f"labels{k - 1}", f"hooked{k}", f"large{k}")
         if not changed:
             return labels
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, save_every: int = 5) -> DataFrame:
-    """(node, rank) over (src, dst) edges: repeated edges accumulate, the rank of nodes without outgoing edges is lost."""
+    """(node, rank) over (src, dst) edges: repeated edges accumulate, the rank of nodes without outgoing edges is lost.
+
+    Ranks pass through one linear plan, cut by a saved table every ``save_every`` rounds.
+    """
     scratch = Scratch(edges.sparkSession)
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     links = scratch.save(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).join(out, "src").select("src", "dst", (F.col("n") / F.col("deg")).alias("w")), "links")
@@ -71,9 +78,10 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, save_eve
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
+    hot = scratch.save(hubs(links, "src", links.count()), "hubs")
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
     for k in range(1, rounds + 1):
-        given = links.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("rank")).alias("got"))
+        given = salted_join(links, rank.withColumnRenamed("node", "src"), "src", "dst", hot).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("rank")).alias("got"))
         rank = nodes.join(given, "node", "left").select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if k % save_every == 0 and k < rounds:
             rank = scratch.save(rank, f"rank{k}")

@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.conf.get("spark.memlake.scratch", None)
+    """The cluster's ``spark.checkpoint.dir``, else the context's checkpoint directory; a temporary folder only where both are unset on a local master (tests)."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.memlake.scratch", None)
+    if not root and context._jsc.sc().getCheckpointDir().isDefined():
+        root = context._jsc.sc().getCheckpointDir().get()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="memlake-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.memlake.scratch", root)
@@ -85,5 +88,26 @@ def hot_safe_join(rows: DataFrame, table: DataFrame, key: str, count: str, total
     return a.unionByName(b)
 
 
+#: Keys of fewer rows than this are never hot.
+MIN_HOT = 10_000
+
+
+def hubs(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, __copies): the at most ``HOT_SHARE`` hot keys of ``rows``, with the number of tasks to share each."""
+    limit = max(MIN_HOT, total // HOT_SHARE)
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__copies"))
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Join ``rows`` to ``table`` (unique ``key``), the rows of each key of ``hot`` (see ``hubs``) shared out by the hash of ``by``.
+
+    Either side is used once, so chains of such joins stay linear plans.
+    """
+    copies = F.coalesce("__copies", F.lit(1))
+    a = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), copies).cast("int")).drop("__copies")
+    b = table.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__copies")
+    return a.join(b, [key, "__salt"], how).drop("__salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -24,3 +24,19 @@ def test_scratch(spark):
     s = Scratch(spark)
     assert s.root.startswith(checkpoint_root(spark))
     assert s.save(spark.range(4), "t").agg(F.sum("id")).first()[0] == 6
+
+
+def test_hub_of_half_of_all_edges(spark, monkeypatch):
+    from memlake import runtime
+    from memlake.operators import graph as G
+
+    monkeypatch.setattr(runtime, "MIN_HOT", 10)
+    edges = [(0, i) for i in range(1, 3001)] + [(i, i + 1) for i in range(5000, 8000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    hot = runtime.hubs(df, "a", len(edges))
+    assert {tuple(r) for r in hot.collect()} == {(0, 300)}
+    sides = spark.createDataFrame([(0, "x"), (5000, "y")], "a long, v string")
+    assert {tuple(r) for r in runtime.salted_join(df, sides, "a", "b", hot).collect()} == {(0, i, "x") for i in range(1, 3001)} | {(5000, 5001, "y")}
+    assert runtime.salted_join(df, sides, "a", "b", hot, "left").count() == len(edges)
+    got = {r.node: r.component for r in G.components(df.filter("a < 5100")).collect()}
+    assert set(got.values()) == {0, 5000} and len(got) == 3001 + 101
