@@ -1,92 +1,106 @@
-"""Write-time importance as a column expression: the highest band that any signal reaches.
+"""Importance at writing and scores of extractions, as column expressions.
 
-English and Turkish signals; further languages are lists to pass in. Secrets
-hold a text at the baseline, whatever else it says.
+The importance of a text is the highest band that any signal reaches; a text
+with a secret stays at the baseline, whatever else it says. Signals are read
+in the first SCAN characters of the text (a part of the rule), secrets in all
+of it. Full-width letters are folded as compatibility normalisation does;
+other compatibility forms stay.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memlake.functions import fixed as X
 from memlake.functions.columns import strip
 from memlake.functions.extract import is_secret
 
-# --- fixed values ---
-TRIVIAL, BASELINE, FACT, DECISION, MEMORABLE, CAP = 0.30, 0.50, 0.70, 0.75, 0.90, 0.95
-TRIVIAL_WORDS = ("ok", "okay", "yes", "no", "yep", "nope", "sure", "done", "evet", "hayır", "tamam", "tamamdır", "olur", "oldu", "anladım", "anlaşıldı", "süper", "harika", "teşekkür", "teşekkürler", "thanks", "thx")
-REMEMBER = (
-    "remember this", "remember that", "don't forget", "do not forget", "important note", "note this", "for the record", "keep in mind", "hatırla", "unutma", "unutmayalım", "unutmayın", "kayda geç", "not al", "not alalım",
-    "şunu unutmayalım", "şunu not edelim", "bunu hatırla", "lütfen not", "lütfen kaydet", "kaydetmiştik",
-)
-CUES = ("save this", "save it", "store this", "pin this", "bookmark", "mark this", "take note", "make a note", "kaydet", "sakla", "saklayalım", "işaretle", "kaydedelim", "not düş")
-DECISIONS = ("decided", "decision", "agreed", "agreement", "going with", "chose", "settled on", "final call", "karar verdik", "kararlaştırdık", "karar verildi", "anlaştık", "şuna karar", "konsensüs")
-COMMITMENTS = (
-    "must", "i'll", "we'll", "have to", "need to", "committing to", "i will", "we will", "you will", "they will", "he will", "she will", "i am going to", "we are going to", "i'm going to", "we're going to",
-    "gerek", "şart", "sart", "yapacağım", "yapacagim", "edeceğiz", "edecegiz", "zorunda", "zorunlu", "mecbur", "lazım", "lazim",
-)
-NEGATED = r"\b(?:won't|wont|will not|must not|mustn't|cannot|can't|shouldn't|not going to|no need to|don't have to|do not have to|don't need to|do not need to|gerek yok|gerek değil|zorunda değil|lazım değil|şart değil)"
-DEADLINES = ("deadline", "expires", "expiry", "no later than", "until", "till", "son tarih", "vade", "teslim", "bitiş tarihi", "bitis tarihi")
-FACTS = (
-    r"\b(?:19|20|21)\d{2}\b", r"\b\d{1,2}[/.\-]\d{1,2}(?:[/.\-]\d{2,4})?\b", r"(?i)[\$€₺¥£]\s?\d+|\b\d+(?:[.,]\d+)?\s?(?:usd|tl|eur|gbp)\b", r"https?://\S",
-    r"[^\s@]{1,64}@[^\s@]{1,255}\.[^\s@]{1,64}", r"\+\d{10,}|\b\d{3,4}[\s-]?\d{3,4}[\s-]?\d{2,4}\b", r"\b\d{4}-\d{2}-\d{2}\b", r"\bdue\s+dates?\b", r"(?:^|[^\w.])@[A-Za-z0-9_]{2,64}\b",
-)
-SCAN = 8192
-
-
-def _phrases(words) -> str:
-    return r"(?U)(?:^|[^\w])(?:" + "|".join(re.escape(w).replace(r"\ ", " ") for w in words) + r")(?:[^\w]|$)"
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + " 　‘’"
+_PLAIN = "".join(chr(c) for c in range(0x21, 0x7F)) + "  ''"
+
+
+def _any(c: Column, patterns) -> Column:
+    out = F.lit(False)
+    for p in patterns:
+        out = out | c.rlike(X.as_is(p))
+    return out
+
+
+def _contains(c: Column, words) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(c, F.lit(w))
+    return out
+
+
+def _committed(low: Column) -> Column:
+    """An obligation that is neither negated nor a mere "we'll see"."""
+    word = lambda c: c.rlike(X.phrases(X.COMMITMENTS)) | c.rlike(X.as_is(X.OBLIGED_TR))
+    suffix = lambda c: c.rlike(X.as_is(X.SUFFIX_TR)) & ~c.rlike(X.as_is(X.NOT_SUFFIX_TR))
+    negated = low.rlike(X.as_is(X.NOT_OBLIGED_TR)) & ~suffix(low)
+    rest = F.when(negated, F.regexp_replace(low, X.as_is(X.NOT_OBLIGED_TR), " ")).otherwise(low)
+    left = F.regexp_replace(rest, X.as_is(X.DEFERRED), " ")
+    out = ~low.rlike(X.as_is(X.NEGATED)) & (word(low) | suffix(low)) & (~negated | word(rest))
+    return out & (~rest.rlike(X.as_is(X.DEFERRED)) | word(left) | suffix(left))
 
 
 def importance_score(c: Column) -> Column:
     full = strip(F.coalesce(c, F.lit("")))
-    text = F.substring(full, 1, SCAN)
-    low = F.replace(F.replace(F.lower(text), F.lit("’"), F.lit("'")), F.lit("̇"), F.lit(""))
-    any_fact = text.rlike(_phrases(DEADLINES)) | low.rlike(_phrases(DEADLINES))
-    for p in FACTS:
-        any_fact = any_fact | text.rlike(p)
-    band = (
-        F.when((full == "") | low.isin(*TRIVIAL_WORDS), TRIVIAL)
-        .when(is_secret(full), BASELINE)
-        .when(low.rlike(_phrases(REMEMBER)) | low.rlike(_phrases(CUES)), MEMORABLE)
-        .when(low.rlike(_phrases(DECISIONS)) | (low.rlike(_phrases(COMMITMENTS)) & ~low.rlike(NEGATED)), DECISION)
-        .when(any_fact, FACT)
-    )
-    return F.least(band.otherwise(BASELINE), F.lit(CAP))
-
-
-#: Words that score an extraction of a category: (words, points), any one of them counts (fixed values).
-CATEGORY_WORDS = {
-    "decision": [(("instead of", "over", "rather than", "because", "tradeoff", "yerine", "çünkü", "sebebiyle", "nedeniyle"), 2), (("chose", "decided", "selected", "opted", "karar", "seçtik", "tercih", "gidelim"), 1)],
-    "learning": [(("turns out", "gotcha", "pitfall", "caveat", "important to note", "meğer", "meğerse", "anlaşılan", "dikkat", "önemli"), 2), (("because", "so that", "çünkü", "dolayı"), 1)],
-    "preference": [(("always", "never", "prefer", "convention", "her zaman", "asla", "hiçbir zaman", "tercih"), 1), (("user", "[user]", "kullanıcı"), 2)],
-    "workflow": [(("first", "then", "before", "after", "step", "pipeline", "önce", "sonra", "adım", "sırasıyla"), 2)],
-}
-PROBLEM = ("error", "bug", "crash", "fail", "broke", "hata", "sorun", "çöktü", "bozuldu")
-RESOLUTION = ("fixed", "resolved", "solved", "workaround", "caused by", "root cause", "düzelttik", "çözdük", "giderdik", "sebebi", "nedeni")
-BONUS = (r"[/\\][\w.-]+\.\w+", r"v?\d+\.\d+")
-TOOLS = r"(?:npm|pip|brew|cargo|go|docker|git|kubectl|yarn|bun)\s"
+    text = F.substring(full, 1, X.SCAN)
+    low = F.replace(F.lower(F.translate(text, _WIDE, _PLAIN)), F.lit("̇"), F.lit(""))
+    # a lambda's argument is computed once, however often it is used
+    forms = F.array(F.struct(full.alias("full"), text.alias("text"), low.alias("low"), F.regexp_replace(low, X.ARABIC_MARKS, "").alias("bare")))
+    return F.transform(forms, lambda r: _band(r["full"], r["text"], r["low"], r["bare"]))[0]
+
+
+def _band(full: Column, text: Column, low: Column, bare: Column) -> Column:
+    remember, decision = low.rlike(X.phrases(X.REMEMBER)) | low.rlike(X.phrases(X.CUES)), F.lit(False)
+    # phrases of several words count wherever they stand, single ones as whole words
+    decision = low.rlike(X.phrases([w for w in X.DECISIONS if " " not in w])) | _contains(low, [w for w in X.DECISIONS if " " in w])
+    trivial = (full == "") | low.isin(*X.TRIVIAL_WORDS)
+    for name, (script, keep, decide, small) in X.LANGUAGES.items():
+        hay = bare if name == "ar" else low
+        found = (lambda words, hay=hay, name=name: hay.rlike(X.phrases(words)) if name in X.SPACED else _contains(hay, words))
+        here = F.lit(True) if script is None else low.rlike(script)
+        remember, decision = remember | here & found(keep), decision | here & found(decide)
+        trivial = trivial | low.isin(*small) | bare.isin(*small)
+    fact = _any(low, X.DEADLINE_PATTERNS) | low.rlike(X.phrases(X.DEADLINES)) | _any(text, X.FACTS) | _any(text, X.PERSONS) | _any(text, X.IDENTIFIERS)
+    fact = fact | low.rlike(X.as_is(X.NUMBERS)) & low.rlike(X.phrases(X.NUMBER_WORDS))
+    band = F.when(trivial, X.TRIVIAL).when(is_secret(full), X.BASELINE).when(remember, X.MEMORABLE).when(decision | _committed(low), X.DECISION).when(fact, X.FACT).otherwise(X.BASELINE)
+    return F.least(band, F.lit(X.CAP))
+
+
+def type_floor(kind: Column) -> Column:
+    floors = F.create_map(*[F.lit(x) for kv in X.TYPE_FLOORS.items() for x in kv])
+    return F.coalesce(floors[F.lower(kind)], F.lit(0.0))
+
+
+def final_importance(heuristic: Column, secret: Column, supplied: Column, kind: Column) -> Column:
+    """The importance to store: a secret holds the baseline, else the strongest of heuristic, floor of the type and supplied value.
+
+    ``supplied`` is a number or null; it is compared on the scale from 0 to 1
+    (a value of 1 or more is halved), and returned as it is if it wins.
+    """
+    v = F.when(~F.isnan(supplied) & (F.abs(supplied) != float("inf")), supplied)
+    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(v >= 1.0, v / 2.0).otherwise(v)))
+    # a lambda's argument is computed once, however often it is used
+    held = F.transform(F.array(F.greatest(heuristic, type_floor(kind))), lambda best: F.when(v.isNotNull() & (scaled >= best), v).otherwise(best))
+    return F.when(secret, F.lit(X.BASELINE)).otherwise(held[0])
 
 
 def extraction_score(c: Column, category: str) -> Column:
     """How likely a text is a genuine extraction of its category."""
     low = F.lower(c)
-    has = lambda ws: F.coalesce(_any(low, ws), F.lit(False))
+    has = lambda ws: F.coalesce(_contains(low, ws), F.lit(False))
     score = F.lit(0)
     if category == "error":
-        score = F.when(has(PROBLEM) & has(RESOLUTION), 3).otherwise(0)
-    for ws, n in CATEGORY_WORDS.get(category, []):
+        score = F.when(has(X.PROBLEM) & has(X.RESOLUTION), 3).otherwise(0)
+    for ws, n in X.CATEGORY_WORDS.get(category, []):
         score = score + F.when(has(ws), n).otherwise(0)
+    for p, n in X.CATEGORY_PATTERNS.get(category, []):
+        score = score + F.when(low.rlike(X.as_is(p)), n).otherwise(0)
     score = score - (F.length(c) < 40).cast("int")
-    for p in BONUS:
-        score = score + c.rlike(p).cast("int")
-    return score + low.rlike(TOOLS).cast("int")
-
-
-def _any(c: Column, words) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(c, F.lit(w))
-    return out
+    for p in X.BONUS:
+        score = score + c.rlike(X.as_is(p)).cast("int")
+    return score + low.rlike(X.as_is(X.TOOLS)).cast("int")

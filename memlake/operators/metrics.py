@@ -34,16 +34,18 @@ def normalize_answer(c: Column) -> Column:
     """Lower case, without commas, articles, punctuation and extra white space."""
     c = F.regexp_replace(F.lower(c), ",", "")
     c = F.regexp_replace(c, r"[!-/:-@\[-`{-~]", "")
-    c = F.regexp_replace(c, r"\b(a|an|the|and)\b", " ")
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    c = F.regexp_replace(c, r"(?U)\b(a|an|the|and)\b", " ")
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def token_f1(prediction: Column, truth: Column) -> Column:
     """Multiset token F1 of two normalised answers."""
     p, t = (F.filter(F.split(normalize_answer(c), " "), lambda x: x != "") for c in (prediction, truth))
+    # the word lists are arguments of a lambda, so that they are made once
+    pair = F.array(F.struct(p.alias("p"), t.alias("t")))
     count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    common = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, w: s + F.least(count(p, w), count(t, w)))
-    return F.when(common == 0, 0.0).otherwise(2.0 * common / (F.size(p) + F.size(t)))
+    common = lambda r: F.aggregate(F.array_distinct(r["p"]), F.lit(0), lambda s, w: s + F.least(count(r["p"], w), count(r["t"], w)))
+    return F.transform(pair, lambda r: F.coalesce(F.try_divide(2.0 * common(r), F.size(r["p"]) + F.size(r["t"])), F.lit(0.0)))[0]
 
 
 def has_answer(text: Column, answer: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
 from memlake.functions import extract as E
+from memlake.functions import fixed as FX
 from memlake.functions.importance import extraction_score, importance_score
 from memlake.operators import graph as G
 from memlake.operators import mutate as D
@@ -64,29 +65,31 @@ def trigger_query(kind: str, context: str) -> str:
 
 def session_digest(messages: DataFrame, budget: int = 8000) -> DataFrame:
     """(category, passage) of messages (pos, content): first matching family in order of priority, first of equal heads, within a budget."""
-    order = list(E.FAMILIES)
+    order = list(FX.FAMILIES)
     kind = F.lit(None).cast("string")
     for name in reversed(order):
-        kind = F.when(F.col("content").rlike(E.FAMILIES[name]), name).otherwise(kind)
+        kind = F.when(F.col("content").rlike(E.family(name)), name).otherwise(kind)
     rows = messages.withColumn("category", kind).filter("category is not null")
     passage = F.lit(None).cast("string")
     for name in order:
-        passage = F.when(F.col("category") == name, E.windows(F.col("content"), E.FAMILIES[name])).otherwise(passage)
-    rows = rows.withColumn("passage", passage)
-    first = F.row_number().over(Window.partitionBy(F.substring(F.lower("passage"), 1, 80)).orderBy("pos"))
+        passage = F.when(F.col("category") == name, E.windows(F.col("content"), E.family(name))).otherwise(passage)
+    rows = rows.withColumn("passage", passage).withColumn("head", F.substring(F.lower("passage"), 1, 80))
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("category"))
-    top = rows.withColumn("k", first).filter("k = 1").withColumn("rank", rank).orderBy("rank", "pos").limit(max(1, budget // 20))
+    first = rows.groupBy("head").agg(F.min_by(F.struct(rank.alias("rank"), "pos", "category", "passage"), "pos").alias("m")).select("m.*")
+    # passages of one length take the budget in order; no more than the budget's characters can be in it
+    top = first.filter("passage <> ''").orderBy("rank", "pos").limit(budget)
     used = F.sum(F.length("passage")).over(Window.orderBy("rank", "pos").rowsBetween(Window.unboundedPreceding, 0))
     return top.withColumn("used", used).filter(F.col("used") <= budget).select("category", "passage")
 
 
 def section_memories(summaries: DataFrame, limit: int = 5) -> DataFrame:
-    """(id, header, pos, bullet): actionable bullets of more than 15 characters under each ``## header``, up to five a section."""
-    parts = F.filter(F.split("content", r"(?m)^## "), lambda s: s.rlike(r"(?s)^[^\n]+\n.*- "))
-    rows = summaries.select("id", F.explode(parts).alias("s")).select("id", F.trim(F.substring_index("s", "\n", 1)).alias("header"), F.posexplode(F.regexp_extract_all("s", F.lit(r"(?m)^[-*] (.{16,})$"), F.lit(1))).alias("pos", "bullet"))
-    rows = rows.filter(E.actionable(F.col("bullet")))
-    k = F.row_number().over(Window.partitionBy("id", "header").orderBy("pos"))
-    return rows.withColumn("k", k).filter(F.col("k") <= limit).select("id", "header", "pos", "bullet")
+    """(id, section, header, pos, bullet): of the first ``limit`` bullets of more than 15 characters under each ``## header`` the actionable ones; a bold label of a bullet stays as plain text."""
+    parts = F.split("content", r"(?md)^## ")
+    rows = summaries.select("id", F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))).alias("section", "s"))
+    plain = lambda b: F.regexp_replace(F.regexp_replace(b, r"^[- ]+", ""), r"^\*\*(.+?)\*\*:\s*", "$1: ")
+    bullets = F.filter(F.transform(F.regexp_extract_all("s", F.lit(r"(?md)^[ \t]*- (.*)$"), F.lit(1)), plain), lambda b: F.length(b) > 15)
+    rows = rows.select("id", "section", F.trim(F.substring_index("s", "\n", 1)).alias("header"), F.posexplode(F.slice(bullets, 1, limit)).alias("pos", "bullet"))
+    return rows.filter(E.actionable(F.col("bullet")))
 
 
 def intake(incoming: DataFrame) -> DataFrame:
@@ -98,12 +101,11 @@ def intake(incoming: DataFrame) -> DataFrame:
 
 
 def extraction(messages: DataFrame) -> DataFrame:
-    """(id, category, score): passages of the message families with their extraction scores, first of equal heads, the best twenty of a session kept by the caller."""
-    names = [n for n in E.FAMILIES if n in ("decision", "error", "learning", "preference")]
-    rows = messages.select("id", F.explode(F.array_compact(F.array(*[F.when(F.col("content").rlike(E.FAMILIES[n]), F.struct(F.lit(n).alias("category"), E.windows(F.col("content"), E.FAMILIES[n]).alias("passage"))) for n in names]))).alias("x"))
-    rows = rows.select("id", "x.category", "x.passage")
+    """(id, category, passage, score): the first passage of each message family in each text, with its extraction score."""
+    found = [F.when(F.col("content").rlike(E.family(n)), F.struct(F.lit(n).alias("category"), E.windows(F.col("content"), E.family(n)).alias("passage"))) for n in FX.MESSAGE_FAMILIES]
+    rows = messages.select("id", F.explode(F.array_compact(F.array(*found))).alias("x")).select("id", "x.category", "x.passage")
     score = F.lit(0)
-    for n in names:
+    for n in FX.MESSAGE_FAMILIES:
         score = F.when(F.col("category") == n, extraction_score(F.col("passage"), n)).otherwise(score)
     return rows.withColumn("score", score)
 

@@ -100,11 +100,6 @@ add(
     lambda s, d: D.flag_contradictions(edges(s, d), edges(s, d).filter("relationship_type = 'supports'").select("source_hash", "target_hash")).groupBy("relationship_type").agg(F.count(F.lit(1)).alias("n")),
     "WITH p AS (SELECT DISTINCT least(source_hash, target_hash) AS a, greatest(source_hash, target_hash) AS b FROM memory_graph WHERE relationship_type = 'supports' AND source_hash <> target_hash), h AS (SELECT DISTINCT least(source_hash, target_hash) AS a, greatest(source_hash, target_hash) AS b FROM memory_graph WHERE relationship_type = 'contradicts') SELECT relationship_type, count(*) AS n FROM (SELECT relationship_type FROM memory_graph UNION ALL SELECT 'contradicts' FROM p ANTI JOIN h USING (a, b)) GROUP BY 1",
 )
-add(
-    "EX04_checkpoint_scan",
-    lambda s, d: mem(s, d).filter("content rlike '^[\\\\x00-\\\\x7F]*$'").select(F.explode(F.regexp_extract_all("content", F.lit(r"(?:Learned that|Root cause was|We decided to) [^.;\n]{5,300}"), F.lit(0))).alias("passage")).filter(F.length("passage").between(15, 500)).distinct(),
-    r"SELECT DISTINCT passage FROM (SELECT unnest(regexp_extract_all(content, '(?:Learned that|Root cause was|We decided to) [^.;\n]{5,300}')) AS passage FROM memories WHERE regexp_full_match(content, '[\x00-\x7F]*', 's')) WHERE length(passage) BETWEEN 15 AND 500",
-)
 add("PI03_scrubbed_metadata", lambda s, d: mem(s, d).select("id", F.coalesce(E.scrub(F.col("metadata")), F.lit("")).alias("metadata")).filter(F.try_parse_json("metadata").isNotNull()).groupBy(F.length("metadata").alias("chars")).agg(F.count(F.lit(1)).alias("n")), "SELECT length(metadata) AS chars, count(*) AS n FROM memories WHERE json_valid(metadata) GROUP BY 1")
 add("ST12_rotated_log", lambda s, d: usage(s, d).select(F.unix_micros("logged_at").alias("us"), "action_name").groupBy("us", "action_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("us"), "action_name").limit(500), "SELECT epoch_us(logged_at) AS us, action_name, count(*) AS n FROM usage_feedback GROUP BY 1, 2 ORDER BY us DESC, action_name LIMIT 500")
 add(

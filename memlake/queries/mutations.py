@@ -53,8 +53,8 @@ add(
 )
 add(
     "DML04_summary_upsert",
-    lambda s, d: mem(s, d).filter(F.lower("memory_type") == "session_summary").withColumn("sid", C.json_string("session_id")).filter("sid is not null and content rlike '^[\\\\x00-\\\\x7F]*$'").select("id", C.content_hash(F.col("content"), F.col("sid")).alias("hash")),
-    rf"SELECT id, sha256(lower(regexp_replace(content, '^\s+|\s+$', '', 'g')) || '|session:' || ({S.J} ->> '$.session_id')) AS hash FROM memories WHERE lower(memory_type) = 'session_summary' AND {S.J} ->> '$.session_id' IS NOT NULL AND regexp_full_match(content, '[\x00-\x7F]*', 's')",
+    lambda s, d: mem(s, d).filter(F.lower("memory_type") == "session_summary").withColumn("sid", C.json_string("session_id")).filter("sid is not null").select("id", C.content_hash(F.col("content"), F.col("sid")).alias("hash")),
+    rf"SELECT id, sha256({S.low(S.strip('content'))} || '|session:' || ({S.J} ->> '$.session_id')) AS hash FROM memories WHERE lower(memory_type) = 'session_summary' AND {S.J} ->> '$.session_id' IS NOT NULL",
 )
 add(
     "DML05_update",
@@ -177,17 +177,20 @@ _RES = f"res AS MATERIALIZED (SELECT a.id AS query, b.id AS doc, row_number() OV
 _PERQ = f"WITH {_RES}, g AS (SELECT query, min(rank) FILTER (hit) AS first, sum(CASE WHEN hit THEN 1.0 / log2(rank + 1.0) END) AS dcg, count(*) FILTER (hit) AS hits FROM res GROUP BY 1) SELECT query, round(coalesce(1.0 / first, 0), 6) AS rr, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, CAST(least(n, 10) AS BIGINT) + 1), lambda i: 1.0 / log2(i + 1.0))), 6) AS ndcg, round(hits / 10.0, 6) AS precision, round(hits / n, 6) AS recall FROM rel JOIN g USING (query)"
 add("IR01_per_query", lambda s, d: M.per_query(_results(s, d), _relevant(s, d), 10), _PERQ)
 add("IR08_means", lambda s, d: M.per_query(_results(s, d), _relevant(s, d), 10).agg(*[F.round(F.avg(c), 5).alias(c) for c in ("rr", "ndcg", "precision", "recall")]), f"SELECT round(avg(rr), 5) AS rr, round(avg(ndcg), 5) AS ndcg, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall FROM ({_PERQ})")
-_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower({c}), ',', ''), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the|and)\b', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
-norm = lambda c: _NORM.replace("{c}", c)
-add("IR05_normal_answer", lambda s, d: usage(s, d).filter("query_text rlike '^[\\\\x00-\\\\x7F]+$'").select(M.normalize_answer(F.col("query_text")).alias("answer")).distinct(), rf"SELECT DISTINCT {norm('query_text')} AS answer FROM usage_feedback WHERE regexp_full_match(query_text, '[\x00-\x7F]+')")
+# an article stands between characters that are no part of a word; the second pass takes those that share one
+_WORDLESS = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
+_ARTICLE = rf"'(^|{_WORDLESS})(?:a|an|the|and)({_WORDLESS}|$)', '\1 \2', 'g'"
+_BARE = r"regexp_replace(replace({c}, ',', ''), '[!-/:-@\[-`{-~]', '', 'g')"
+norm = lambda c: rf"trim(regexp_replace(regexp_replace(regexp_replace({_BARE.replace('{c}', S.low(c))}, {_ARTICLE}), {_ARTICLE}), '[\t-\r\x{{85}}\p{{Z}}]+', ' ', 'g'), ' ')"
+add("IR05_normal_answer", lambda s, d: usage(s, d).filter("query_text is not null").select(M.normalize_answer(F.col("query_text")).alias("answer")).distinct(), rf"SELECT DISTINCT {norm('query_text')} AS answer FROM usage_feedback WHERE query_text IS NOT NULL")
 
 
 def _answer_pairs(s, d):
-    m = mem(s, d).filter("content rlike '^[\\\\x20-\\\\x7E]*$'")
+    m = mem(s, d)
     return table(s, d, "duplicate_sets").groupBy("set_id").agg(F.min("memory_id").alias("x"), F.max("memory_id").alias("y")).filter("x < y").join(m.select(F.col("id").alias("x"), F.col("content").alias("cx")), "x").join(m.select(F.col("id").alias("y"), F.col("content").alias("cy")), "y")
 
 
-_AP = r"(SELECT set_id, a.content AS cx, b.content AS cy FROM (SELECT set_id, min(memory_id) AS x, max(memory_id) AS y FROM duplicate_sets GROUP BY 1 HAVING min(memory_id) < max(memory_id)) JOIN memories a ON a.id = x JOIN memories b ON b.id = y WHERE regexp_full_match(a.content, '[\x20-\x7E]*') AND regexp_full_match(b.content, '[\x20-\x7E]*'))"
+_AP = r"(SELECT set_id, a.content AS cx, b.content AS cy FROM (SELECT set_id, min(memory_id) AS x, max(memory_id) AS y FROM duplicate_sets GROUP BY 1 HAVING min(memory_id) < max(memory_id)) JOIN memories a ON a.id = x JOIN memories b ON b.id = y)"
 add(
     "IR06_token_f1",
     lambda s, d: _answer_pairs(s, d).select("set_id", F.round(M.token_f1(F.col("cx"), F.col("cy")), 6).alias("f1")),
@@ -195,60 +198,12 @@ add(
 )
 add(
     "IR07_has_answer",
-    lambda s, d: _answer_pairs(s, d).select("set_id", M.has_answer(F.col("cx"), F.substring("cy", 1, 60)).alias("found")),
-    f"SELECT set_id, contains({norm('cx')}, {norm('substr(cy, 1, 60)')}) OR len(list_filter(string_split({norm('substr(cy, 1, 60)')}, ' '), lambda w: NOT list_contains(string_split({norm('cx')}, ' '), w))) = 0 AS found FROM {_AP}",
+    lambda s, d: _answer_pairs(s, d).select("set_id", M.has_answer(F.col("cx"), F.col("cy")).alias("found")),
+    f"SELECT set_id, contains({norm('cx')}, {norm('cy')}) OR len(list_filter(string_split({norm('cy')}, ' '), lambda w: NOT list_contains(string_split({norm('cx')}, ' '), w))) = 0 AS found FROM {_AP}",
 )
 
-# --- extraction and gates ---
-_ASC = r"regexp_full_match(content, '[\x00-\x7F]*', 's')"
-
-
-def ascii_mem(s, d):
-    return mem(s, d).filter("content rlike '^[\\\\x00-\\\\x7F]*$'")
-
-
+# --- redaction ---
 _lit = lambda p: p.replace("'", "''")
-add(
-    "EX01_families",
-    lambda s, d: ascii_mem(s, d).select("id", F.explode(E.families(F.col("content"))).alias("family")),
-    f"SELECT id, family FROM (SELECT id, unnest(list_filter([{', '.join(f'CASE WHEN regexp_matches(content, {chr(39)}{_lit(p)}{chr(39)}) THEN {chr(39)}{n}{chr(39)} END' for n, p in E.FAMILIES.items())}], lambda x: x IS NOT NULL)) AS family FROM memories WHERE {_ASC})",
-)
-_PRE = r"lower(regexp_replace(regexp_extract(regexp_replace(content, '^\s+|\s+$', '', 'g'), '^\[([^\]]{2,30})\]', 1), '^\s+|\s+$', '', 'g'))"
-_CASE = " ".join(f"WHEN contains(t, '{k}') THEN '{v}'" for k, v in E.PREFIX_TYPES.items())
-add("EX06_prefix_types", lambda s, d: ascii_mem(s, d).select("id", F.coalesce(E.type_by_prefix(F.col("content")), F.lit("none")).alias("kind")), f"SELECT id, CASE WHEN t = '' THEN 'none' {_CASE} ELSE 'none' END AS kind FROM (SELECT id, {_PRE} AS t FROM memories WHERE {_ASC})")
-add(
-    "EX03_windows",
-    lambda s, d: ascii_mem(s, d).select("id", E.windows(F.col("content"), "(?i)root cause").alias("passage")).filter("passage is not null"),
-    f"SELECT id, substr(content, greatest(instr(lower(content), 'root cause') - 50, 1), 250) AS passage FROM memories WHERE instr(lower(content), 'root cause') > 0 AND {_ASC}",
-)
-add("EX07_macro_verbs", lambda s, d: ascii_mem(s, d).select("id", F.concat(F.lit("[M#dec:2] "), F.substring("content", 1, 40)).alias("t")).select("id", F.explode(E.macro_verbs(F.col("t"))).alias("m")).select("id", "m.type", "m.importance", "m.content"))
-add(
-    "EX10_next_steps",
-    lambda s, d: ascii_mem(s, d).select("id", F.regexp_extract("content", r"(?i)next step: ([^.;\n]{5,200})", 1).alias("step")).filter("step <> ''"),
-    f"SELECT id, step FROM (SELECT id, regexp_extract(content, '(?i)next step: ([^.;\\n]{{5,200}})', 1) AS step FROM memories WHERE {_ASC}) WHERE step <> ''",
-)
-add(
-    "FLT12_fragments",
-    lambda s, d: ascii_mem(s, d).select("id", E.is_fragment(F.col("content")).alias("fragment")),
-    rf"SELECT id, t = '' OR lower(t) IN ({', '.join(repr(x) for x in E.STUBS)}) OR ends_with(t, ':') OR ends_with(t, '...') OR (length(t) - length(replace(t, '\"', ''))) % 2 = 1 OR (p = '' AND (NOT regexp_matches(t, '^\p{{Lu}}') OR length(t) < 50)) AS fragment FROM (SELECT id, regexp_replace(content, '^\s+|\s+$', '', 'g') AS t, {_PRE} AS p FROM memories WHERE {_ASC})".replace('\\"', '"'),
-)
-_MARKS = " + ".join(f"CAST(regexp_matches(t, '{_lit(p)}') AS INTEGER)" for p in E.CODE_MARKS)
-add(
-    "FLT13_code",
-    lambda s, d: ascii_mem(s, d).select("id", E.looks_like_code(F.col("content")).alias("code")),
-    rf"SELECT id, w < 4 OR regexp_matches(t, '{_lit(E.SHELL_PIPE)}') OR {_MARKS} + CAST(f >= 2 AS INTEGER) + CAST(f >= 4 AS INTEGER) >= 2 AS code FROM (SELECT id, t, len(regexp_extract_all(t, '\p{{L}}{{2,}}')) AS w, len(regexp_extract_all(t, '{E.CLI_FLAG}')) AS f FROM (SELECT id, regexp_replace(content, '^\s+|\s+$', '', 'g') AS t FROM memories WHERE {_ASC}))",
-)
-add("FLT14_recitations", lambda s, d: mem(s, d).select("id", E.summary_recitation(F.col("content")).alias("recitation")), "SELECT id, " + " + ".join(f"CAST(contains(content, '{m}') AS INTEGER)" for m in E.SUMMARY_MARKERS) + " >= 2 AS recitation FROM memories")
-add(
-    "FLT15_actionable",
-    lambda s, d: ascii_mem(s, d).select("id", E.actionable(F.col("content")).alias("ok")),
-    rf"SELECT id, len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) >= 5 AND NOT regexp_matches(t, '^(?:none|n/a|no |nothing|see )') AND regexp_matches(t, '\b(?:use|always|never|because|must|should|prefer|avoid|fix|fixed|keep|decided|learned|run|instead)\b') AS ok FROM (SELECT id, lower(regexp_replace(content, '^\s+|\s+$', '', 'g')) AS t FROM memories WHERE {_ASC})",
-)
-add(
-    "FLT16_trivial_prompts",
-    lambda s, d: usage(s, d).filter("query_text rlike '^[\\\\x00-\\\\x7F]+$'").select("query_text", E.trivial_prompt(F.col("query_text")).alias("trivial")).distinct(),
-    r"SELECT DISTINCT query_text, length(query_text) < 15 OR regexp_matches(t, '^(?:evet|hayır|tamam|ok|yes|no|devam|anladım|güzel|teşekkür|thanks|merhaba|hey|hi |hello|peki|hadi|oldu|anlaşıldı|süper|harika)') OR (regexp_matches(t, '^(?:commit|push|pull|merge|rebase|deploy|install|build|run |start |stop |restart|kill )') AND len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) <= 3) OR regexp_matches(query_text, '^/[a-zA-Z][a-zA-Z0-9_-]*($|\s)') AS trivial FROM (SELECT query_text, lower(query_text) AS t FROM usage_feedback WHERE regexp_full_match(query_text, '[\x00-\x7F]+'))",
-)
 _scrub = "content"
 for _label, _p, _keep in E.SECRETS:
     _scrub = f"regexp_replace({_scrub}, '{_lit(_p)}', '{chr(92) + '1' if _keep else ''}[REDACTED:{_label}]', 'g')"
@@ -281,9 +236,9 @@ def _ingested(s, d):
     scratch = Scratch(s)
     q = U.ingest(U.read_events(s, f"{d}/ingest_queue.parquet", queue(s, d).schema), f"{scratch.root}/target", f"{scratch.root}/checkpoint")
     q.awaitTermination()
-    return s.read.parquet(f"{scratch.root}/target").filter("content rlike '^[\\\\x00-\\\\x7F]*$'").select("content_hash")
+    return s.read.parquet(f"{scratch.root}/target").select("content_hash")
 
 
-add("ST01_stream_ingest", _ingested, r"SELECT DISTINCT sha256(lower(regexp_replace(content, '^\s+|\s+$', '', 'g'))) AS content_hash FROM ingest_queue WHERE regexp_full_match(content, '[\x00-\x7F]*', 's')")
+add("ST01_stream_ingest", _ingested, f"SELECT DISTINCT sha256({S.low(S.strip('content'))}) AS content_hash FROM ingest_queue WHERE content IS NOT NULL")
 add("ST05_token_budgets", lambda s, d: U.run_once(U.token_budgets(_stream(s, d)), "budgets", "update").groupBy("session_id").agg(F.max(F.struct("batch", "used", "granted", "refused")).alias("m")).select("session_id", "m.used", "m.granted", "m.refused"), "SELECT session_id, CAST(sum(ceil(content_length * 0.25)) AS BIGINT) AS used, count(*) AS granted, CAST(0 AS BIGINT) AS refused FROM usage_feedback WHERE session_id IS NOT NULL AND content_length IS NOT NULL GROUP BY 1 HAVING sum(ceil(content_length * 0.25)) <= 80000")
 add("ST20_windowed_usage", lambda s, d: U.run_once(U.windowed_counts(_stream(s, d), "1 day"), "windows"))

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.functions import extract as E
 from memlake.functions import columns as C
-from memlake.functions.importance import importance_score
 from memlake.functions.porter import stem_all
 from memlake.operators import consolidate as K
-from memlake.operators import metrics as M
 from memlake.operators import report as R
 from memlake.operators import text as X
 from memlake.operators import vector as V
@@ -35,10 +32,7 @@ def events(s, d):
 
 
 W96 = f"round({S.IMP} * {S.STRENGTH}, 6)"
-add("SC02_importance_bands", lambda s, d: mem(s, d).select("id", importance_score(F.col("content")).alias("score")))
-add("SC07_extraction_scores", lambda s, d: P.extraction(mem(s, d)).select("id", "category", "score"))
 add("EX11_digest", lambda s, d: P.session_digest(mem(s, d).filter(C.has_tag("proj:harborline")).select(F.col("id").alias("pos"), "content")))
-add("EX08_section_bullets", lambda s, d: P.section_memories(mem(s, d).groupBy(C.json_string("session_id").alias("sid")).agg(F.min("id").alias("id"), F.concat(F.lit("## Decisions Made\n- "), F.array_join(F.array_sort(F.collect_list("content")), "\n- "), F.lit("\n")).alias("content")).select("id", "content")))
 add("TX17_stemmed_postings", lambda s, d: mem(s, d).select("id", F.explode(stem_all(X.tokens(F.col("content")))).alias("term")).groupBy("term").agg(F.countDistinct("id").alias("df")))
 add("VE10_collapsed_hits", lambda s, d: K.collapse_ranked(V.semantic_search(emb(s, d), Q96, 60, 0.0).select("id", F.col("cosine").alias("score")), vectors(s, d), mem(s, d), 10))
 add("VE11_density_clusters", lambda s, d: K.clusters(vectors64(s, d).withColumn("g", F.col("label").cast("string")), "g").select("id", "g", "cluster"))
@@ -54,9 +48,9 @@ add("CMP09_consolidation_plan", lambda s, d: K.plan(K.actions(mem(s, d), vectors
 add(
     "FLT17_near_duplicate_rule",
     lambda s, d: (lambda m: (lambda x, y: table(s, d, "duplicate_sets").groupBy("set_id").agg(F.min("memory_id").alias("a"), F.max("memory_id").alias("b")).filter("a < b").join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id")).select("set_id", F.coalesce(K.near_duplicate(), F.lit(False)).alias("same")))(*[m.select(*[F.col(c).alias(f"{p}_{c}") for c in m.columns]) for p in "xy"]))(
-        mem(s, d).filter("content rlike '^[\\\\x00-\\\\x7F]*$'").select("id", "content", F.lower("memory_type").alias("type"), C.project_tag().alias("project"))
+        mem(s, d).select("id", "content", F.lower("memory_type").alias("type"), C.project_tag().alias("project"))
     ),
-    rf"""WITH m AS (SELECT id, content, lower(memory_type) AS type, {S.PROJECT} AS project, list_distinct(list_filter(regexp_split_to_array(lower(content), '[^\w]+'), lambda x: x <> '')) AS w FROM memories WHERE regexp_full_match(content, '[\x00-\x7F]*', 's')), p AS (SELECT set_id, min(memory_id) AS a, max(memory_id) AS b FROM duplicate_sets GROUP BY 1 HAVING min(memory_id) < max(memory_id))
+    rf"""WITH m AS (SELECT id, content, lower(memory_type) AS type, {S.PROJECT} AS project, list_distinct(list_filter(regexp_split_to_array({S.low('content')}, '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+'), lambda x: x <> '')) AS w FROM memories), p AS (SELECT set_id, min(memory_id) AS a, max(memory_id) AS b FROM duplicate_sets GROUP BY 1 HAVING min(memory_id) < max(memory_id))
     SELECT set_id, coalesce(x.type IN ('knowledge', 'learning', 'observation', 'general', 'error_fix', 'preference', 'progress') AND x.type = y.type AND x.project = y.project AND least(length(x.content), length(y.content)) / greatest(length(x.content), length(y.content)) >= 0.5 AND len(list_intersect(x.w, y.w)) >= 0.7 * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), false) AS same FROM p JOIN m x ON x.id = a JOIN m y ON y.id = b""",
 )
 add("VE17_lexical_contradictions", lambda s, d: (lambda m: edges(s, d).filter("relationship_type = 'contradicts'").join(m.toDF("source_hash", "ca"), "source_hash").join(m.toDF("target_hash", "cb"), "target_hash").select("source_hash", "target_hash", K.lexical_contradiction(F.col("ca"), F.col("cb")).alias("contradicts")))(mem(s, d).filter("content_hash is not null").select("content_hash", "content")))
@@ -93,8 +87,6 @@ add(
     f"SELECT id, round(cosine, 6) AS cosine FROM {LIVE_EMB} WHERE cosine > 0.1 AND id IN (SELECT id FROM memories WHERE {S.LIVE} AND {S.STRENGTH} >= 0.5 AND created_at <= 1772236800.0) AND id NOT IN {_UP} ORDER BY cosine DESC, id LIMIT 3",
 )
 add("CMP13_intake", lambda s, d: P.intake(table(s, d, "ingest_queue").select("content", "memory_type", "tags", "metadata")).groupBy("memory_type", "importance").agg(F.count(F.lit(1)).alias("n")))
-add("IR09_regressions", lambda s, d: M.regressions(R.percentiles(table(s, d, "usage_feedback").filter("latency_ms >= 0"), "action_name", "latency_ms").select(F.col("action_name").alias("metric"), F.col("p50").alias("value")), R.percentiles(table(s, d, "usage_feedback").filter("latency_ms >= 0"), "action_name", "latency_ms").select(F.col("action_name").alias("metric"), F.col("p95").alias("value"))))
-add("EX02_first_windows", lambda s, d: mem(s, d).select("id", E.windows(F.col("content"), E.FAMILIES["learning"]).alias("passage")).filter("passage is not null"))
 add("ST02_checkpoint_flushes", lambda s, d: U.run_once(Z.checkpoint_flushes(U.read_events(s, f"{d}/usage_feedback.parquet", table(s, d, "usage_feedback").schema).filter("session_id is not null").select("session_id", F.unix_seconds("ts").alias("sec"))), "flushes"))
 add("ST03_surfaced", lambda s, d: U.run_once(Z.surfacing(events(s, d)), "shown"))
 add("ST06_ledgers", lambda s, d: U.run_once(Z.lru_ledger(events(s, d)), "ledgers", "update").select("session_id", F.size("ids").alias("n")))

@@ -85,29 +85,10 @@ add(
 add("TX07_relaxed_and", lambda s, d: X.relaxed(X.bm25(mem(s, d), TERMS), 4).select("id", "matched"), f"SELECT id, matched FROM {BM25} WHERE matched >= 3")
 add("TX08_near", lambda s, d: X.near(mem(s, d), "redis", "after", 2), f"SELECT id FROM (SELECT id, {S.tokens('content')} AS ts FROM memories) WHERE len(list_filter(range(1, len(ts) + 1), lambda i: ts[i] = 'redis' AND list_contains(ts[greatest(i - 3, 1):i + 3], 'after'))) > 0")
 add("TX09_exact", lambda s, d: X.exact(mem(s, d).filter(C.active()), "root cause"), f"SELECT id, CAST(0.9 AS DOUBLE) AS lexical FROM memories WHERE {S.ACTIVE} AND content ILIKE '%root cause%'")
-add(
-    "TX12_router",
-    lambda s, d: table(s, d, "usage_feedback").filter("query_text is not null").select("query_text").distinct().withColumn(
-        "mode", F.when(F.lower("query_text").rlike(r"\b(remember|recall|not|never|last time|hatırla)\b"), "hybrid").when(F.lower("query_text").rlike(r"\b(which|what|prefer|port|version|name)\b"), "keyword").otherwise("hybrid")
-    ),
-    r"SELECT DISTINCT query_text, CASE WHEN regexp_matches(lower(query_text), '\b(remember|recall|not|never|last time|hatırla)\b') THEN 'hybrid' WHEN regexp_matches(lower(query_text), '\b(which|what|prefer|port|version|name)\b') THEN 'keyword' ELSE 'hybrid' END AS mode FROM usage_feedback WHERE query_text IS NOT NULL",
-)
-_TECH = [r"[a-z_]+\.(py|ts|go|rs|sh|sql)", r"\d+\.\d+", r"[a-z]+_[a-z]+", r"[0-9a-f]{8}"]
-add(
-    "TX13_adaptive_weights",
-    lambda s, d: mem(s, d).withColumn("hits", sum((F.lower("content").rlike(p).cast("int") for p in _TECH), F.lit(0))).select("id", F.when(F.col("hits") >= 3, 0.5).when(F.col("hits") >= 1, 0.6).otherwise(0.7).alias("lexical_weight")),
-    "SELECT id, CAST(CASE WHEN h >= 3 THEN 0.5 WHEN h >= 1 THEN 0.6 ELSE 0.7 END AS DOUBLE) AS lexical_weight FROM (SELECT id, " + " + ".join(f"CAST(regexp_matches(lower(content), '{p}') AS INTEGER)" for p in _TECH) + " AS h FROM memories)",
-)
 add("TX16_tokenizer", lambda s, d: mem(s, d).select("id", F.size(X.tokens(F.col("content"))).alias("n"), F.size(F.array_distinct(X.tokens(F.col("content")))).alias("n_distinct")), f"SELECT id, CAST(len({S.tokens('content')}) AS INTEGER) AS n, CAST(len(list_distinct({S.tokens('content')})) AS INTEGER) AS n_distinct FROM memories")
 
 # --- scores ---
 add("SC01_unified_score", lambda s, d: mem(s, d).select("id", F.round(C.unified_score(F.lit(0.9)), 6).alias("score")), f"SELECT id, round({S.score('0.9')}, 6) AS score FROM memories")
-_FLOOR = {"decision": 0.75, "error_fix": 0.7, "learning": 0.7, "preference": 0.7, "observation": 0.7, "knowledge": 0.7, "progress": 0.7}
-add(
-    "SC03_type_floor",
-    lambda s, d: mem(s, d).select("id", F.round(F.greatest(C.importance(), F.coalesce(F.create_map(*[F.lit(x) for kv in _FLOOR.items() for x in kv])[F.lower("memory_type")], F.lit(0.0))), 6).alias("importance")),
-    f"SELECT id, round(greatest({S.IMP}, CASE lower(memory_type) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _FLOOR.items()) + " ELSE 0 END), 6) AS importance FROM memories",
-)
 add("SC04_review", lambda s, d: mem(s, d).select("id", F.round(F.least(F.coalesce(C.number(F.col("strength")), F.lit(1.0)) + 0.2, F.lit(5.0)), 6).alias("strength"), F.round(NOW + 86400 * F.greatest(F.lit(1.0), F.coalesce(C.number(F.col("strength")), F.lit(1.0))), 3).alias("due")), f"SELECT id, round(least({S.STRENGTH} + 0.2, 5.0), 6) AS strength, round({NOW} + 86400 * greatest(1.0, {S.STRENGTH}), 3) AS due FROM memories")
 add("SC05_retention", lambda s, d: mem(s, d).filter(C.number(F.col("strength")) > 0).select("id", F.round(C.retention(C.age_days(), F.col("strength")), 6).alias("retention")), f"SELECT id, round(1.0 / (1.0 + {S.AGE} / (9.0 * strength)), 6) AS retention FROM memories WHERE {S.num('strength')} > 0")
 _R = f"(CASE WHEN {S.STRENGTH} <= 0 THEN 0.0 ELSE 1.0 / (1.0 + {S.AGE} / (9.0 * {S.STRENGTH})) END)"

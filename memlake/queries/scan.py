@@ -45,8 +45,8 @@ add(
 )
 add(
     "SRC09_batched_ids",
-    lambda s, d: mem(s, d).join(table(s, d, "duplicate_sets").select(F.col("memory_id").alias("id")), "id", "left_semi").select("id", "memory_type", "strength"),
-    "SELECT id, memory_type, strength FROM memories WHERE id IN (SELECT memory_id FROM duplicate_sets)",
+    lambda s, d: mem(s, d).join(table(s, d, "duplicate_sets").select(F.col("memory_id").alias("id")), "id", "left_semi").select("id", "memory_type", C.number(F.col("strength")).alias("strength")),
+    f"SELECT id, memory_type, {S.num('strength')} AS strength FROM memories WHERE id IN (SELECT memory_id FROM duplicate_sets)",
 )
 add(
     "SRC12_tail",
@@ -81,8 +81,8 @@ add(
 )
 add(
     "PRJ07_content_hash",
-    lambda s, d: mem(s, d).filter("content rlike '^[\\\\x00-\\\\x7F]*$'").select("id", C.content_hash(F.col("content")).alias("hash")),
-    r"SELECT id, sha256(lower(regexp_replace(content, '^\s+|\s+$', '', 'g'))) AS hash FROM memories WHERE regexp_full_match(content, '[\x00-\x7F]*', 's')",
+    lambda s, d: mem(s, d).select("id", C.content_hash(F.col("content")).alias("hash")),
+    f"SELECT id, sha256({S.low(S.strip('content'))}) AS hash FROM memories",
 )
 add("PRJ08_normal_tags", lambda s, d: mem(s, d).select("id", F.array_join(C.tag_array(), ",").alias("tags")), f"SELECT id, array_to_string({S.TAGS}, ',') AS tags FROM memories")
 add("PRJ09_project", lambda s, d: mem(s, d).select("id", C.project_tag().alias("project")), f"SELECT id, {S.PROJECT} AS project FROM memories")

@@ -40,3 +40,51 @@ def vector(name: str, dim: int) -> str:
 
 def cosine(a: str, b: str) -> str:
     return f"(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))))"
+
+
+def re2(pattern: str, fold: bool = True) -> str:
+    """A quoted DuckDB pattern that covers Unicode words, spaces and digits; with ``fold`` it ignores case, for use on ``folded`` text."""
+    sets = {"s": r"\t-\r\x{85}\p{Z}", "w": r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}", "d": r"\p{Nd}"}
+    out, i, inside = [], 0, False
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            n = pattern[i + 1]
+            if n in sets:
+                out.append(sets[n] if inside else f"[{sets[n]}]")
+            elif n.lower() in sets:
+                out.append(f"[^{sets[n.lower()]}]")
+            else:
+                out.append(ch + n)
+            i += 2
+            continue
+        if ch == "[" and not inside:
+            inside = True
+        elif ch == "]" and inside:
+            inside = False
+        out.append(ch)
+        i += 1
+    text = "".join(out).replace("'", "''")
+    return "'(?i)" + text.replace("ı", "i").replace("İ", "i") + "'" if fold else "'" + text + "'"
+
+
+def folded(c: str) -> str:
+    """Text with the dotted and dotless i as one, character for character."""
+    return f"replace(replace({c}, 'İ', 'i'), 'ı', 'i')"
+
+
+def low(c: str) -> str:
+    """Lower case as the engine makes it."""
+    return f"lower(replace({c}, 'İ', 'i̇'))"
+
+
+def strip(c: str) -> str:
+    return f"regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+
+
+def matches(c: str, pattern: str, fold: bool = True) -> str:
+    return f"regexp_matches({folded(c) if fold else c}, {re2(pattern, fold)})"
+
+
+def any_of(c: str, words) -> str:
+    return "(" + " OR ".join("contains(" + c + ", '" + w.replace("'", "''") + "')" for w in words) + ")"

@@ -2,9 +2,10 @@
 
 import glob
 import os
+from datetime import datetime
+from decimal import Decimal
 
 import duckdb
-import numpy as np
 import pytest
 
 from memlake.queries import all_queries, all_sql
@@ -13,19 +14,31 @@ SQL = all_sql()
 
 
 def cell(v):
-    if v is None or v is np.nan:
+    if v is None:
         return "null"
-    if isinstance(v, (list, tuple, np.ndarray)):
+    if isinstance(v, (list, tuple)):
         return "[" + ",".join(map(cell, v)) + "]"
-    if isinstance(v, (bool, np.bool_)):
-        return str(bool(v))
-    if isinstance(v, (float, int, np.floating, np.integer)):
-        return "null" if v != v else repr(round(float(v), 6) + 0.0)
-    return "null" if str(v) == "<NA>" else str(v)
+    if isinstance(v, bool):
+        return str(v)
+    if isinstance(v, (float, int, Decimal)):
+        return "nan" if v != v else repr(round(float(v), 6) + 0.0)
+    return str(v.replace(tzinfo=None)) if isinstance(v, datetime) else str(v)
 
 
-def rows(df):
-    return sorted("|".join(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
+def rows(names, values):
+    """Sorted rows, in which NaN and null are told apart."""
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return sorted("|".join(cell(r[k]) for k in order) for r in values)
+
+
+def of_spark(df):
+    got = df.toArrow()
+    return got.column_names, list(zip(*[c.to_pylist() for c in got.columns])) if got.num_columns else []
+
+
+def of_duck(con, sql):
+    got = con.execute(sql)
+    return [d[0] for d in got.description], got.fetchall()
 
 
 @pytest.fixture(scope="module")
@@ -39,9 +52,13 @@ def duck(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, sf_dir, duck, name):
-    got, want = all_queries()[name](spark, sf_dir).toPandas(), duck.execute(SQL[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got) == rows(want)
+    got, want = of_spark(all_queries()[name](spark, sf_dir)), of_duck(duck, SQL[name])
+    assert sorted(got[0]) == sorted(want[0])
+    assert rows(*got) == rows(*want)
+
+
+def test_null_is_not_nan():
+    assert rows(["a"], [(None,)]) != rows(["a"], [(float("nan"),)])
 
 
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - set(SQL)))
