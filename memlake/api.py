@@ -36,8 +36,11 @@ class Engine:
         return vec if vec is not None else self.encoder(query) if self.encoder and query else None
 
     # --- reads ---
-    def search(self, query: str = "", mode: str = "hybrid", tags: Sequence[str] = (), limit: int = 10, after: float | None = None, before: float | None = None, vec: Sequence[float] | None = None) -> DataFrame:
-        """Hybrid, semantic or exact search; without a query the newest rows at relevance 0.5."""
+    def search(self, query: str = "", mode: str = "hybrid", tags: Sequence[str] = (), limit: int = 10, after: float | str | None = None, before: float | str | None = None, vec: Sequence[float] | None = None, stemmed: bool = False, max_response_chars: int | None = None) -> DataFrame:
+        """Hybrid, semantic or exact search; without a query the newest rows at relevance 0.5. With ``max_response_chars`` the best hits whose contents fit."""
+        if max_response_chars is not None:
+            hits = self.search(query, mode, tags, limit, after, before, vec, stemmed)
+            return text.budget_prefix(hits.join(self.memories.select("id", "content"), "id"), max_response_chars, F.desc("score"), F.col("id")).drop("content")
         v = self._vector(query, vec) if mode != "exact" else None
         semantic = vector.semantic_search(self.embeddings, v, 6 * limit, 0.3).select("id", F.col("cosine").alias("semantic")) if v is not None else None
         if not query and semantic is None:
@@ -48,7 +51,7 @@ class Engine:
             live = rows.filter(C.active() & C.unexpired(self.now))
             out = live.join(semantic, "id").withColumn("score", F.round(C.unified_score(F.col("semantic"), self.now), 6)) if semantic is not None else live.withColumn("semantic", F.lit(0.0)).withColumn("score", F.lit(0.0))
             return out.select("id", "memory_type", F.round("semantic", 6).alias("relevance"), "score").orderBy(F.desc("score"), "id").limit(limit)
-        return text.search(rows, query, semantic, tags, limit, after, before, self.now)
+        return text.search(rows, query, semantic, tags, limit, after, before, self.now, stemmed)
 
     def recall(self, vec: Sequence[float], limit: int = 5, threshold: float = 0.55, skip: DataFrame | None = None) -> DataFrame:
         return vector.semantic_search(self.embeddings, vec, limit, threshold, self.memories.filter(C.active() & C.unexpired(self.now)), skip)

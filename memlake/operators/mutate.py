@@ -176,3 +176,26 @@ def merge_or_insert(incoming: DataFrame, near: DataFrame, memories: DataFrame, t
     j = incoming.join(same, "content_hash", "left").join(near, "key", "left")
     action = F.when(F.col("m.gone") == 0, "noop").when(F.col("m.gone") == 1, "revive").when(F.col("cosine") > threshold, "merge").otherwise("insert")
     return j.select("key", action.alias("action"), F.coalesce(F.col("m.id"), F.when(F.col("cosine") > threshold, F.col("id")), F.lit(-1)).alias("target_id"))
+
+
+def resolve_merge(memories: DataFrame, edges: DataFrame, pairs: DataFrame, now: float = C.NOW) -> tuple[DataFrame, DataFrame]:
+    """(memories, edges) after merging each pair (keep_id, remove_id): the kept row gets the other's text under a mark and a new hash, the other is soft-deleted, and edges of both move to the new hash.
+
+    A row is kept or removed in one pair only (the one of least ids).
+    """
+    one = first_by(first_by(pairs.filter("keep_id <> remove_id"), ["keep_id"], F.col("remove_id")), ["remove_id"], F.col("keep_id"))
+    one = one.join(one.select(F.col("remove_id").alias("keep_id")), "keep_id", "left_anti")
+    other = memories.select(F.col("id").alias("remove_id"), F.col("content").alias("__text"), F.col("content_hash").alias("__hash"))
+    joined = one.join(other, "remove_id").withColumnRenamed("keep_id", "id")
+    text = F.concat(F.regexp_replace("content", r"(?U)\s+$", ""), F.lit("\n• [Merged from #"), F.col("remove_id").cast("string"), F.lit("] "), C.strip(F.col("__text")))
+    rows = memories.join(joined, "id", "left").join(joined.select(F.col("remove_id").alias("id"), F.lit(True).alias("__gone")), "id", "left")
+    merged = F.col("remove_id").isNotNull()
+    new = F.when(merged, C.content_hash(text))
+    rows = rows.withColumn("__new", new)
+    moved = rows.filter("remove_id is not null").select(F.explode(F.array("content_hash", "__hash")).alias("old"), F.col("__new").alias("new")).filter("old is not null")
+    moved = moved.groupBy("old").agg(F.min("new").alias("new"))
+    out = rows.withColumns({
+        "content": F.when(merged, text).otherwise(F.col("content")), "content_hash": F.coalesce("__new", "content_hash"),
+        "updated_at": F.when(merged, F.lit(now)).otherwise(F.col("updated_at")), "deleted_at": F.when(F.col("__gone") & C.active(), F.lit(now)).otherwise(F.col("deleted_at")),
+    })
+    return out.select(*memories.columns), rewrite_edges(edges, moved)

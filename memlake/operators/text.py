@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
+from memlake.functions.porter import stem, stem_all
 from memlake.schema import NOW
 
 K1, B, FLOOR_IDF = 1.2, 0.75, 1e-6
@@ -42,25 +43,39 @@ def query_tokens(text: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(TOKEN_SPLIT, text.lower()) if t))
 
 
-def sanitize(text: str) -> str:
-    """A query of quoted words joined by OR, without operators and single letters."""
-    parts = [w for w in re.sub(r"[^\w\s]", " ", text).split() if len(w) > 1 and w.upper() not in ("AND", "OR", "NOT", "NEAR")]
-    return " OR ".join(f'"{w}"' for w in parts)
+#: Characters and words that mean something to a query language (fixed values).
+UNSAFE, OPERATORS = "'\";\\/(){}*^:", r"(?i)\b(AND|OR|NOT|NEAR)\b"
 
 
-def postings(df: DataFrame, id_col: str = "id", text_col: str = "content", terms: Sequence[str] | None = None) -> DataFrame:
+def sanitize(c: Column) -> Column:
+    """A query of quoted words joined by OR, without operators, their characters, and single letters."""
+    safe = F.replace(F.translate(c, UNSAFE, ""), F.lit("--"), F.lit(""))
+    parts = F.filter(F.split(F.regexp_replace(safe, OPERATORS, ""), r"(?U)\s+"), lambda w: F.length(w) > 1)
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " OR ")
+
+
+def plain_query(text: str) -> str:
+    """The words of a query that ``sanitize`` keeps."""
+    safe = text.translate({ord(ch): None for ch in UNSAFE}).replace("--", "")
+    return " ".join(w for w in re.sub(OPERATORS, "", safe).split() if len(w) > 1)
+
+
+def postings(df: DataFrame, id_col: str = "id", text_col: str = "content", terms: Sequence[str] | None = None, stemmed: bool = False) -> DataFrame:
     """(term, id, tf, dl): with ``terms``, only those; the document length counts all tokens."""
-    rows = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts")).withColumn("dl", F.size("ts"))
+    words = stem_all(tokens(F.col(text_col))) if stemmed else tokens(F.col(text_col))
+    rows = df.select(F.col(id_col).alias("id"), words.alias("ts")).withColumn("dl", F.size("ts"))
     if terms is not None:
         rows = rows.withColumn("ts", F.filter("ts", lambda t: t.isin(*terms)))
     return rows.select("id", "dl", F.explode("ts").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(df: DataFrame, query: str | Sequence[str], id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """(id, bm25, matched): documents with any of the query's terms. Only those terms are shuffled; corpus counts are one pass."""
+def bm25(df: DataFrame, query: str | Sequence[str], id_col: str = "id", text_col: str = "content", stemmed: bool = False) -> DataFrame:
+    """(id, bm25, matched): documents with any of the query's terms, or of their stems. Only those terms are shuffled; corpus counts are one pass."""
     terms = query_tokens(query) if isinstance(query, str) else list(query)
+    if stemmed:
+        terms = list(dict.fromkeys(map(stem, terms)))
     stats = df.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    hits = postings(df, id_col, text_col, terms)
+    hits = postings(df, id_col, text_col, terms, stemmed)
     df_t = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # as many rows as the query has terms, and one
     scored = hits.join(F.broadcast(df_t), "term").crossJoin(F.broadcast(stats))
@@ -118,16 +133,34 @@ def budget_prefix(ranked: DataFrame, cap: int, *order: Column) -> DataFrame:
     return ranked.withColumn("used_chars", F.sum(F.length("content")).over(w)).filter(F.col("used_chars") <= cap)
 
 
-def search(memories: DataFrame, query: str, semantic: DataFrame | None = None, tags: Sequence[str] = (), limit: int = 10, after: float | None = None, before: float | None = None, now: float = NOW) -> DataFrame:
+def within(after: float | str | None = None, before: float | str | None = None) -> Column:
+    """Rows created within the bounds, in seconds or as text; a bound that can't be read is ignored."""
+    read = lambda b: F.try_to_timestamp(F.lit(b)).cast("double") if isinstance(b, str) else F.lit(b).cast("double")
+    return F.coalesce(F.col("created_at") >= read(after), F.lit(True) if after is None or isinstance(after, str) else F.lit(False)) & F.coalesce(F.col("created_at") <= read(before), F.lit(True) if before is None or isinstance(before, str) else F.lit(False))
+
+
+def legacy_hybrid(lexical: DataFrame, semantic: DataFrame, k: int = 5, lexical_weight: float = 0.7, floor: float = 0.3) -> DataFrame:
+    """(id, score): the older fusion of (id, bm25) and (id, cosine). Lexical hits, three times k, score their weight over 1 + bm25 and the cosine's; of the rest the nearest k // 2 above the floor count 0.8 of their cosine's share."""
+    w = 1.0 - lexical_weight
+    words = lexical.orderBy(F.desc("bm25"), "id").limit(3 * k)
+    near = semantic.select("id", "cosine")
+    first = words.join(near, "id", "left").select("id", (lexical_weight / (1.0 + F.abs("bm25")) + w * F.greatest(F.coalesce("cosine", F.lit(0.0)), F.lit(0.0))).alias("score"))
+    rest = near.join(words.select("id"), "id", "left_anti").filter(F.col("cosine") > floor).orderBy(F.desc("cosine"), "id").limit(max(1, k // 2)).select("id", (w * F.col("cosine") * 0.8).alias("score"))
+    return first.unionByName(rest).orderBy(F.desc("score"), "id").limit(k)
+
+
+def probes(rows: DataFrame, k: int = 200, seed: int = 13, id_col: str = "id") -> DataFrame:
+    """``k`` rows drawn by a hash of id and seed, the same at every run."""
+    return rows.withColumn("__h", F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(str(seed))))).orderBy("__h", id_col).limit(k).drop("__h")
+
+
+def search(memories: DataFrame, query: str, semantic: DataFrame | None = None, tags: Sequence[str] = (), limit: int = 10, after: float | str | None = None, before: float | str | None = None, now: float = NOW, stemmed: bool = False) -> DataFrame:
     """The flagship: filters, lexical and vector candidates, fusion, four-factor score, top k. Pure: reinforcement is a step of its own."""
     rows = memories.filter(C.active() & C.unexpired(now))
     for t in tags:
         rows = rows.filter(C.like_tag(t))
-    if after is not None:
-        rows = rows.filter(F.col("created_at") >= after)
-    if before is not None:
-        rows = rows.filter(F.col("created_at") <= before)
-    words = bm25(rows, query).select("id", relevance(F.col("bm25")).alias("lexical"))
+    rows = rows.filter(within(after, before))
+    words = bm25(rows, plain_query(query), stemmed=stemmed).select("id", relevance(F.col("bm25")).alias("lexical"))
     lexical = words.unionByName(exact(rows, query))
     fused = fuse(lexical, semantic if semantic is not None else lexical.limit(0).select("id", F.col("lexical").alias("semantic")))
     scored = rows.join(fused, "id").withColumn("score", F.round(C.unified_score(F.col("relevance"), now), 6))

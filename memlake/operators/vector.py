@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,66 +38,100 @@ def rerank(ids: DataFrame, emb: DataFrame, query: Sequence[float], **cols) -> Da
     return ids.join(s, "id", "left").select("id", F.greatest(F.coalesce("cosine", F.lit(0.0)), F.lit(0.0)).alias("score"))
 
 
-def block_pairs(vectors: DataFrame, floor: float, blocks: int = 8, same: Sequence[str] = ()) -> DataFrame:
+#: Rows of a block: two of them and their product fit a task.
+BLOCK = 4096
+
+
+def _blocks(vectors: DataFrame, blocks: int | None) -> int:
+    return blocks or max(1, -(-vectors.count() // BLOCK))
+
+
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks()
+    x = np.asarray(values.flatten(), dtype=np.float64).reshape(len(values), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _groups(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """A number for each row, equal where the keys are."""
+    if not keys:
+        return np.zeros(t.num_rows, int)
+    seen: dict = {}
+    return np.array([seen.setdefault(k, len(seen)) for k in zip(*[t.column(k).to_pylist() for k in keys])], int)
+
+
+def block_pairs(vectors: DataFrame, floor: float, blocks: int | None = None, same: Sequence[str] = ()) -> DataFrame:
     """(a, b, cosine), a < b, of all pairs with cosine >= floor, exact: a grid of block pairs, each one matrix product.
 
     ``vectors`` has id, v and the columns of ``same``, which must be equal in a
-    pair (nulls are equal to nothing). Every vector is sent to ``blocks`` tasks; choose blocks so that two of them
-    fit a task: memory is n / blocks rows, work stays n^2 / 2.
+    pair (nulls are equal to nothing). The number of blocks follows from the
+    rows, so a task holds two blocks of about BLOCK rows at any size; the work
+    is n^2 / 2, as that of any exact answer.
     """
     keys = list(same)
     rows = vectors.dropna(subset=keys) if keys else vectors
+    blocks = _blocks(rows, blocks)
     rows = rows.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.withColumn("lo", F.least("c", "m")).withColumn("hi", F.greatest("c", "m"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        groups = pdf.groupby(keys, sort=False) if keys else [(None, pdf)]
-        for _, g in groups:
-            lo, hi = g[g.c == g.lo], g[g.c == g.hi]
-            x, y = (np.vstack(p.v.to_numpy()).astype(np.float64) if len(p) else np.zeros((0, 1)) for p in (lo, hi))
-            if not len(x) or not len(y):
-                continue
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            y /= np.linalg.norm(y, axis=1, keepdims=True)
-            for at in range(0, len(x), 2048):
-                s = x[at : at + 2048] @ y.T
-                i, j = np.nonzero(s >= floor)
-                a, b = lo.id.to_numpy()[at + i], hi.id.to_numpy()[j]
-                keep = (a < b) | ((a != b) & (lo.c.iloc[0] != hi.c.iloc[0]))
-                out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": s[i, j][keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
-
-    return rows.groupBy("lo", "hi").applyInPandas(compare, "a long, b long, cosine double")
-
-
-def neighbours_of(vectors: DataFrame, queries: DataFrame, k: int, floor: float, blocks: int = 8) -> DataFrame:
-    """(id, neighbor_id, cosine, rank): exact top k of each query row among all vectors, itself aside.
+    rows = rows.select("id", "v", *keys, "c", F.least("c", "m").alias("lo"), F.greatest("c", "m").alias("hi"))
+
+    def compare(key, t):
+        lo, hi = (k.as_py() for k in key)
+        ids, c, x, group = t.column("id").to_numpy(), t.column("c").to_numpy(), _units(t.column("v")), _groups(t, keys)
+        order = np.argsort(group, kind="stable")
+        a, b, s = [], [], []
+        for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            left, right = own[c[own] == lo], own[c[own] == hi]
+            for at in range(0, len(left), 2048):
+                part = left[at : at + 2048]
+                cos = x[part] @ x[right].T
+                i, j = np.nonzero(cos >= floor)
+                u, w = ids[part[i]], ids[right[j]]
+                keep = u != w if lo != hi else u < w
+                a.append(np.minimum(u, w)[keep])
+                b.append(np.maximum(u, w)[keep])
+                s.append(cos[i, j][keep])
+        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+        return pa.table({"a": join(a, pa.int64()), "b": join(b, pa.int64()), "cosine": join(s, pa.float64())})
+
+    return rows.groupBy("lo", "hi").applyInArrow(compare, "a long, b long, cosine double")
+
+
+def neighbours_of(vectors: DataFrame, queries: DataFrame, k: int, floor: float, blocks: int | None = None, same: Sequence[str] = ()) -> DataFrame:
+    """(id, neighbor_id, cosine, rank): exact top k of each query row among all vectors (with equal ``same`` columns), itself aside.
 
     Queries meet the vectors in blocks; each block keeps k candidates a query,
     so what is shuffled is queries * blocks * k rows.
     """
-    q = queries.select("id", "v").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("q", F.lit(True))
-    rows = vectors.select("id", "v").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("q", F.lit(False))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs, xs = pdf[pdf.q], pdf[~pdf.q]
+    keys = list(same)
+    blocks = _blocks(vectors, blocks)
+    q = queries.select("id", "v", *keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("q", F.lit(True))
+    rows = vectors.select("id", "v", *keys).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("q", F.lit(False))
+    # the queries of a block in parts, so that a task's memory doesn't grow with them
+    parts = max(1, -(-queries.count() // BLOCK))
+    q = q.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    both = q.unionByName(rows)
+
+    def search(t):
+        ids, asks, x, group = t.column("id").to_numpy(), np.asarray(t.column("q")), _units(t.column("v")), _groups(t, keys)
+        order = np.argsort(group, kind="stable")
         out = []
-        if len(qs) and len(xs):
-            x = np.vstack(xs.v.to_numpy()).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            ids = xs.id.to_numpy()
-            for at in range(0, len(qs), 512):
-                part = qs.iloc[at : at + 512]
-                v = np.vstack(part.v.to_numpy()).astype(np.float64)
-                s = v / np.linalg.norm(v, axis=1, keepdims=True) @ x.T
-                for row, me in zip(s, part.id):
-                    near = np.flatnonzero((row >= floor) & (ids != me))
-                    near = near[np.lexsort((ids[near], -row[near]))[:k]]
-                    out.append(pd.DataFrame({"id": me, "neighbor_id": ids[near], "cosine": row[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": pd.Series(dtype="int64"), "neighbor_id": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
-
-    found = q.unionByName(rows).groupBy("block").applyInPandas(search, "id long, neighbor_id long, cosine double")
+        for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            qs, xs = own[asks[own]], own[~asks[own]]
+            xs = xs[np.argsort(ids[xs], kind="stable")]
+            for at in range(0, len(qs) if len(xs) else 0, 512):
+                part = qs[at : at + 512]
+                cos = x[part] @ x[xs].T
+                cos[ids[part][:, None] == ids[xs]] = -np.inf
+                top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+                i = np.repeat(np.arange(len(part)), top.shape[1])
+                j = top.ravel()
+                keep = cos[i, j] >= floor
+                out.append((ids[part][i][keep], ids[xs][j][keep], cos[i, j][keep]))
+        cols = [np.concatenate(c) if out else [] for c in zip(*out)] if out else [[], [], []]
+        return pa.table({"id": pa.array(cols[0], pa.int64()), "neighbor_id": pa.array(cols[1], pa.int64()), "cosine": pa.array(cols[2], pa.float64())})
+
+    found = both.dropna(subset=keys).groupBy("block", "part").applyInArrow(search, "id long, neighbor_id long, cosine double") if keys else both.groupBy("block", "part").applyInArrow(search, "id long, neighbor_id long, cosine double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbor_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -137,16 +171,22 @@ def hdbscan(x: np.ndarray, min_size: int = 3) -> np.ndarray:
     n = len(x)
     if n < min_size:
         return np.full(n, -1)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
-    core = np.sort(d, axis=1)[:, min(min_size - 1, n - 1)]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
-    # Prim's spanning tree
+    square = (x * x).sum(axis=1)
+
+    def distances(rows) -> np.ndarray:
+        return np.sqrt(np.maximum(square[rows][:, None] + square - 2 * (x[rows] @ x.T), 0))
+
+    # distances are made row by row, so memory grows with the rows and not with their square
+    nth = min(min_size - 1, n - 1)
+    core = np.concatenate([np.partition(distances(np.arange(at, min(at + 512, n))), nth, axis=1)[:, nth] for at in range(0, n, 512)])
+    # Prim's spanning tree of the mutual reachability
     inside, best, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
     edges, at = [], 0
     for _ in range(n - 1):
         inside[at] = True
-        closer = ~inside & (reach[at] < best)
-        best[closer], link[closer] = reach[at][closer], at
+        reach = np.maximum(distances(np.array([at]))[0], np.maximum(core, core[at]))
+        closer = ~inside & (reach < best)
+        best[closer], link[closer] = reach[closer], at
         at = int(np.where(inside, np.inf, best).argmin())
         edges.append((best[at], link[at], at))
     edges.sort()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packed", "scan", "aggregates", "retrieval", "mutations", "pipelines", "more", "gates")
+MODULES = ("packed", "scan", "aggregates", "retrieval", "mutations", "pipelines", "more", "gates", "further")
 
 
 def _merged(name: str) -> dict:

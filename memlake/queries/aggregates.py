@@ -93,7 +93,7 @@ add(
 add(
     "AG14_lifecycle",
     lambda s, d: R.lifecycle(mem(s, d), NOW),
-    f"SELECT count(*) FILTER (created_at >= {NOW - 604800}) AS fresh, count(*) FILTER ({S.ACTIVE} AND {S.num('strength')} <= 0.5) AS decayed, count(*) FILTER ({S.ACTIVE} AND {S.UNTIL} <= {NOW}) AS dormant, count(*) FILTER (deleted_at >= {NOW - 604800}) AS deleted FROM memories",
+    f"SELECT count(*) FILTER ({S.ACTIVE} AND created_at >= {NOW - 604800}) AS fresh, count(*) FILTER ({S.ACTIVE} AND {S.STRENGTH} < 1.0 AND coalesce({S.num('last_accessed_at')}, {S.num('created_at')}) < {NOW - 604800}) AS decayed, count(*) FILTER ({S.ACTIVE} AND {S.UNTIL} <= {NOW}) AS dormant, count(*) FILTER (deleted_at >= {NOW - 604800}) AS deleted FROM memories",
 )
 add(
     "AG15_stale",
@@ -121,12 +121,6 @@ add(
     lambda s, d: usage(s, d).filter("query_text is not null").groupBy(F.lower(C.strip(F.col("query_text"))).alias("query")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2"),
     r"SELECT lower(regexp_replace(query_text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS query, count(*) AS n FROM usage_feedback WHERE query_text IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
 )
-add(
-    "AG18_alerts",
-    lambda s, d: R.alerts(R.digest(usage(s, d))),
-    "SELECT project, alert FROM (" + "{digest}" + ") t, (VALUES ('low_metadata'), ('low_tags'), ('many_empty'), ('few_results'), ('many_refinements')) a(alert) WHERE (alert = 'low_metadata' AND metadata_rate < 0.8) OR (alert = 'low_tags' AND tag_rate < 0.8) OR (alert = 'many_empty' AND empty_rate > 0.2) OR (alert = 'few_results' AND mean_results < 3) OR (alert = 'many_refinements' AND refinement_rate > 0.5)",
-)
-SQL["AG18_alerts"] = SQL["AG18_alerts"].replace("{digest}", SQL["AG17_digest_ratios"])
 add(
     "AG20_sufficiency",
     lambda s, d: R.sufficiency(usage(s, d), 120),

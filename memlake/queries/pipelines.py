@@ -36,7 +36,6 @@ add("EX11_digest", lambda s, d: P.session_digest(mem(s, d).filter(C.has_tag("pro
 add("TX17_stemmed_postings", lambda s, d: mem(s, d).select("id", F.explode(stem_all(X.tokens(F.col("content")))).alias("term")).groupBy("term").agg(F.countDistinct("id").alias("df")))
 add("VE10_collapsed_hits", lambda s, d: K.collapse_ranked(V.semantic_search(emb(s, d), Q96, 60, 0.0).select("id", F.col("cosine").alias("score")), vectors(s, d), mem(s, d), 10))
 add("VE11_density_clusters", lambda s, d: K.clusters(vectors64(s, d).withColumn("g", F.col("label").cast("string")), "g").select("id", "g", "cluster"))
-add("VE12_greedy_groups", lambda s, d: K.refine(vectors(s, d).join(mem(s, d).select("id", C.json_string("session_id").alias("sid")).filter("sid is not null"), "id"), "sid"))
 add(
     "VE21_overlap_at_5",
     lambda s, d: (lambda full, new: full.join(new.select("id", "neighbor_id"), ["id", "neighbor_id"], "left_semi").groupBy("id").agg((F.count(F.lit(1)) / 5).alias("overlap")))(
@@ -44,7 +43,6 @@ add(
     ),
     f"WITH n AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), w AS (SELECT * FROM n ORDER BY id DESC LIMIT 300), a AS (SELECT a.id, b.id AS o FROM n a, n b WHERE a.id % 20 = 0 AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {S.cosine('a.v', 'b.v')} DESC, b.id) <= 5), c AS (SELECT a.id, b.id AS o FROM n a, w b WHERE a.id % 20 = 0 AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {S.cosine('a.v', 'b.v')} DESC, b.id) <= 5) SELECT id, count(*) / 5 AS overlap FROM a JOIN c USING (id, o) GROUP BY 1",
 )
-add("CMP09_consolidation_plan", lambda s, d: K.plan(K.actions(mem(s, d), vectors(s, d))))
 add(
     "FLT17_near_duplicate_rule",
     lambda s, d: (lambda m: (lambda x, y: table(s, d, "duplicate_sets").groupBy("set_id").agg(F.min("memory_id").alias("a"), F.max("memory_id").alias("b")).filter("a < b").join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id")).select("set_id", F.coalesce(K.near_duplicate(), F.lit(False)).alias("same")))(*[m.select(*[F.col(c).alias(f"{p}_{c}") for c in m.columns]) for p in "xy"]))(
@@ -53,7 +51,6 @@ add(
     rf"""WITH m AS (SELECT id, content, lower(memory_type) AS type, {S.PROJECT} AS project, list_distinct(list_filter(regexp_split_to_array({S.low('content')}, '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+'), lambda x: x <> '')) AS w FROM memories), p AS (SELECT set_id, min(memory_id) AS a, max(memory_id) AS b FROM duplicate_sets GROUP BY 1 HAVING min(memory_id) < max(memory_id))
     SELECT set_id, coalesce(x.type IN ('knowledge', 'learning', 'observation', 'general', 'error_fix', 'preference', 'progress') AND x.type = y.type AND x.project = y.project AND least(length(x.content), length(y.content)) / greatest(length(x.content), length(y.content)) >= 0.5 AND len(list_intersect(x.w, y.w)) >= 0.7 * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), false) AS same FROM p JOIN m x ON x.id = a JOIN m y ON y.id = b""",
 )
-add("VE17_lexical_contradictions", lambda s, d: (lambda m: edges(s, d).filter("relationship_type = 'contradicts'").join(m.toDF("source_hash", "ca"), "source_hash").join(m.toDF("target_hash", "cb"), "target_hash").select("source_hash", "target_hash", K.lexical_contradiction(F.col("ca"), F.col("cb")).alias("contradicts")))(mem(s, d).filter("content_hash is not null").select("content_hash", "content")))
 add(
     "VE19_classifier_accuracy",
     lambda s, d: _classifier(s, d),

@@ -134,10 +134,10 @@ add(
     f"SELECT id, neighbor_id, round(c, 6) AS cosine FROM (SELECT a.id, b.id AS neighbor_id, {S.cosine('a.v', 'b.v')} AS c FROM {_E64} a, {_E64} b WHERE a.id % 20 = 0 AND a.id <> b.id) WHERE c >= 0.2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, neighbor_id) <= 5",
 )
 _PAIRS = f"(SELECT a.id AS a, b.id AS b, {S.cosine('a.v', 'b.v')} AS c FROM {_E64} a, {_E64} b WHERE a.id < b.id)"
-add("VE_pairs", lambda s, d: V.block_pairs(vectors64(s, d), 0.35, 4).select("a", "b", F.round("cosine", 6).alias("cosine")), f"SELECT a, b, round(c, 6) AS cosine FROM {_PAIRS} WHERE c >= 0.35")
+add("VE_pairs", lambda s, d: V.block_pairs(vectors64(s, d), 0.35).select("a", "b", F.round("cosine", 6).alias("cosine")), f"SELECT a, b, round(c, 6) AS cosine FROM {_PAIRS} WHERE c >= 0.35")
 add(
     "VE06_clusters",
-    lambda s, d: (lambda c: c.join(c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3"), "component").select("node", "component"))(G.components(V.block_pairs(vectors64(s, d), 0.4, 4).select("a", "b"))),
+    lambda s, d: (lambda c: c.join(c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3"), "component").select("node", "component"))(G.components(V.block_pairs(vectors64(s, d), 0.4).select("a", "b"))),
     f"WITH RECURSIVE p AS MATERIALIZED (SELECT a, b FROM {_PAIRS} WHERE c >= 0.4), e AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p), r(node, other) AS (SELECT a, b FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a), k AS (SELECT node, least(node, min(other)) AS component FROM r GROUP BY 1) SELECT node, component FROM k WHERE component IN (SELECT component FROM k GROUP BY 1 HAVING count(*) >= 3)",
 )
 add(
@@ -145,21 +145,6 @@ add(
     lambda s, d: vectors(s, d).select("id", F.round(F.element_at(F.transform("v", lambda x: x.cast("double") / C.norm(F.col("v"))), 1), 6).alias("first")),
     f"SELECT DISTINCT e.rowid AS id, round(content_embedding[1]::DOUBLE / sqrt(list_dot_product(content_embedding::DOUBLE[], content_embedding::DOUBLE[])), 6) AS first FROM memory_embeddings e WHERE {S.vector('content_embedding', 96)}",
 )
-add(
-    "VE08_nearest_same_label",
-    lambda s, d: V.block_pairs(vectors64(s, d), -1.0, 4, ["label"]).select("a", "b", "cosine").withColumn("p", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("near")), F.struct(F.col("b").alias("id"), F.col("a").alias("near"))))).groupBy("p.id").agg(F.max(F.struct("cosine", (-F.col("p.near")).alias("m"))).alias("x")).select("id", (-F.col("x.m")).alias("near"), F.round("x.cosine", 6).alias("cosine")),
-    f"SELECT id, near, round(c, 6) AS cosine FROM (SELECT a.vec_id AS id, b.vec_id AS near, {S.cosine('a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, near) = 1",
-)
-add(
-    "VE14_pair_actions",
-    lambda s, d: V.block_pairs(vectors(s, d).join(mem(s, d).filter(C.active()).select("id", "memory_type", C.project_tag().alias("project")), "id"), 0.85, 4, ["memory_type", "project"]).select("a", "b", F.when(F.round("cosine", 6) >= 0.97, "dedup").otherwise("merge").alias("action")),
-    f"WITH x AS (SELECT DISTINCT id, memory_type, {S.PROJECT} AS project, content_embedding::DOUBLE[] AS v FROM memories m JOIN memory_embeddings e ON e.rowid = m.id WHERE {S.ACTIVE} AND {S.vector('content_embedding', 96)}) SELECT a.id AS a, b.id AS b, CASE WHEN round({S.cosine('a.v', 'b.v')}, 6) >= 0.97 THEN 'dedup' ELSE 'merge' END AS action FROM x a JOIN x b ON a.id < b.id AND a.memory_type = b.memory_type AND a.project = b.project WHERE {S.cosine('a.v', 'b.v')} >= 0.85",
-)
-add(
-    "VE20_topic_drift",
-    lambda s, d: vectors(s, d).join(mem(s, d).withColumn("sid", C.json_string("session_id")).filter("sid is not null").select("id", "sid", "created_at"), "id").withColumn("prev", F.lag("v").over(Window.partitionBy("sid").orderBy("created_at", "id"))).filter("prev is not null").select("id", F.round(C.cosine(F.col("prev"), F.col("v")), 6).alias("drift"), (C.cosine(F.col("prev"), F.col("v")) < 0.55).alias("shift")),
-    f"SELECT id, round(c, 6) AS drift, c < 0.55 AS shift FROM (SELECT id, {S.cosine('prev', 'v')} AS c FROM (SELECT id, v, lag(v) OVER (PARTITION BY sid ORDER BY created_at, id) AS prev FROM (SELECT DISTINCT m.id, {S.J} ->> '$.session_id' AS sid, created_at, content_embedding::DOUBLE[] AS v FROM memories m JOIN memory_embeddings e ON e.rowid = m.id WHERE {S.vector('content_embedding', 96)}) WHERE sid IS NOT NULL) WHERE prev IS NOT NULL)",
-)
 
 # --- graph and joins ---
 _GOOD = "similarity IS NOT NULL AND NOT isnan(similarity)"
@@ -201,11 +186,6 @@ def _pagerank_sql(rounds: int) -> str:
 
 
 add("GR04_pagerank", lambda s, d: G.pagerank(_trade(s, d)).select("node", F.round("rank", 8).alias("rank")), _pagerank_sql(30))
-add(
-    "GR06_related_edges",
-    lambda s, d: V.block_pairs(vectors64(s, d), 0.3, 4).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.round("cosine", 6).alias("similarity"), F.when(F.col("cosine") >= 0.4, "supports").otherwise("related").alias("relationship_type")),
-    f"SELECT a AS source_id, b AS target_id, round(c, 6) AS similarity, CASE WHEN c >= 0.4 THEN 'supports' ELSE 'related' END AS relationship_type FROM {_PAIRS} WHERE c >= 0.3",
-)
 add(
     "GR07_edge_exists",
     lambda s, d: G.pairs(edges(s, d).filter("relationship_type = 'related'")).join(G.pairs(edges(s, d).filter("relationship_type = 'contradicts'")), ["a", "b"], "left_semi"),
@@ -276,7 +256,3 @@ add(
     ),
     f"WITH h AS (SELECT id FROM {LIVE_EMB} WHERE cosine > 0.45 ORDER BY cosine DESC, id LIMIT 4), w AS (SELECT id FROM " + BM25.replace("FROM memories)", f"FROM memories WHERE {S.ACTIVE})", 1) + " ORDER BY round(bm25, 6) DESC, id LIMIT 4) SELECT id FROM h UNION ALL SELECT id FROM w WHERE (SELECT count(*) FROM h) = 0",
 )
-add(
-    "CMP10_health_score",
-    lambda s, d: R.health(mem(s, d), edges(s, d), emb(s, d), table(s, d, "usage_feedback")),
-)
