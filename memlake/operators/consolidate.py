@@ -134,9 +134,9 @@ def refine(candidates: DataFrame, session: str, threshold: float = 0.85) -> Data
 
 def refined(candidates: DataFrame, session: str, texts: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(session, id, quality, size): the most specific candidate (texts: id, content) of each group, with its quality."""
-    rows = refine(candidates, session, threshold).join(texts.select("id", "content"), "id").withColumn("s", specificity(F.col("content")))
-    best = rows.groupBy(session, "group", "size").agg(F.max(F.struct("s", (-F.col("id")).alias("i"), "content")).alias("m"))
-    return best.select(session, (-F.col("m.i")).alias("id"), quality(F.col("m.content"), F.col("size")).alias("quality"), "size")
+    rows = refine(candidates, session, threshold).join(texts.select("id", F.col("content").alias("__text")), "id").withColumn("__s", specificity(F.col("__text")))
+    best = rows.groupBy(session, "group", "size").agg(F.max(F.struct("__s", (-F.col("id")).alias("i"), "__text")).alias("__m"))
+    return best.select(session, (-F.col("__m.i")).alias("id"), quality(F.col("__m.__text"), F.col("size")).alias("quality"), "size")
 
 
 # --- fixed values: words that deny and words that approve --------------------
