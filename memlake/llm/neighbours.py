@@ -7,7 +7,8 @@ improves it by joins of neighbours of neighbours: in each round every vector
 joins the local joins of PIVOTS members of its neighbour list (itself
 included), the best-connected first and the next ones in the next round, so
 vectors that share a neighbour meet and are compared at half precision. Rounds
-go on until no more than CHANGED of the pairs found are new (ROUNDS at most).
+go on until no more than CHANGED of the pairs found are new (LEAST_ROUNDS at
+least, ROUNDS at most).
 Lists are merged on the JVM side.
 
 Cells and local joins above MAX_BLOCK rows are split again by the nearest of
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 from memlake.runtime import Scratch, hot_safe_join
 
 TABLES, CELL, MAX_BLOCK = 8, 2048, 8192
-LIST, PIVOTS, FLOOR = 8, 2, 0.70
-#: A large block is split at most FAN ways a level, LEVELS deep. Rounds end when so small a share of the pairs found is new.
-FAN, LEVELS, ROUNDS, CHANGED = 64, 32, 9, 0.005
+SPARE, PIVOTS, FLOOR = 3, 2, 0.70
+#: A large block is split at most FAN ways a level, LEVELS deep. Rounds end, after two, when so small a share of the pairs found is new.
+FAN, LEVELS, LEAST_ROUNDS, ROUNDS, CHANGED = 64, 32, 2, 9, 0.005
 #: Lists of rows to leave out (24 bytes a row) and of large blocks are broadcast up to this many rows, else joined by shuffle.
 MAX_BROADCAST = 200_000
 
@@ -306,64 +307,78 @@ def _merge(lists: DataFrame, k: int) -> DataFrame:
     return lists.groupBy("u").agg(F.slice(F.array_distinct(F.array_sort(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
 
 
-def neighbours(df: DataFrame, k: int = 5, min_similarity: float = 0.80, dim: int = 96, id_col: str = "rowid", vector_col: str = "content_embedding", rounds: int = ROUNDS) -> DataFrame:
-    """(rowid, neighbor_rowid): the up to k most similar other rows of cosine similarity of at least ``min_similarity``."""
-    scratch = Scratch(df.sparkSession)
-    source = df.select(F.col(id_col).cast("long").alias("rowid"), F.col(vector_col).alias("v"))
-    cells = max(1, math.ceil(df.count() / CELL))
-    keys = source.mapInArrow(_keys(dim, cells), "rowid long, h binary, blocks array<long>")
-    keys = keys.groupBy("rowid").agg(F.min(F.struct("h", "blocks")).alias("m"), F.max("h").alias("other")).select("rowid", "m.h", "m.blocks", "other")
-    keys = scratch.save(keys, "keys")
-    classes = scratch.save(keys.groupBy("h").agg(F.min("rowid").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    twins = hot_safe_join(keys.select("rowid", "h"), classes.withColumn("m", F.col("n")), "h", "n", total).withColumnRenamed("m", "n") if total else None
-    conflicts = keys.filter("h <> other").select("rowid", F.col("h").alias("right"))
-    floor = min(FLOOR, min_similarity)
-    has_conflicts = conflicts.limit(1).count()
-    searched = keys.select("rowid", "blocks")
-    left_out = None
-    if twins is not None:
-        left_out = _bounded(twins.filter("rowid <> rep").select("rowid"), "left_out", scratch)
-        searched = searched.join(left_out, "rowid", "left_anti")
-    if has_conflicts:
-        conflicts = _bounded(conflicts, "conflicts", scratch)
-
-    def vectors(half: bool) -> DataFrame:
-        out = source.mapInArrow(_codes(dim, half), "rowid long, h binary, v binary")
-        if has_conflicts:
-            out = out.join(conflicts, "rowid", "left").filter("right is null or h = right").drop("right")
-        if left_out is not None:
-            out = out.join(left_out, "rowid", "left_anti")
-        return out.drop("h")
-
-    sizes = searched.select(F.explode("blocks").alias("block")).groupBy("block").count()
-    spread = source.mapInArrow(_spread(dim, cells), "rowid long, h binary, v binary, block long")
-    if has_conflicts:
-        spread = spread.join(conflicts, "rowid", "left").filter("right is null or h = right").drop("right")
-    if left_out is not None:
-        spread = spread.join(left_out, "rowid", "left_anti")
-    seeded = _joined(_blocks(spread, sizes, dim, False), dim, False, LIST, floor - 0.02)
-    graph = scratch.save(_merge(seeded, LIST), "graph0")
+class _Vectors:
+    """The usable vectors of a table, each distinct one once (by its smallest id), and the classes of equal ones."""
+
+    def __init__(self, df: DataFrame, dim: int, id_col: str, vector_col: str, scratch: Scratch):
+        self.dim, self.scratch = dim, scratch
+        self.source = df.select(F.col(id_col).cast("long").alias("rowid"), F.col(vector_col).alias("v"))
+        self.cells = max(1, math.ceil(df.count() / CELL))
+        keys = self.source.mapInArrow(_keys(dim, self.cells), "rowid long, h binary, blocks array<long>")
+        keys = keys.groupBy("rowid").agg(F.min(F.struct("h", "blocks")).alias("m"), F.max("h").alias("other")).select("rowid", "m.h", "m.blocks", "other")
+        keys = scratch.save(keys, "keys")
+        classes = scratch.save(keys.groupBy("h").agg(F.min("rowid").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "classes")
+        self.total = classes.agg(F.sum("n")).first()[0] or 0
+        self.twins = self.left_out = self.conflicts = None
+        if self.total:
+            twins = hot_safe_join(keys.select("rowid", "h"), classes.withColumn("m", F.col("n")), "h", "n", self.total).withColumnRenamed("m", "n")
+            self.twins = scratch.save(twins.select("rowid", "rep", "n"), "twins")
+            self.left_out = _bounded(self.twins.filter("rowid <> rep").select("rowid"), "left_out", scratch)
+        conflicts = keys.filter("h <> other").select("rowid", F.col("h").alias("right"))
+        if not conflicts.isEmpty():
+            self.conflicts = _bounded(conflicts, "conflicts", scratch)
+        searched = keys.select("rowid", "blocks")
+        if self.left_out is not None:
+            searched = searched.join(self.left_out, "rowid", "left_anti")
+        self.sizes = searched.select(F.explode("blocks").alias("block")).groupBy("block").count()
+
+    def _own(self, rows: DataFrame) -> DataFrame:
+        if self.conflicts is not None:
+            rows = rows.join(self.conflicts, "rowid", "left").filter("right is null or h = right").drop("right")
+        return rows if self.left_out is None else rows.join(self.left_out, "rowid", "left_anti")
+
+    def codes(self) -> DataFrame:
+        """(rowid, v) at half precision."""
+        return self._own(self.source.mapInArrow(_codes(self.dim, True), "rowid long, h binary, v binary")).drop("h")
+
+    def spread(self) -> DataFrame:
+        """(rowid, h, v, block): 8-bit codes in every cell."""
+        return self._own(self.source.mapInArrow(_spread(self.dim, self.cells), "rowid long, h binary, v binary, block long"))
+
+
+def _descend(vectors: _Vectors, k: int, size: int, floor: float, min_similarity: float, rounds: int) -> DataFrame:
+    """(u, near): the neighbour graph by NN-descent, lists of ``size`` at ``floor`` and more."""
+    dim, scratch = vectors.dim, vectors.scratch
+    seeded = _joined(_blocks(vectors.spread(), vectors.sizes, dim, False), dim, False, size, floor - 0.02)
+    graph = scratch.save(_merge(seeded, size), "graph0")
     for r in range(rounds):
         edges = graph.select("u", F.explode("near.v").alias("v"))
         degree = edges.groupBy("v").agg(F.count(F.lit(1)).alias("deg"))
-        lists = edges.unionByName(graph.select("u", F.col("u").alias("v"))).join(degree, "v", "left").groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.coalesce("deg", F.lit(0))).alias("d"), "v"))), r * PIVOTS % (LIST + 1) + 1, PIVOTS).alias("p"))
+        lists = edges.unionByName(graph.select("u", F.col("u").alias("v"))).join(degree, "v", "left").groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.coalesce("deg", F.lit(0))).alias("d"), "v"))), r * PIVOTS % (size + 1) + 1, PIVOTS).alias("p"))
         joins = scratch.save(lists.select(F.col("u").alias("rowid"), F.explode("p.v").alias("block")), f"joins{r}")
         # a hash join: the lists are far smaller than the vectors, which then needn't be sorted
-        met = vectors(True).join(joins.hint("shuffle_hash"), "rowid")
-        local = _joined(_blocks(met, joins.groupBy("block").count(), dim, True), dim, True, LIST, floor)
+        met = vectors.codes().join(joins.hint("shuffle_hash"), "rowid")
+        local = _joined(_blocks(met, joins.groupBy("block").count(), dim, True), dim, True, size, floor)
         # a pair met at half precision replaces the value of the 8-bit codes
         fine = local.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d", F.lit(1).alias("fine"))
         coarse = graph.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d", F.lit(0).alias("fine"))
         best = fine.unionByName(coarse).groupBy("u", "v").agg(F.max(F.struct("fine", "d")).alias("m"), F.min("fine").alias("new")).select("u", F.struct("m.d", "v", "new").alias("e"))
-        graph = scratch.save(best.groupBy("u").agg(F.slice(F.array_sort(F.collect_list("e")), 1, LIST).alias("near")), f"graph{r + 1}")
+        graph = scratch.save(best.groupBy("u").agg(F.slice(F.array_sort(F.collect_list("e")), 1, size).alias("near")), f"graph{r + 1}")
+        scratch.drop(f"graph{r}", f"joins{r}")
         first = graph.select(F.explode(F.slice("near", 1, k)).alias("e")).filter(F.col("e.d") <= -min_similarity)
         new, all_pairs = first.agg(F.coalesce(F.sum("e.new"), F.lit(0)), F.count(F.lit(1))).first()
-        if new <= CHANGED * all_pairs:
+        if r + 1 >= LEAST_ROUNDS and new <= CHANGED * all_pairs:
             break
+    return graph
+
+
+def neighbours(df: DataFrame, k: int = 5, min_similarity: float = 0.80, dim: int = 96, id_col: str = "rowid", vector_col: str = "content_embedding", rounds: int = ROUNDS) -> DataFrame:
+    """(rowid, neighbor_rowid): the up to k most similar other rows of cosine similarity of at least ``min_similarity``."""
+    vectors = _Vectors(df, dim, id_col, vector_col, Scratch(df.sparkSession))
+    graph = _descend(vectors, k, k + SPARE, min(FLOOR, min_similarity), min_similarity, rounds)
     found = graph.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d").filter(F.col("d") <= -min_similarity)
-    if twins is not None:
-        found = _with_twins(found, keys, twins, total, k, scratch)
+    if vectors.twins is not None:
+        found = _with_twins(found, vectors, k)
     rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
     return found.withColumn("r", rank).filter(F.col("r") <= k).select(F.col("u").alias("rowid"), F.col("v").alias("neighbor_rowid"))
 
@@ -382,36 +397,44 @@ def _spread(dim, cells):
     return run
 
 
-def _with_twins(found: DataFrame, keys: DataFrame, twins: DataFrame, total: int, k: int, scratch: Scratch) -> DataFrame:
-    """Lists of representatives to lists of all rows: a class stands in a list with its k + 1 smallest members, which are enough for any k places."""
-    twins = scratch.save(twins.select("rowid", "rep", "n"), "twins")
-    few = twins.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("rowid"))).filter(F.col("r") <= k + 1)
-    few = scratch.save(few.select(F.col("rep").alias("v"), F.col("rowid").alias("member")), "few")
+def _few(vectors: _Vectors, k: int) -> DataFrame:
+    """(v, member): the k + 1 smallest members of each class of equal vectors, which are enough for any k places."""
+    few = vectors.twins.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("rowid"))).filter(F.col("r") <= k + 1)
+    return vectors.scratch.save(few.select(F.col("rep").alias("v"), F.col("rowid").alias("member")), "few")
+
+
+def _with_twins(found: DataFrame, vectors: _Vectors, k: int) -> DataFrame:
+    """Lists of representatives to lists of all rows."""
+    twins, few = vectors.twins, _few(vectors, k)
     wide = found.join(few, "v", "left").select("u", F.coalesce("member", "v").alias("v"), "d")
     own = few.select(F.col("v").alias("u"), F.col("member").alias("v"), F.lit(-1.0).cast("float").alias("d"))
     lists = wide.unionByName(own).groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "v"))), 1, k + 1).alias("near"))
     heads = twins.groupBy("rep").agg(F.first("n").alias("n")).withColumnRenamed("rep", "u").join(lists, "u")
-    members = hot_safe_join(twins.select("rowid", F.col("rep").alias("u")), heads, "u", "n", total)
+    members = hot_safe_join(twins.select("rowid", F.col("rep").alias("u")), heads, "u", "n", vectors.total)
     alone = lists.join(twins.select(F.col("rep").alias("u")).distinct(), "u", "left_anti")
     both = members.select(F.col("rowid").alias("u"), "near").unionByName(alone)
     return both.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d").filter("u <> v")
 
 
-def graph_search(df: DataFrame, queries: DataFrame, k: int = 5, dim: int = 96, id_col: str = "rowid", vector_col: str = "content_embedding", entries: int = 16384, beam: int = 32, hops: int = 5, min_similarity: float = 0.80) -> DataFrame:
+def graph_search(df: DataFrame, queries: DataFrame, k: int = 5, dim: int = 96, id_col: str = "rowid", vector_col: str = "content_embedding", entries: int = 16384, beam: int = 32, hops: int = 5, min_similarity: float = 0.80, rounds: int = LEAST_ROUNDS) -> DataFrame:
     """(rowid, neighbor_rowid, similarity): the k most similar stored vectors of at least ``min_similarity`` of each query vector, by greedy graph search.
 
-    The graph is the neighbour graph of ``df`` without a floor. A query starts
-    at its nearest of ``entries`` stored vectors (a sample by hash, of fixed
+    The graph is that of NN-descent over the distinct vectors of ``df``,
+    without a floor and with the links of both directions. A query starts at
+    its nearest of ``entries`` distinct vectors (a sample by hash, of fixed
     size), and in each hop a Spark join fetches the lists of its ``beam`` best
-    vectors so far; their vectors are joined by id and compared. The query's
-    own id is left out.
+    vectors so far; their vectors are joined by id and compared. Equal vectors
+    stand in an answer by their smallest ids; the query's own id is left out.
     """
     scratch = Scratch(df.sparkSession)
-    source = df.select(F.col(id_col).cast("long").alias("rowid"), F.col(vector_col).alias("v"))
-    coded = scratch.save(source.mapInArrow(_codes(dim, True), "rowid long, h binary, v binary").groupBy("rowid").agg(F.min(F.struct("h", "v")).alias("m")).select("rowid", "m.v"), "coded")
-    graph = scratch.save(_seed_graph(coded, dim, scratch), "links")
+    vectors = _Vectors(df, dim, id_col, vector_col, scratch)
+    near = _descend(vectors, k, k + SPARE, -0.999, -0.999, rounds).select("u", F.transform("near", lambda e: F.struct(e["d"].alias("d"), e["v"].alias("v"))).alias("near"))
+    back = near.select("u", F.explode("near").alias("e")).select(F.col("e.v").alias("u"), F.array(F.struct(F.col("e.d").alias("d"), F.col("u").alias("v"))).alias("near"))
+    # a row that many others have in their lists links back to the nearest of them
+    graph = scratch.save(_merge(near.unionByName(back), 2 * (k + SPARE)), "links")
+    coded = scratch.save(vectors.codes(), "coded")
     q = queries.select(F.col(id_col).cast("long").alias("rowid"), F.col(vector_col).alias("v")).mapInArrow(_codes(dim, True), "rowid long, h binary, v binary")
-    q = scratch.save(q.groupBy("rowid").agg(F.min("v").alias("q")), "queries")
+    q = scratch.save(q.groupBy("rowid").agg(F.min(F.struct("h", "v")).alias("m")).select("rowid", F.col("m.v").alias("q")), "queries")
     start = coded.orderBy(F.xxhash64("rowid"), "rowid").limit(entries).collect()
     ids = np.array([r[0] for r in start], np.int64)
     x = np.stack([np.frombuffer(r[1], np.float16) for r in start]).astype(np.float32) if start else np.empty((0, dim), np.float32)
@@ -419,36 +442,30 @@ def graph_search(df: DataFrame, queries: DataFrame, k: int = 5, dim: int = 96, i
     def enter(batches):
         for b in batches:
             qs = np.frombuffer(b"".join(b.column("q").to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
-            best = np.argsort(-(qs @ x.T), axis=1)[:, :16] if len(x) else np.empty((len(qs), 0), int)
-            yield pa.RecordBatch.from_pydict({"rowid": pa.array(np.repeat(b.column("rowid").to_numpy(), best.shape[1]), pa.int64()), "c": pa.array(ids[best.ravel()] if len(x) else [], pa.int64())})
+            m = min(16, len(x))
+            # few queries at a time, as each is compared with all entries
+            best = [np.argpartition(-(qs[at : at + 256] @ x.T), m - 1, axis=1)[:, :m] for at in range(0, len(qs) if m else 0, 256)]
+            best = np.concatenate(best) if best else np.empty((len(qs), 0), int)
+            yield pa.RecordBatch.from_pydict({"rowid": pa.array(np.repeat(b.column("rowid").to_numpy(), best.shape[1]), pa.int64()), "c": pa.array(ids[best.ravel()] if best.size else [], pa.int64())})
 
     pool = _scored(q.mapInArrow(enter, "rowid long, c long").distinct(), q, coded, dim)
     for h in range(hops):
         pool = scratch.save(pool, f"pool{h}")
+        scratch.drop(*([f"pool{h - 1}"] if h else []))
         best = pool.withColumn("r", F.row_number().over(Window.partitionBy("rowid").orderBy(F.desc("s"), "c"))).filter(F.col("r") <= beam)
         reach = best.join(graph.withColumnRenamed("u", "c"), "c").select("rowid", F.explode("near.v").alias("c")).distinct()
-        pool = pool.unionByName(_scored(reach.join(pool.select("rowid", "c"), ["rowid", "c"], "left_anti"), q, coded, dim))
+        new = _scored(reach.join(pool.select("rowid", "c"), ["rowid", "c"], "left_anti"), q, coded, dim)
+        # what isn't among the best so far can't be answered nor expanded
+        both = pool.unionByName(new).withColumn("r", F.row_number().over(Window.partitionBy("rowid").orderBy(F.desc("s"), "c")))
+        pool = both.filter(F.col("r") <= 4 * beam).drop("r")
+    found = pool.filter(F.col("s") >= min_similarity)
+    if vectors.twins is not None:
+        found = found.join(_few(vectors, k).withColumnRenamed("v", "c"), "c", "left").select("rowid", F.coalesce("member", "c").alias("c"), "s")
     rank = F.row_number().over(Window.partitionBy("rowid").orderBy(F.desc("s"), "c"))
-    found = pool.filter((F.col("rowid") != F.col("c")) & (F.col("s") >= min_similarity)).withColumn("r", rank).filter(F.col("r") <= k)
+    found = found.filter(F.col("rowid") != F.col("c")).withColumn("r", rank).filter(F.col("r") <= k)
     return found.select("rowid", F.col("c").alias("neighbor_rowid"), F.round("s", 5).alias("similarity"))
 
 
-def _seed_graph(coded: DataFrame, dim: int, scratch: Scratch) -> DataFrame:
-    """(u, near): lists without a floor, both ways, from random cells of saved half-precision codes."""
-    cells = max(1, math.ceil(coded.count() / CELL))
-
-    def spread(batches):
-        for b in batches:
-            u = np.frombuffer(b"".join(b.column("v").to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
-            take = pa.array(np.repeat(np.arange(len(u)), TABLES))
-            yield pa.RecordBatch.from_arrays([c.take(take) for c in b.columns] + [pa.array(_cells(u, cells, dim).ravel())], names=["rowid", "v", "block"])
-
-    rows = scratch.save(coded.mapInArrow(spread, "rowid long, v binary, block long"), "cells")
-    near = _merge(_joined(_blocks(rows, rows.groupBy("block").count(), dim, True), dim, True, LIST, -0.999), LIST)
-    back = near.select("u", F.explode("near").alias("e")).select(F.col("e.v").alias("u"), F.array(F.struct(F.col("e.d").alias("d"), F.col("u").alias("v"))).alias("near"))
-    return _merge(near.unionByName(back), 2 * LIST)
-
-
 def _scored(pairs: DataFrame, q: DataFrame, coded: DataFrame, dim: int) -> DataFrame:
     def compare(batches):
         for b in batches:

@@ -83,7 +83,8 @@ def test_graph_search(spark):
     x = rng.normal(size=(400, 96)) * 0.4 + rng.normal(size=(20, 96))[np.arange(400) % 20]
     df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "rowid long, content_embedding array<float>")
     got = {}
-    for r in neighbours.graph_search(df, df.filter("rowid % 20 = 0"), k=5, min_similarity=-1.0).collect():
+    # far fewer entries than rows, so that the graph has to lead to the answer
+    for r in neighbours.graph_search(df, df.filter("rowid % 20 = 0"), k=5, entries=40, min_similarity=-1.0).collect():
         got.setdefault(r.rowid, []).append(r.neighbor_rowid)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = total = 0
@@ -96,6 +97,28 @@ def test_graph_search(spark):
     assert hit >= 0.9 * total
 
 
+def test_graph_search_passes_a_class_of_equal_vectors(spark):
+    rng = np.random.default_rng(14)
+    base = rng.normal(size=96)
+    near = [(base + 0.2 * rng.normal(size=96)).tolist() for _ in range(6)]
+    rows = [(i, base.tolist()) for i in range(100)] + [(200 + i, v) for i, v in enumerate(near)] + [(300 + i, rng.normal(size=96).tolist()) for i in range(60)]
+    df = frame(spark, rows, "rowid long, content_embedding array<double>")
+    got = {}
+    for r in neighbours.graph_search(df, df.filter("rowid in (7, 200)"), k=5, entries=8).collect():
+        got.setdefault(r.rowid, []).append(r.neighbor_rowid)
+    assert sorted(got[7]) == [0, 1, 2, 3, 4]
+    u = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1, keepdims=True)
+    best = sorted((i for i, _ in rows if i != 200), key=lambda i: (-round(float(u[[r[0] for r in rows].index(i)] @ u[100]), 4), i))[:5]
+    assert len(set(got[200]) & set(best)) >= 4
+
+
+def test_more_neighbours(spark):
+    rng = np.random.default_rng(15)
+    base = rng.normal(size=96)
+    df = frame(spark, [(i, (base + rng.normal(size=96) * 0.1).tolist()) for i in range(40)], "rowid long, content_embedding array<double>")
+    assert neighbours.neighbours(df, k=10).count() == 400
+
+
 # --- 3 ---
 @pytest.mark.parametrize("seed", range(3))
 def test_components_against_union_find(spark, seed):
