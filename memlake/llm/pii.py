@@ -9,9 +9,10 @@ exact substrings of the source and replacement leaves all else as it is.
 Names are found by given names that are known and by surnames whose endings
 the corpus itself teaches: one pass over all texts counts, for the words next
 to known given names, their endings with the number of different given names,
-and how often each word occurs elsewhere. The model is bounded: at most
-MAX_ENDINGS endings, as many whole surnames of up to ENDING letters, and
-MAX_ORDINARY ordinary words.
+and how often each word occurs elsewhere. What is learned is decided by shares
+of these counts, alike at every size, so the model is bounded: endings and
+whole surnames of up to ENDING letters by RARE_NAME, ordinary words (64-bit
+hashes of them) by RARE_WORD. More than MAX_GIVEN given names are refused.
 
 Defined results: null, empty and blank texts have no finds and stay as they
 are; a text found twice in one content is one row; an empty table gives an
@@ -24,13 +25,18 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.runtime import Scratch
 
-MAX_ENDINGS, MAX_ORDINARY, ENDING, MIN_GIVEN = 5_000, 50_000, 4, 3
+ENDING, MIN_GIVEN = 4, 3
+#: A word that is fewer than one in RARE_WORD of all counts, or an ending or short surname that is fewer than one in RARE_NAME, isn't learned; so the model has at most so many of each, whatever the input.
+RARE_WORD, RARE_NAME = 4_000_000, 100_000
+MAX_GIVEN = 1_000_000
 
 # --- fixed values: look-alikes, spelled digits, street words, labels -------
 LOOKALIKES = dict(zip("АВЕКМНОРСТУХаеорсухіјѕԁɡΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEKMHOPCTYXaeopcyxijsdgABEZHIKMNOPTYXo"))
@@ -49,14 +55,13 @@ ID_LABEL = (
 )
 TITLES = {"dr", "prof", "mr", "ms", "mrs", "herr", "frau", "bay", "bayan", "sayın", "sn"}
 
-_AT = r"(?:@|\s@\s|\s?[(\[{<]\s?(?:at|a|@|et)\s?[)\]}>]\s?|&\#64;|%40)"
-_DOT = r"(?:\.|\s?[(\[{<]\s?(?:dot|punkt|nokta|\.)\s?[)\]}>]\s?)"
 _LOCAL = r"(?<![\w.+%-])[\w][\w.+%-]*"
-EMAIL = re.compile(
-    rf"(?P<a>{_LOCAL}{_AT}[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)*{_DOT}[^\W\d_]{{2,}})(?![\w-])"
-    rf"|(?P<b>{_LOCAL}\s+(?:at|et)\s+[^\W_][\w-]*(?:(?:\s+(?:dot|punkt|nokta)\s+|\.)[^\W_][\w-]*)*\s+(?:dot|punkt|nokta)\s+[^\W\d_]{{2,}})(?![\w-])",
-    re.I,
-)
+_LABEL = r"[^\W_][\w-]*"
+EMAIL = re.compile(rf"{_LOCAL}@{_LABEL}(?:\.{_LABEL})*\.[^\W\d_]{{2,}}(?![\w-])", re.I)
+#: Disguises of the at and of dots: in brackets, coded, set apart; and spelled out in a whole address.
+_BRACKETED = re.compile(r"(?P<at>\s@\s|\s?[(\[{<]\s?(?:at|a|@|et)\s?[)\]}>]\s?|&\#64;|%40)|(?P<dot>\s?[(\[{<]\s?(?:dot|punkt|nokta|\.)\s?[)\]}>]\s?)", re.I)
+_SPOKEN = re.compile(rf"{_LOCAL}\s+(?:at|et)\s+{_LABEL}(?:(?:\s+(?:dot|punkt|nokta)\s+|\.){_LABEL})*\s+(?:dot|punkt|nokta)\s+[^\W\d_]{{2,}}(?![\w-])", re.I)
+_SPOKEN_SIGN = re.compile(r"\s+(?:(?P<at>at|et)|(?P<dot>dot|punkt|nokta))\s+", re.I)
 _EMAIL_HINT = re.compile(r"@|%40|&#64;|[(\[{<]\s?(?:at|a|et)\s?[)\]}>]|\b(?:at|et)\s+[\w-]+(?:\s|\.).*?\b(?:dot|punkt|nokta)\b", re.I)
 _SHORT_ID = r"(?:[A-Z]{2}[ \-]?\d\d[ \-]?\d\d[ \-]?\d\d[ \-]?[A-D]|[A-Z]{0,2}\d(?:[ .\-]?\d){5,12})(?!\w)"
 ID_NUMBER = re.compile(
@@ -67,7 +72,6 @@ ID_NUMBER = re.compile(
 PHONE = re.compile(r"(?<![\w.+/@#-])(?<!\d[ ,:])(?:\+|(?=[\d(]))(?:\(?\d[\d]*\)?)(?:[ \-./]{0,2}\(?\d+\)?){0,7}(?!\w)")
 _PHONE_HINT = re.compile(r"(?:\d[ \-./()]{0,3}){9}")
 PHONE_WORD = re.compile(r"(?:call|phone|tel|telefon|mobile|cell|whatsapp|sms|ring|fax|numara|rückruf|ara|contact|dial|handy|mobil)\W*(?:\w+\W+){0,2}$", re.I)
-_WORD = re.compile(r"(?:call|phone|tel|telefon|mobile|cell|whatsapp|sms|ring|fax|numara|rückruf|ara|contact|dial|handy|mobil)\W*(?:\w+\W+){0,2}$", re.I)
 ADDRESS_EN = re.compile(
     rf"(?<![\w.,/-])\d{{1,5}}[A-Za-z]?(?:\s?[-–]\s?\d{{1,5}}[A-Za-z]?)?,?\s(?:[A-ZÇĞİÖŞÜÄ][\w’'-]+\s){{1,3}}(?:(?:{STREET_EN})\b\.?|(?:{STREET_EN.upper()})\b\.?)"
 )
@@ -114,6 +118,21 @@ def transduce(text: str, words: list[str]) -> tuple[str, list[int] | None]:
     return "".join(out), where
 
 
+def undisguise(text: str) -> tuple[str, list[int]]:
+    """(text with disguised ats and dots as signs, position in ``text`` of each of its characters and of its end)."""
+    signs = [(m.start(), m.end(), "@" if m.group("at") else ".") for m in _BRACKETED.finditer(text)]
+    taken = {x for s, e, _ in signs for x in range(s, e)}
+    for m in _SPOKEN.finditer(text):
+        if taken.isdisjoint(range(*m.span())):
+            signs += [(n.start(), n.end(), "@" if n.group("at") else ".") for n in _SPOKEN_SIGN.finditer(text, *m.span())]
+    out, where, last = [], [], 0
+    for s, e, sign in sorted(signs):
+        out += [text[last:s], sign]
+        where += [*range(last, s), s]
+        last = e
+    return "".join(out) + text[last:], where + list(range(last, len(text) + 1))
+
+
 _SPELLED_WORD = re.compile(r"\b(?:" + "|".join(SPELLED) + r")\b", re.I)
 _SPELLED_RUN = re.compile(r"\b(?:" + "|".join(SPELLED) + r")(?:[ \-,]{1,2}(?:" + "|".join(SPELLED) + r")\b){6,}", re.I)
 
@@ -140,6 +159,18 @@ def valid_phone(s: str, before: str) -> bool:
     return 9 <= n <= 12 and (len(groups) == 1 or "(" in s) and n in (10, 11) and bool(PHONE_WORD.search(before))
 
 
+class Hashed:
+    """A set of words by their 64-bit hashes, as the JVM makes them."""
+
+    def __init__(self, hashes):
+        self.hashes = np.sort(np.asarray(hashes, np.int64))
+
+    def __contains__(self, word: str) -> bool:
+        h = np.uint64(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)).astype(np.int64)
+        at = np.searchsorted(self.hashes, h)
+        return at < len(self.hashes) and self.hashes[at] == h
+
+
 class Names:
     """Finds names by known given names, learned surname endings and ordinary words."""
 
@@ -233,8 +264,10 @@ def finds(text: str | None, names: Names) -> list[tuple[int, int, str]]:
 
     have = set(words)
     if "@" in t or "%40" in t or "&#64;" in t or not have.isdisjoint(("at", "et", "a")) and _EMAIL_HINT.search(t):
-        for m in EMAIL.finditer(t):
-            s, e = m.span()
+        plain, source = undisguise(t) if _EMAIL_HINT.search(t) else (t, None)
+        for m in EMAIL.finditer(plain):
+            # an address begins and ends with characters of its own
+            s, e = m.span() if source is None else (source[m.start()], source[m.end() - 1] + 1)
             if t[s:e].lower().startswith("git@") or t[e : e + 1] == ":" and re.match(r":[\w~./-]+/", t[e:]) or re.match(r"/[\w-]+/", t[e:]) and t[:s].endswith("://"):
                 continue
             take(s, e, "email")
@@ -332,26 +365,31 @@ def _observe(given: frozenset[str]):
 
 def learn(df: DataFrame, given: DataFrame, id_col: str = "id", text_col: str = "content") -> Names:
     """The bounded name model, from counts over all texts."""
-    known = frozenset(lower(r[0].strip()) for r in given.select("given_name").filter("given_name is not null").distinct().limit(100_000).collect())
+    listed = given.select("given_name").filter("given_name is not null").distinct()
+    if listed.count() > MAX_GIVEN:
+        raise ValueError(f"more than {MAX_GIVEN} given names")
+    known = frozenset(lower(r[0].strip()) for r in listed.collect())
     if not known:
         return Names(set(), set(), set(), set())
     texts = df.select(F.col(text_col).alias("content")).filter("content is not null")
     counts = Scratch(df.sparkSession).save(texts.mapInArrow(_observe(known), "word string, given string, n long").groupBy("word", "given").agg(F.sum("n").alias("n")), "counts")
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("given") == kind, F.col("n"))), F.lit(0))
+    every, led, pairs_n = counts.agg(of("\x00n"), of("\x00lead"), F.coalesce(F.sum(F.when(~F.col("given").startswith("\x00"), F.col("n"))), F.lit(0))).first()
     words = counts.groupBy("word").agg(of("\x00n").alias("n"), of("\x00large").alias("large"), of("\x00lead").alias("lead"), F.coalesce(F.sum(F.when(~F.col("given").startswith("\x00"), F.col("n"))), F.lit(0)).alias("beside"))
     # ordinary: seen in lower case, and seldom beside a known given name
     usual = (F.col("large") * 2 <= F.col("n")) & (F.col("beside") * 8 < F.col("n"))
-    ordinary = words.filter(usual & (F.col("n") >= 4)).orderBy(F.desc("n"), "word").limit(MAX_ORDINARY)
-    before = words.filter("lead >= 3").orderBy(F.desc("lead"), "word").limit(MAX_ORDINARY)
+    hashes = lambda rows: Hashed(rows.select(F.xxhash64("word").alias("h")).toArrow().column("h").to_numpy())
+    ordinary = hashes(words.filter(usual & (F.col("n") >= max(4, every / RARE_WORD))))
+    before = hashes(words.filter(F.col("lead") >= max(3, led / RARE_WORD)))
     pairs = counts.filter(~F.col("given").startswith("\x00")).join(words.filter(~usual).select("word"), "word", "left_semi")
     # up to ENDING letters: whole words, mostly capital and mostly beside given names, of several of them
     own = words.filter(~usual & (F.col("large") * 2 > F.col("n")) & (F.col("beside") * 2 >= F.col("n")))
     short = pairs.filter(F.length("word").between(2, ENDING)).join(own.select("word"), "word", "left_semi").groupBy("word").agg(F.countDistinct("given").alias("g"), F.sum("n").alias("n"))
-    short = short.filter(F.col("g") >= MIN_GIVEN).orderBy(F.desc("n"), "word").limit(MAX_ENDINGS)
+    short = short.filter((F.col("g") >= MIN_GIVEN) & (F.col("n") >= pairs_n / RARE_NAME))
     pairs = pairs.filter(F.length("word") > ENDING)
     endings = pairs.groupBy(F.expr(f"right(word, {ENDING})").alias("e")).agg(F.countDistinct("given").alias("g"), F.countDistinct("word").alias("w"), F.sum("n").alias("n"))
-    endings = endings.filter((F.col("g") >= MIN_GIVEN) & (F.col("w") >= 2)).orderBy(F.desc("n"), "e").limit(MAX_ENDINGS)
-    return Names(set(known), {r[0] for r in endings.collect()}, {r[0] for r in ordinary.select("word").collect()} - known, {r[0] for r in before.select("word").collect()}, {r.word for r in short.collect()})
+    endings = endings.filter((F.col("g") >= MIN_GIVEN) & (F.col("w") >= 2) & (F.col("n") >= pairs_n / RARE_NAME))
+    return Names(set(known), {r.e for r in endings.collect()}, ordinary, before, {r.word for r in short.collect()})
 
 
 def _finder(names: Names):

@@ -271,6 +271,27 @@ def test_pii_short_surnames(spark):
     assert pii.replace("Mail to Rose Kaya now", model) == "Mail to [NAME] now"
 
 
+@pytest.mark.parametrize("text,plain", [("a [at] b (dot) org", "a@b.org"), ("x at example dot org wrote at dawn", "x@example.org wrote at dawn"), ("look at it by dot", "look at it by dot"), ("q%40r.example &#64; s", "q@r.example @ s")])
+def test_undisguised_positions(text, plain):
+    got, where = pii.undisguise(text)
+    assert got == plain and len(where) == len(got) + 1 and where[-1] == len(text)
+    assert all(got[k] in "@." or got[k] == text[where[k]] for k in range(len(got)))
+
+
+def test_hashed_words_are_those_of_the_jvm(spark):
+    from pyspark.sql import functions as F
+
+    words = ["kaya", "straße", "ığdır", "", "a" * 100, "😀x"]
+    made = pii.Hashed([r.h for r in frame(spark, [(w,) for w in words], "word string").select(F.xxhash64("word").alias("h")).collect()])
+    assert all(w in made for w in words) and "other" not in made
+
+
+def test_too_many_given_names(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_GIVEN", 2)
+    with pytest.raises(ValueError):
+        pii.learn(frame(spark, [(1, "x")], "id long, content string"), frame(spark, [("A",), ("B",), ("C",)], "given_name string"))
+
+
 def test_pii_spelled_phone():
     text = "call zero two zero seven nine four six zero six nine five now"
     assert [(k, text[s:e]) for s, e, k in pii.finds(text, NAMES)] == [("phone", "zero two zero seven nine four six zero six nine five")]
