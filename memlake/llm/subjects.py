@@ -3,14 +3,15 @@
 A word's vector is the mean of the vectors of its hashed features (the word
 and its character n-grams); a document's is the mean of its words' vectors,
 weighted by smooth inverse frequency over the whole corpus; each subject has
-a logistic output of its own. Training runs on the labelled documents in
-SHARDS partitions: every round each partition takes a few gradient steps from
-the common parameters, and the driver averages the steps by documents
-(parameters are BUCKETS * DIM floats, whatever the input). Every document is
-then scored.
+a logistic output of its own. Training is full-batch gradient descent with one
+Adam state: in each of STEPS steps the SHARDS partitions of the labelled
+documents compute their gradients from the common parameters, the driver sums
+them and takes the step (parameters are BUCKETS * DIM floats, whatever the
+input). Every document is then scored.
 
 Labels may number up to MAX_LABELED documents (the documented bound of the
-fitting sample, chosen by hash); corpus statistics cover all documents.
+fitting sample, chosen by hash); corpus statistics cover all documents. More
+than MAX_SUBJECTS subjects are refused.
 
 Defined results: null, empty and blank texts and texts without words have no
 subjects; labels of unknown subjects or of documents that are gone are
@@ -20,6 +21,7 @@ label there are no results.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 
@@ -30,9 +32,10 @@ from pyspark.sql import functions as F
 
 from memlake.runtime import Scratch
 
-BUCKETS, DIM, SHARDS, ROUNDS, STEPS, SCALE = 1 << 15, 24, 8, 4, 5, 4.0
-MAX_LABELED, SMOOTH, COUNTERS, THRESHOLD = 40_000, 3e-4, 1 << 18, 0.2
-WORD = re.compile(r"(?<![\w/.])[^\W\d_]{3,24}(?![\w/(]|\.\w)")
+BUCKETS, DIM, SHARDS, STEPS, RATE, DECAY, SCALE = 1 << 15, 24, 8, 20, 0.05, 1e-6, 4.0
+MAX_LABELED, MAX_SUBJECTS, SMOOTH, COUNTERS, THRESHOLD = 40_000, 1000, 3e-4, 1 << 18, 0.2
+#: Runs of letters of any script and length that stand free, not inside paths, names and calls of code.
+WORD = re.compile(r"(?<![\w/.])[^\W\d_]+(?![\w/(]|\.\w)")
 
 
 def _hash(s: str) -> int:
@@ -77,6 +80,11 @@ class Corpus:
         self.w = self.w / np.where(total == 0, 1, total)[self.doc]
         self.n = len(texts)
 
+    def slim(self) -> Corpus:
+        """The same in the smallest types."""
+        self.feat, self.feat_n, self.doc, self.word, self.w = self.feat.astype(np.uint16), self.feat_n.astype(np.int32), self.doc.astype(np.int32), self.word.astype(np.int32), self.w.astype(np.float32)
+        return self
+
     def vectors(self, table: np.ndarray) -> np.ndarray:
         if not len(self.feat):
             return np.zeros((self.n, table.shape[1]))
@@ -101,21 +109,29 @@ def initial(outputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.3, (DIM, outputs)), np.full(outputs, -2.0)
 
 
-def train(corpus: Corpus, y: np.ndarray, params, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-6, state=None):
-    """A few full-gradient Adam steps from the given parameters."""
-    params = [p.copy() for p in params]
-    state = state or [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    for t in range(1, steps + 1):
-        table, out, bias = params
-        v = corpus.vectors(table) * SCALE
-        p = 1 / (1 + np.exp(-(v @ out + bias)))
-        e = (p - y) / len(y)
-        grads = [corpus.gradient(e @ out.T * SCALE) + decay * table, v.T @ e + decay * out, e.sum(axis=0)]
-        for q, g, (m, s) in zip(params, grads, state):
+def gradients(corpus: Corpus, y: np.ndarray, params) -> list[np.ndarray]:
+    """Sums over the documents of the gradients of the logistic losses."""
+    table, out, bias = params
+    v = corpus.vectors(table) * SCALE
+    e = 1 / (1 + np.exp(-(v @ out + bias))) - y
+    return [corpus.gradient(e @ out.T * SCALE), v.T @ e, e.sum(axis=0)]
+
+
+class Adam:
+    """Parameters and their moments, moved by mean gradients at a falling rate."""
+
+    def __init__(self, params, steps: int = STEPS):
+        self.params, self.steps, self.t = params, steps, 0
+        self.moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
+
+    def step(self, grads) -> None:
+        rate = RATE * (1 - 0.5 * self.t / self.steps)
+        self.t += 1
+        for p, g, (m, v), decay in zip(self.params, grads, self.moments, (DECAY, DECAY, 0.0)):
+            g = g + decay * p
             m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            q -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
-    return params
+            v += 0.01 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-9)
 
 
 def predict(corpus: Corpus, params) -> np.ndarray:
@@ -144,20 +160,35 @@ def _unpack(raw: bytes, outputs: int):
     return flat[:a].reshape(BUCKETS, DIM), flat[a:b].reshape(DIM, outputs), flat[b:]
 
 
-def _step(shared, rate: float, m: int):
-    def step(t):
-        raw, freq = shared.value
-        y = np.zeros((t.num_rows, m))
+def _prepared(frequency, m: int):
+    """A shard's documents as one row: its arrays, made once and read in every step."""
+
+    def run(t):
+        _, freq = frequency.value
+        y = np.zeros((t.num_rows, m), bool)
         for i, ys in enumerate(t.column("ys").to_pylist()):
-            y[i, ys] = 1
-        start = _unpack(raw, m)
-        end = train(Corpus(t.column("text").to_pylist(), freq), y, start, STEPS, rate)
-        return pa.table({"n": pa.array([t.num_rows], pa.int64()), "delta": pa.array([_pack([a - b for a, b in zip(end, start)])], pa.binary())})
+            y[i, ys] = True
+        corpus = Corpus(t.column("text").to_pylist(), freq)
+        raw = pickle.dumps((corpus.slim(), y), protocol=5)
+        return pa.table({"n": pa.array([t.num_rows], pa.int64()), "raw": pa.array([raw], pa.binary())})
+
+    return run
+
 
-    return step
+def _sums(shared, m: int):
+    """The gradients of each shard."""
 
+    def run(batches):
+        params = _unpack(shared.value, m)
+        for b in batches:
+            for raw in b.column("raw").to_pylist():
+                corpus, y = pickle.loads(raw)
+                yield pa.RecordBatch.from_pydict({"g": pa.array([_pack(gradients(corpus, y.astype(float), params))], pa.binary())})
 
-def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = ROUNDS):
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], steps: int = STEPS):
     """(parameters, word frequencies): trained on labels (doc_id, subject) of docs (doc_id, text); None without labels."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -174,24 +205,31 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = R
         return None
     if n > MAX_LABELED:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_LABELED / n))
-    sample = scratch.save(rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SHARDS)).cast("int")), "sample")
-    params, m = initial(len(subjects)), len(subjects)
-    for r in range(rounds):
-        shared = spark.sparkContext.broadcast((_pack(params), frequency))
-        rate = 0.05 * (1 - 0.5 * r / rounds)
-
-        moved = sample.repartition(SHARDS, "shard").groupBy("shard").applyInArrow(_step(shared, rate, m), "n long, delta binary").collect()
-        total = sum(x[0] for x in moved)
-        if total:
-            params = [p + sum(x[0] / total * d for x, d in zip(moved, ds)) for p, ds in zip(params, zip(*[_unpack(bytes(x[1]), m) for x in moved]))]
-        shared.unpersist()
-    return params, frequency
+    sample = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SHARDS)).cast("int"))
+    m = len(subjects)
+    model = Adam(list(initial(m)))
+    shared = spark.sparkContext.broadcast((None, frequency))
+    shards = scratch.save(sample.repartition(SHARDS, "shard").groupBy("shard").applyInArrow(_prepared(shared, m), "n long, raw binary"), "shards", "snappy")
+    total = shards.agg(F.sum("n")).first()[0]
+    shared.unpersist()
+    if not total:
+        return model.params, frequency
+    for _ in range(steps):
+        common = spark.sparkContext.broadcast(_pack(model.params))
+        # SHARDS rows of as many floats as there are parameters
+        parts = [_unpack(bytes(r[0]), m) for r in shards.mapInArrow(_sums(common, m), "g binary").collect()]
+        model.step([sum(gs) / total for gs in zip(*parts)])
+        common.unpersist()
+    return model.params, frequency
 
 
 def classify(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, subject): every document with each subject that it is about."""
     spark = docs.sparkSession
-    subjects = [r[0] for r in areas.filter("subject is not null").groupBy("subject").agg(F.min("subject_id").alias("k")).orderBy("k", "subject").limit(1000).collect()]
+    listed = areas.filter("subject is not null").groupBy("subject").agg(F.min("subject_id").alias("k"))
+    if listed.count() > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
+    subjects = [r[0] for r in listed.orderBy("k", "subject").collect()]
     docs = docs.select("doc_id", "text")
     model = fit(docs, labels, subjects) if subjects else None
     kind = docs.schema["doc_id"].dataType.simpleString()
