@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from memlake.runtime import Scratch
 
-BUCKETS, DIM, SHARDS, STEPS, RATE, DECAY, SCALE = 1 << 15, 24, 8, 20, 0.05, 1e-6, 4.0
+BUCKETS, DIM, SHARDS, STEPS, RATE, DECAY, SCALE = 1 << 15, 24, 8, 32, 0.05, 1e-6, 4.0
 MAX_LABELED, MAX_SUBJECTS, SMOOTH, COUNTERS, THRESHOLD = 40_000, 1000, 3e-4, 1 << 18, 0.2
 #: Runs of letters of any script and length that stand free, not inside paths, names and calls of code.
 WORD = re.compile(r"(?<![\w/.])[^\W\d_]+(?![\w/(]|\.\w)")
