@@ -1,20 +1,21 @@
 """Problem 4: near-duplicate records with small edits, by multi-index hashing.
 
-Every distinct word set gets a 256-bit fingerprint (one-bit MinHash: two sets
-of Jaccard similarity J differ in about (1 - J) / 2 of the bits). The
-fingerprint is cut into disjoint segments, one table each. A segment has key
-bits, which place a row in a block of its table, and ball bits: inside the
-block the Hamming ball of radius 2 around each row's ball bits is enumerated,
-the matches fetched, and the complete distance of the fingerprints verified.
-Pairs within the distance are then checked exactly on their words.
-
-For w key bits a row also visits the blocks of the smaller keys within
-``key_radius(w)`` bits of its own. Per table a pair of J = 0.7 is met with
-probability P(B(w, 0.15) <= radius) * 0.895; w grows with the logarithm of the
-rows, so that blocks keep their size, and the radius with w, so that this
-probability is never below that of three key bits.
-A block above MAX_BLOCK rows is cut into chunks that meet in pairs, so no task
-holds an unbounded block and no pair is lost.
+Every distinct word set gets a fingerprint of SYMBOLS one-byte symbols
+(MinHash: a symbol of two sets of Jaccard similarity J is equal with
+probability J, else by chance). The fingerprint is cut into disjoint segments
+of ``segment_length`` symbols, one table each. In every table the Hamming ball
+of radius 1 around a row's segment is enumerated, as the keys that leave one
+symbol out, so two rows meet in a table if their segments differ in at most
+one symbol. Rows that meet are compared by the low bits of all symbols first;
+for the pairs that are left the complete distance of the fingerprints is
+verified, and then the words exactly.
+
+A longer segment tells more rows apart and is met less often, so the length
+grows with the logarithm of the rows, and the number of tables with the
+length: a pair at the threshold is missed by all tables with probability MISS
+at most, at every size. A key that holds more than MAX_BLOCK rows is cut into
+chunks that meet in pairs, so no task holds an unbounded block and no pair is
+lost; a sample tells which keys these are, and decides nothing but this split.
 
 Defined results: null and empty texts have no words and no pairs; texts with
 the same words that aren't copies in the sense of problem 5 are pairs of
@@ -33,13 +34,14 @@ from pyspark.sql import functions as F
 
 from memlake.llm.canon import RUN
 from memlake.llm.format_copies import copy_classes
+from memlake.runtime import Scratch, hubs, salted_join
 
-BITS, SEGMENT, BALL_BITS, RADIUS = 256, 21, 8, 2
-TABLES, BLOCK, MAX_BLOCK = 10, 4096, 16384
+#: SHORTEST segments do for FEW rows; each tenfold of these adds a symbol.
+SYMBOLS, SHORTEST, FEW, MISS = 128, 4, 1_000_000, 1e-3
+MAX_BLOCK, SAMPLE, MAX_BROADCAST = 16384, 32, 200_000
 _RNG = np.random.default_rng(20260301)
-_A = (_RNG.integers(0, 2**32, BITS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_B = _RNG.integers(0, 2**32, BITS, dtype=np.uint64).astype(np.uint32)
-_BALL = sorted((m for m in range(1 << BALL_BITS) if m.bit_count() <= RADIUS), key=lambda m: (m.bit_count(), m))
+_A = (_RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_B = _RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint64).astype(np.uint32)
 
 
 class _Hashes(dict):
@@ -57,11 +59,13 @@ def words(text: str | None) -> set[str]:
 
 
 def fingerprints(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """One-bit MinHash of each (non-empty) token list, as rows of 4 uint64."""
-    bits = np.empty((len(starts), BITS), np.uint8)
-    for j in range(BITS):
-        bits[:, j] = (np.minimum.reduceat(tokens * _A[j] + _B[j], starts) >> np.uint32(10)) & np.uint32(1)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    """[lists, SYMBOLS] bytes: the MinHash symbols of each (non-empty) token list."""
+    out = np.empty((len(starts), SYMBOLS), np.uint8)
+    for j in range(SYMBOLS):
+        least = np.minimum.reduceat(tokens * _A[j] + _B[j], starts)
+        # the least values are small: their bits are mixed before eight are taken
+        out[:, j] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+    return out
 
 
 def _extra():
@@ -87,131 +91,158 @@ def _extra():
     return run
 
 
-def key_width(rows: int) -> int:
-    return min(SEGMENT - BALL_BITS, max(0, math.ceil(math.log2(max(1, rows) / BLOCK))))
+def segment_length(rows: int) -> int:
+    return SHORTEST + max(0, math.ceil(math.log10(max(1, rows) / FEW)))
 
 
-def key_radius(width: int) -> int:
-    """Flips allowed in the key bits: the fewest that meet a pair of J = 0.7 as often as three key bits do without flips."""
-    met, radius = 0.85**width, 0
-    while met < 0.85**3 - 1e-12:
-        radius += 1
-        met += math.comb(width, radius) * 0.15**radius * 0.85 ** (width - radius)
-    return radius
+def tables(length: int, threshold: float) -> int:
+    """As many tables as miss a pair at the threshold with probability MISS at most."""
+    met = threshold**length + length * (1 - threshold) * threshold ** (length - 1)
+    return max(1, math.ceil(math.log(MISS) / math.log(1 - met)))
 
 
-def max_distance(threshold: float) -> int:
-    """Largest complete distance kept: three standard deviations above the mean at the threshold."""
-    p = (1 - threshold) / 2
-    return math.ceil(BITS * p + 3 * math.sqrt(BITS * p * (1 - p)))
+def segments(length: int, count: int) -> list[np.ndarray]:
+    """The symbols of each table: disjoint as far as the fingerprint goes, then further drawings from it."""
+    out: list[np.ndarray] = []
+    rng = np.random.default_rng(7)
+    while len(out) < count:
+        order = np.arange(SYMBOLS) if not out else rng.permutation(SYMBOLS)
+        out += [order[k : k + length] for k in range(0, SYMBOLS - length + 1, length)]
+    return out[:count]
 
 
-def _segments(fp: np.ndarray) -> np.ndarray:
-    """The segment of each table: [rows, TABLES] of SEGMENT bits."""
-    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")[:, : TABLES * SEGMENT].reshape(len(fp), TABLES, SEGMENT)
-    return bits.astype(np.int64) @ (1 << np.arange(SEGMENT, dtype=np.int64))
+def max_distance(threshold: float, n: int = SYMBOLS, chance: float = 1 / 256) -> int:
+    """Largest distance of ``n`` symbols kept: three and a half standard deviations above the mean at the threshold."""
+    p = (1 - threshold) * (1 - chance)
+    return math.ceil(n * p + 3.5 * math.sqrt(n * p * (1 - p)))
 
 
-def _explode(width: int):
-    masks = np.array([m for m in range(1 << width) if m.bit_count() <= key_radius(width)], np.int64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _keys(length: int, count: int):
+    """(key, rep, s0, s1): the keys of the ball of radius 1 in each table, with the low bits of the fingerprint."""
+    parts = segments(length, count)
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), "<u8").reshape(-1, 4)
-            key = _segments(fp) >> BALL_BITS & ((1 << width) - 1)
-            # a row stays in the block of its key and visits those of smaller keys
-            to = key[:, :, None] ^ masks
-            row, table, k = np.nonzero((to < key[:, :, None]) | (masks == 0))
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(table << 16 | to[row, table, k], pa.int64()), b.column("rep").take(at), b.column("fp").take(at)], names=["block", "rep", "fp"])
+            fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+            low = np.packbits(fp & 1, axis=1, bitorder="little").view("<u8")
+            keys = np.empty((len(fp), count, length), np.uint64)
+            for t, symbols in enumerate(parts):
+                seg = fp[:, symbols].astype(np.uint64)
+                for left_out in range(length):
+                    key = np.full(len(fp), t * length + left_out + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    for k in range(length):
+                        if k != left_out:
+                            key = _mixed(key + seg[:, k] + np.uint64(1))
+                    keys[:, t, left_out] = key
+            each = count * length
+            at = pa.array(np.repeat(np.arange(len(fp)), each))
+            sketch = [pa.array(np.repeat(low[:, k], each).view(np.int64)) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), b.column("rep").take(at), *sketch], names=["key", "rep", "s0", "s1"])
 
     return run
 
 
-def _pairs_within(ids, fp, chunk, table, width, limit, key):
-    """Pairs of one block, of its own rows and of those with its visitors, whose complete distance is at most ``limit`` and that no earlier table finds."""
-    seg = _segments(fp)
-    ball = seg[:, table] & ((1 << BALL_BITS) - 1)
-    visits = (seg[:, table] >> BALL_BITS & ((1 << width) - 1)) != key
-    # own rows first, then visitors, either by ball bits
-    order = np.lexsort((ball, visits))
-    ids, fp, seg, ball, chunk = ids[order], fp[order], seg[order], ball[order], chunk[order]
-    own = len(ids) - int(visits.sum())
-    start = np.searchsorted(ball[:own], np.arange((1 << BALL_BITS) + 1))
-    guest = own + np.searchsorted(ball[own:], np.arange((1 << BALL_BITS) + 1))
-    rows, ball = np.arange(own), ball[:own]
-    radius = key_radius(width)
-    first, near = fp[:, 0].copy(), int(limit / 4 + 10)
-    out_a, out_b = [], []
-    cross = len(np.unique(chunk)) > 1
-    for mask, visitors in ((m, v) for m in _BALL for v in (False, True)):
-        other = ball ^ mask
-        lo, hi = (guest if visitors else start)[other], (guest if visitors else start)[other + 1]
-        if visitors:
-            left = rows
-        elif mask:
-            left = rows[other > ball]
-            lo, hi = lo[left], hi[left]
-        else:
-            left, lo = rows, rows + 1
-        count = np.maximum(hi - lo, 0)
-        cum = np.cumsum(count)
-        at = 0
-        while at < len(left):
-            end = max(at + 1, int(np.searchsorted(cum, (cum[at - 1] if at else 0) + 4_000_000, "right")))
-            c = count[at:end]
-            i = np.repeat(left[at:end], c)
-            j = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[at:end], c)
-            at = end
-            if not len(i):
+def _close_pairs(key, part, rep, sketch, chunk, limit):
+    """Pairs within the groups of sorted rows of equal key and part whose low bits differ in at most ``limit``."""
+    new = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+    ends = np.repeat(np.append(new, len(key)), np.diff(np.concatenate([[0], new, [len(key)]])))
+    count = ends - np.arange(len(key)) - 1
+    rows = np.flatnonzero(count)
+    count = count[rows]
+    cum = np.cumsum(count)
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(cum, (cum[at - 1] if at else 0) + 2_000_000, "right")))
+        c = count[at:to]
+        i = np.repeat(rows[at:to], c)
+        j = i + 1 + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        at = to
+        first = np.bitwise_count(sketch[0][i] ^ sketch[0][j])
+        keep = first <= limit
+        i, j, first = i[keep], j[keep], first[keep]
+        keep = first + np.bitwise_count(sketch[1][i] ^ sketch[1][j]) <= limit
+        # rows of two chunks meet here, those of one chunk in its own task
+        keep &= (part[i] == 0) | (chunk[i] != chunk[j])
+        a, b = rep[i[keep]], rep[j[keep]]
+        if len(a):
+            yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+
+
+def _meet(limit: int):
+    """Rows sorted by key and part to close pairs, groups taken as they end."""
+
+    def run(batches):
+        kept: tuple | None = None
+        for b in batches:
+            if not b.num_rows:
                 continue
-            keep = np.bitwise_count(first[i] ^ first[j]) <= near
-            i, j = i[keep], j[keep]
-            keep = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) <= limit
-            i, j = i[keep], j[keep]
-            if cross:
-                keep = chunk[i] != chunk[j]
-                i, j = i[keep], j[keep]
-            if table and len(i):
-                x = seg[i, :table] ^ seg[j, :table]
-                met = (np.bitwise_count(x >> BALL_BITS & ((1 << width) - 1)) <= radius) & (np.bitwise_count(x & ((1 << BALL_BITS) - 1)) <= RADIUS)
-                keep = ~met.any(axis=1)
-                i, j = i[keep], j[keep]
-            out_a.append(np.minimum(ids[i], ids[j]))
-            out_b.append(np.maximum(ids[i], ids[j]))
-    empty = np.empty(0, np.int64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
-
-
-def _match(width: int, limit: int):
-    def run(key, t):
-        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").reshape(-1, 4)
-        block = int(key[0].as_py())
-        a, b = _pairs_within(t.column("rep").to_numpy(), fp, t.column("chunk").to_numpy(), block >> 16, width, limit, block & 0xFFFF)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            rows = tuple(b.column(c).to_numpy() for c in ("key", "part", "rep", "s0", "s1", "chunk"))
+            if kept:
+                rows = tuple(np.concatenate([x, y]) for x, y in zip(kept, rows))
+            key, part = rows[0], rows[1]
+            last = int(np.flatnonzero((key != key[-1]) | (part != part[-1]))[-1]) + 1 if (key[0], part[0]) != (key[-1], part[-1]) else 0
+            yield from _batch(tuple(x[:last] for x in rows), limit)
+            kept = tuple(x[last:] for x in rows)
+        if kept:
+            yield from _batch(kept, limit)
 
     return run
 
 
-def candidates(reps: DataFrame, rows: int, threshold: float) -> DataFrame:
-    """(a, b), a < b, each once: rows of (rep, fp) that multi-index hashing finds."""
-    width, limit = key_width(rows), max_distance(threshold)
-    spread = reps.select("rep", "fp").mapInArrow(_explode(width), "block long, rep long, fp binary")
-    keys = reps.select("rep", "fp").mapInArrow(_explode(width), "block long, rep long, fp binary").groupBy("block").count()
-    # at most TABLES * 2^13 blocks exist, whatever the input
-    large = keys.filter(F.col("count") > MAX_BLOCK).select("block", F.ceil(F.col("count") / MAX_BLOCK).cast("int").alias("parts"))
-    spread = spread.join(F.broadcast(large), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    spread = spread.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # chunk c meets every other chunk in the task (min, max); alone, in the task (c, c)
-    spread = spread.withColumn("meet", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.withColumn("lo", F.least("chunk", "meet")).withColumn("hi", F.greatest("chunk", "meet")).drop("parts", "meet")
-    return spread.groupBy("block", "lo", "hi").applyInArrow(_match(width, limit), "a long, b long")
+def _batch(rows, limit):
+    key, part, rep, s0, s1, chunk = rows
+    if not len(key):
+        return
+    for pairs in _close_pairs(key, part, rep, (s0.view(np.uint64), s1.view(np.uint64)), chunk, limit):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.70, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """(id_a, id_b), id_a < id_b: pairs whose word sets have Jaccard similarity of at least ``threshold`` and that aren't copies."""
+def candidates(reps: DataFrame, rows: int, threshold: float) -> DataFrame:
+    """(a, b), a < b, each once: rows of (rep, fp) that multi-index hashing finds, by the low bits of their fingerprints."""
+    length = segment_length(rows)
+    schema = "key long, rep long, s0 long, s1 long"
+    make = _keys(length, tables(length, threshold))
+    spread = reps.select("rep", "fp").mapInArrow(make, schema)
+    sample = reps.select("rep", "fp").filter(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(SAMPLE)) == 0).mapInArrow(make, schema)
+    large = sample.groupBy("key").count().filter(F.col("count") * SAMPLE * 2 > MAX_BLOCK)
+    large = large.select("key", F.ceil(F.col("count") * SAMPLE * 2 / MAX_BLOCK).cast("int").alias("parts")).filter("parts > 1")
+    large = Scratch(reps.sparkSession).save(large, "large") if rows > MAX_BLOCK else None
+    n = large.count() if large is not None else 0
+    if n:
+        spread = spread.join(F.broadcast(large) if n <= MAX_BROADCAST else large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        spread = spread.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        # chunk c meets every other chunk in the part (min, max) and its own rows in part 0 of a key of its own
+        spread = spread.withColumn("meet", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        lo, hi = F.least("chunk", "meet"), F.greatest("chunk", "meet")
+        own = F.col("chunk") == F.col("meet")
+        key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", lo, hi))
+        spread = spread.select(key.alias("key"), F.when(own, 0).otherwise(1).alias("part"), "rep", "s0", "s1", "chunk")
+    else:
+        spread = spread.select("key", F.lit(0).alias("part"), "rep", "s0", "s1", F.lit(0).alias("chunk"))
+    limit = max_distance(threshold, SYMBOLS, 0.5)
+    met = spread.repartition("key").sortWithinPartitions("key", "part").mapInArrow(_meet(limit), "a long, b long")
+    return met.distinct()
+
+
+def _distance(batches):
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SYMBOLS) for c in ("fa", "fb"))
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array((x != y).sum(axis=1), pa.int32())], names=["a", "b", "distance"])
+
+
+def near_classes(df: DataFrame, threshold: float = 0.70, id_col: str = "id", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(pairs: a, b, a <= b; members: rep, keep_id, id): near-duplicate word sets by their representatives, and the rows of each.
+
+    A pair of a set with itself stands for rows of the same words that aren't
+    copies of each other.
+    """
     rows, classes, total, scratch = copy_classes(df, id_col, text_col, _extra(), ", set_key binary, words array<int>, fp binary")
     spark = df.sparkSession
     canonical = spark.read.parquet(f"{scratch.root}/canonical").filter(F.col("set_key").isNotNull())
@@ -219,16 +250,28 @@ def near_duplicates(df: DataFrame, threshold: float = 0.70, id_col: str = "id",
     linked = scratch.save(canonical.select("raw", "set_key").join(sets, "set_key").join(classes.select("raw", "keep_id", "n"), "raw").select("raw", "rep", "keep_id", "n"), "linked")
     reps = scratch.save(canonical.withColumnRenamed("first_id", "rep").join(sets.select("rep"), "rep", "left_semi").select("rep", "words", "fp"), "reps")
     found = scratch.save(candidates(reps, reps.count(), threshold), "candidates")
-    a, b = (reps.select(F.col("rep").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    checked = found.join(a, "a").join(b, "b").withColumn("shared", shared)
+    a, b = (reps.select(F.col("rep").alias(x), F.col("fp").alias(f"f{x}"), F.col("words").alias(f"w{x}")) for x in "ab")
+    far = found.join(a.drop("wa"), "a").join(b.drop("wb"), "b").mapInArrow(_distance, "a long, b long, distance int")
+    near = scratch.save(far.filter(F.col("distance") <= max_distance(threshold)).select("a", "b"), "near")
+    checked = near.join(a.drop("fa"), "a").join(b.drop("fb"), "b").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
     checked = checked.filter(F.col("shared") >= threshold * (F.size("wa") + F.size("wb") - F.col("shared")) - 1e-9).select("a", "b")
-    # rows with the same words but not copies of each other are pairs of similarity 1
     mixed = linked.groupBy("rep").agg(F.min("keep_id").alias("x"), F.max("keep_id").alias("y")).filter("x < y").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     pairs = scratch.save(checked.unionByName(mixed), "pairs")
     touched = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    members = scratch.save(linked.join(touched, "rep", "left_semi").join(rows, "raw").select("rep", "keep_id", "id").distinct(), "members")
+    members = linked.join(touched, "rep", "left_semi")
+    # a text may stand in many rows
+    hot = scratch.save(hubs(rows, "raw", total), "hot")
+    members = salted_join(rows, members.select("raw", "rep", "keep_id"), "raw", "id", hot).select("rep", "keep_id", "id").distinct()
+    return pairs, scratch.save(members, "members")
+
+
+def near_duplicates(df: DataFrame, threshold: float = 0.70, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """(id_a, id_b), id_a < id_b: pairs whose word sets have Jaccard similarity of at least ``threshold`` and that aren't copies."""
+    pairs, members = near_classes(df, threshold, id_col, text_col)
+    hot = hubs(members, "rep", members.count())
     left = members.select(F.col("rep").alias("a"), F.col("keep_id").alias("ka"), F.col("id").alias("ia"))
     right = members.select(F.col("rep").alias("b"), F.col("keep_id").alias("kb"), F.col("id").alias("ib"))
-    out = pairs.join(left, "a").join(right, "b").filter((F.col("ka") != F.col("kb")) & ((F.col("a") != F.col("b")) | (F.col("ia") < F.col("ib"))))
+    out = salted_join(left, pairs, "a", "ia", hot.withColumnRenamed("rep", "a"))
+    out = salted_join(right, out, "b", "ib", hot.withColumnRenamed("rep", "b"))
+    out = out.filter((F.col("ka") != F.col("kb")) & ((F.col("a") != F.col("b")) | (F.col("ia") < F.col("ib"))))
     return out.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))

@@ -177,23 +177,32 @@ def test_near_duplicates_in_cut_blocks(spark, monkeypatch):
     texts = [" ".join(WORDS) + f" n{i}" for i in range(80)]
     df = frame(spark, list(enumerate(texts)), "id long, content string")
     monkeypatch.setattr(near_duplicates, "MAX_BLOCK", 16)
+    monkeypatch.setattr(near_duplicates, "SAMPLE", 4)
     got = [tuple(r) for r in near_duplicates.near_duplicates(df).collect()]
     assert len(got) == len(set(got)) == 80 * 79 // 2
 
 
-def test_near_duplicates_at_every_key_width(spark, monkeypatch):
+@pytest.mark.parametrize("length", [4, 5, 7])
+def test_near_duplicates_at_every_segment_length(spark, monkeypatch, length):
     rng = np.random.default_rng(17)
     fp = []
     for _ in range(600):
         # two fingerprints as of a pair of Jaccard similarity 0.7
-        a = rng.integers(0, 2, 256, dtype=np.uint8)
-        fp += [a, a ^ (rng.random(256) < 0.15)]
-    df = frame(spark, [(i, bytes(np.packbits(f, bitorder="little"))) for i, f in enumerate(fp)], "rep long, fp binary")
-    near = {(i, i + 1) for i in range(0, 1200, 2) if (fp[i] != fp[i + 1]).sum() <= near_duplicates.max_distance(0.7)}
-    for width in (7, 10):
-        monkeypatch.setattr(near_duplicates, "key_width", lambda rows, w=width: w)
-        got = [tuple(r) for r in near_duplicates.candidates(df, 1200, 0.7).collect()]
-        assert len(got) == len(set(got)) and len(set(got) & near) >= 0.99 * len(near)
+        a = rng.integers(0, 256, near_duplicates.SYMBOLS, dtype=np.uint8)
+        fp += [a, np.where(rng.random(len(a)) < 0.7, a, rng.integers(0, 256, len(a), dtype=np.uint8))]
+    df = frame(spark, [(i, bytes(f)) for i, f in enumerate(fp)], "rep long, fp binary")
+    monkeypatch.setattr(near_duplicates, "segment_length", lambda rows: length)
+    got = [tuple(r) for r in near_duplicates.candidates(df, 1200, 0.7).collect()]
+    near = {(i, i + 1) for i in range(0, 1200, 2)}
+    assert len(got) == len(set(got)) and len(set(got) & near) >= 0.985 * len(near)
+
+
+def test_tables_follow_the_length():
+    counts = [near_duplicates.tables(m, 0.7) for m in range(4, 9)]
+    assert counts == sorted(counts) and counts[0] < 10
+    assert [near_duplicates.segment_length(n) for n in (0, 1_000_000, 1_000_001, 80_000_000)] == [4, 4, 5, 6]
+    for m in (4, 8):
+        assert all(len(set(x)) == m for x in near_duplicates.segments(m, near_duplicates.tables(m, 0.7)))
 
 
 COPIES = [
