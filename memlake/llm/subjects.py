@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from memlake.runtime import Scratch
 
-BUCKETS, DIM, SHARDS, STEPS, RATE, DECAY, SCALE = 1 << 15, 24, 8, 32, 0.05, 1e-6, 4.0
+BUCKETS, DIM, SHARDS, STEPS, RATE, DECAY, SCALE = 1 << 15, 24, 8, 24, 0.05, 1e-6, 4.0
 MAX_LABELED, MAX_SUBJECTS, SMOOTH, COUNTERS, THRESHOLD = 40_000, 1000, 3e-4, 1 << 18, 0.2
 #: Runs of letters of any script and length that stand free, not inside paths, names and calls of code.
 WORD = re.compile(r"(?<![\w/.])[^\W\d_]+(?![\w/(]|\.\w)")
@@ -77,36 +77,41 @@ class Corpus:
         self.w = self.weight[self.word] * n
         total = np.bincount(self.doc, weights=self.w, minlength=len(texts)) if len(key) else np.zeros(len(texts))
         self.empty = total == 0
-        self.w = self.w / np.where(total == 0, 1, total)[self.doc]
+        self.w = (self.w / np.where(total == 0, 1, total)[self.doc]).astype(np.float32)
         self.n = len(texts)
-
-    def slim(self) -> Corpus:
-        """The same in the smallest types."""
-        self.feat, self.feat_n, self.doc, self.word, self.w = self.feat.astype(np.uint16), self.feat_n.astype(np.int32), self.doc.astype(np.int32), self.word.astype(np.int32), self.w.astype(np.float32)
-        return self
+        self.doc, self.word, self.feat = self.doc.astype(np.int32), self.word.astype(np.int32), self.feat.astype(np.int32)
 
     def vectors(self, table: np.ndarray) -> np.ndarray:
         if not len(self.feat):
-            return np.zeros((self.n, table.shape[1]))
+            return np.zeros((self.n, table.shape[1]), np.float32)
         starts = np.concatenate([[0], np.cumsum(self.feat_n)[:-1]])
-        self.word_vec = np.add.reduceat(table[self.feat], starts, axis=0) / self.feat_n[:, None]
-        return _sum_rows(self.doc, self.word_vec[self.word] * self.w[:, None], self.n)
-
-    def gradient(self, d_doc: np.ndarray) -> np.ndarray:
-        d_word = _sum_rows(self.word, d_doc[self.doc] * self.w[:, None], len(self.feat_n)) / self.feat_n[:, None]
-        return _sum_rows(self.feat, np.repeat(d_word, self.feat_n, axis=0), BUCKETS)
+        self.word_vec = np.add.reduceat(table[self.feat], starts, axis=0) / self.feat_n[:, None].astype(np.float32)
+        return _sum_sorted(self.doc, self.word_vec[self.word] * self.w[:, None], self.n)
 
+    def sorted(self) -> Corpus:
+        """With the orders that gradients are summed in."""
+        self.by_word, self.by_feat = (np.argsort(x, kind="stable").astype(np.int32) for x in (self.word, self.feat))
+        return self
 
-def _sum_rows(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    out = np.empty((n, rows.shape[1]))
-    for c in range(rows.shape[1]):
-        out[:, c] = np.bincount(index, weights=rows[:, c], minlength=n)
+    def gradient(self, d_doc: np.ndarray) -> np.ndarray:
+        per_word = (d_doc[self.doc] * self.w[:, None])[self.by_word]
+        d_word = _sum_sorted(self.word[self.by_word], per_word, len(self.feat_n)) / self.feat_n[:, None].astype(np.float32)
+        owner = np.repeat(np.arange(len(self.feat_n)), self.feat_n)[self.by_feat]
+        return _sum_sorted(self.feat[self.by_feat], d_word[owner], BUCKETS)
+
+
+def _sum_sorted(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each index; equal indexes stand together."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    if len(index):
+        starts = np.flatnonzero(np.diff(index, prepend=-1))
+        out[index[starts]] = np.add.reduceat(rows, starts, axis=0)
     return out
 
 
 def initial(outputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(10)
-    return rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.3, (DIM, outputs)), np.full(outputs, -2.0)
+    return tuple(x.astype(np.float32) for x in (rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.3, (DIM, outputs)), np.full(outputs, -2.0)))
 
 
 def gradients(corpus: Corpus, y: np.ndarray, params) -> list[np.ndarray]:
@@ -155,7 +160,7 @@ def _pack(params) -> bytes:
 
 
 def _unpack(raw: bytes, outputs: int):
-    flat = np.frombuffer(raw, np.float32).astype(np.float64)
+    flat = np.frombuffer(raw, np.float32)
     a, b = BUCKETS * DIM, BUCKETS * DIM + DIM * outputs
     return flat[:a].reshape(BUCKETS, DIM), flat[a:b].reshape(DIM, outputs), flat[b:]
 
@@ -169,21 +174,24 @@ def _prepared(frequency, m: int):
         for i, ys in enumerate(t.column("ys").to_pylist()):
             y[i, ys] = True
         corpus = Corpus(t.column("text").to_pylist(), freq)
-        raw = pickle.dumps((corpus.slim(), y), protocol=5)
+        raw = pickle.dumps((corpus.sorted(), y), protocol=5)
         return pa.table({"n": pa.array([t.num_rows], pa.int64()), "raw": pa.array([raw], pa.binary())})
 
     return run
 
 
 def _sums(shared, m: int):
-    """The gradients of each shard."""
+    """The gradients of the shards of a partition, added up."""
 
     def run(batches):
-        params = _unpack(shared.value, m)
+        params, total = _unpack(shared.value, m), None
         for b in batches:
             for raw in b.column("raw").to_pylist():
                 corpus, y = pickle.loads(raw)
-                yield pa.RecordBatch.from_pydict({"g": pa.array([_pack(gradients(corpus, y.astype(float), params))], pa.binary())})
+                g = gradients(corpus, y.astype(np.float32), params)
+                total = g if total is None else [p + q for p, q in zip(total, g)]
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"g": pa.array([_pack(total)], pa.binary())})
 
     return run
 
@@ -211,15 +219,18 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], steps: int = ST
     shared = spark.sparkContext.broadcast((None, frequency))
     shards = scratch.save(sample.repartition(SHARDS, "shard").groupBy("shard").applyInArrow(_prepared(shared, m), "n long, raw binary"), "shards", "snappy")
     total = shards.agg(F.sum("n")).first()[0]
-    shared.unpersist()
+    shared.destroy()
     if not total:
         return model.params, frequency
     for _ in range(steps):
         common = spark.sparkContext.broadcast(_pack(model.params))
-        # SHARDS rows of as many floats as there are parameters
-        parts = [_unpack(bytes(r[0]), m) for r in shards.mapInArrow(_sums(common, m), "g binary").collect()]
-        model.step([sum(gs) / total for gs in zip(*parts)])
-        common.unpersist()
+        # SHARDS rows at most, of as many floats as there are parameters
+        grads = None
+        for r in shards.mapInArrow(_sums(common, m), "g binary").collect():
+            part = _unpack(bytes(r[0]), m)
+            grads = part if grads is None else [p + q for p, q in zip(grads, part)]
+        model.step([g / np.float32(total) for g in grads])
+        common.destroy()
     return model.params, frequency
 
 
