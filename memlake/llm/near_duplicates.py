@@ -38,6 +38,8 @@ from memlake.runtime import Scratch, hubs, salted_join
 
 #: SHORTEST segments do for FEW rows; each tenfold of these adds a symbol.
 SYMBOLS, SHORTEST, FEW, MISS = 128, 4, 1_000_000, 1e-3
+#: The low bits of so many symbols go with every key, and the logarithm of the number of words to this base in one byte.
+LOW, SIZE_BASE = 120, 1.05
 MAX_BLOCK, SAMPLE, MAX_BROADCAST = 16384, 32, 200_000
 _RNG = np.random.default_rng(20260301)
 _A = (_RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -73,24 +75,26 @@ def _extra():
 
     def run(texts):
         sets = [np.unique(np.fromiter((cache[w] for w in ws), np.uint32, len(ws))) if (ws := words(t)) else np.empty(0, np.uint32) for t in texts]
-        full = [i for i, s in enumerate(sets) if len(s)]
-        fp = [None] * len(texts)
-        if full:
-            lengths = np.array([len(sets[i]) for i in full])
-            made = fingerprints(np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-            for k, i in enumerate(full):
-                fp[i] = made[k].tobytes()
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         flat = np.concatenate(sets).view(np.int32) if sets else np.empty(0, np.int32)
         return {
             "set_key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
             "words": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-            "fp": pa.array(fp, pa.binary()),
         }
 
     return run
 
 
+def _fingerprinted(batches):
+    """(rep, words) with their fingerprints; no list is empty."""
+    for b in batches:
+        if b.num_rows:
+            lists = b.column("words")
+            n = np.asarray(lists.value_lengths())
+            fp = fingerprints(np.asarray(lists.flatten()).view(np.uint32), np.cumsum(n) - n)
+            yield pa.RecordBatch.from_arrays([b.column("rep"), lists, pa.array([r.tobytes() for r in fp], pa.binary())], names=["rep", "words", "fp"])
+
+
 def segment_length(rows: int) -> int:
     return SHORTEST + max(0, math.ceil(math.log10(max(1, rows) / FEW)))
 
@@ -111,10 +115,10 @@ def segments(length: int, count: int) -> list[np.ndarray]:
     return out[:count]
 
 
-def max_distance(threshold: float, n: int = SYMBOLS, chance: float = 1 / 256) -> int:
-    """Largest distance of ``n`` symbols kept: three and a half standard deviations above the mean at the threshold."""
+def max_distance(threshold: float, n: int = SYMBOLS, chance: float = 1 / 256, deviations: float = 3.5) -> int:
+    """Largest distance of ``n`` symbols kept: ``deviations`` standard deviations above the mean at the threshold."""
     p = (1 - threshold) * (1 - chance)
-    return math.ceil(n * p + 3.5 * math.sqrt(n * p * (1 - p)))
+    return math.ceil(n * p + deviations * math.sqrt(n * p * (1 - p)))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -123,7 +127,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _keys(length: int, count: int):
-    """(key, rep, s0, s1): the keys of the ball of radius 1 in each table, with the low bits of the fingerprint."""
+    """(key, rep, s0, s1): the keys of the ball of radius 1 in each table, with the low bits of the fingerprint and the size of the set."""
     parts = segments(length, count)
 
     def run(batches):
@@ -131,7 +135,9 @@ def _keys(length: int, count: int):
             if not b.num_rows:
                 continue
             fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-            low = np.packbits(fp & 1, axis=1, bitorder="little").view("<u8")
+            low = np.packbits(fp & 1, axis=1, bitorder="little")
+            low[:, LOW // 8] = np.minimum(255, np.log(np.maximum(1, b.column("n").to_numpy())) / math.log(SIZE_BASE)).astype(np.uint8)
+            low = low.view("<u8")
             keys = np.empty((len(fp), count, length), np.uint64)
             for t, symbols in enumerate(parts):
                 seg = fp[:, symbols].astype(np.uint64)
@@ -149,8 +155,10 @@ def _keys(length: int, count: int):
     return run
 
 
-def _close_pairs(key, part, rep, sketch, chunk, limit):
-    """Pairs within the groups of sorted rows of equal key and part whose low bits differ in at most ``limit``."""
+def _close_pairs(key, part, rep, sketch, chunk, limit, spread):
+    """Pairs within the groups of sorted rows of equal key and part whose low bits differ in at most ``limit`` and whose size bytes in at most ``spread``."""
+    size = (sketch[1] >> np.uint64(LOW - 64)).astype(np.int16)
+    tail = sketch[1] & np.uint64((1 << LOW - 64) - 1)
     new = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
     ends = np.repeat(np.append(new, len(key)), np.diff(np.concatenate([[0], new, [len(key)]])))
     count = ends - np.arange(len(key)) - 1
@@ -167,7 +175,7 @@ def _close_pairs(key, part, rep, sketch, chunk, limit):
         first = np.bitwise_count(sketch[0][i] ^ sketch[0][j])
         keep = first <= limit
         i, j, first = i[keep], j[keep], first[keep]
-        keep = first + np.bitwise_count(sketch[1][i] ^ sketch[1][j]) <= limit
+        keep = (first + np.bitwise_count(tail[i] ^ tail[j]) <= limit) & (np.abs(size[i] - size[j]) <= spread)
         # rows of two chunks meet here, those of one chunk in its own task
         keep &= (part[i] == 0) | (chunk[i] != chunk[j])
         a, b = rep[i[keep]], rep[j[keep]]
@@ -175,7 +183,7 @@ def _close_pairs(key, part, rep, sketch, chunk, limit):
             yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
 
 
-def _meet(limit: int):
+def _meet(limit: int, spread: int):
     """Rows sorted by key and part to close pairs, groups taken as they end."""
 
     def run(batches):
@@ -188,29 +196,29 @@ def _meet(limit: int):
                 rows = tuple(np.concatenate([x, y]) for x, y in zip(kept, rows))
             key, part = rows[0], rows[1]
             last = int(np.flatnonzero((key != key[-1]) | (part != part[-1]))[-1]) + 1 if (key[0], part[0]) != (key[-1], part[-1]) else 0
-            yield from _batch(tuple(x[:last] for x in rows), limit)
+            yield from _batch(tuple(x[:last] for x in rows), limit, spread)
             kept = tuple(x[last:] for x in rows)
         if kept:
-            yield from _batch(kept, limit)
+            yield from _batch(kept, limit, spread)
 
     return run
 
 
-def _batch(rows, limit):
+def _batch(rows, limit, spread):
     key, part, rep, s0, s1, chunk = rows
     if not len(key):
         return
-    for pairs in _close_pairs(key, part, rep, (s0.view(np.uint64), s1.view(np.uint64)), chunk, limit):
+    for pairs in _close_pairs(key, part, rep, (s0.view(np.uint64), s1.view(np.uint64)), chunk, limit, spread):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def candidates(reps: DataFrame, rows: int, threshold: float) -> DataFrame:
-    """(a, b), a < b, each once: rows of (rep, fp) that multi-index hashing finds, by the low bits of their fingerprints."""
+    """(a, b), a < b, each once: rows of (rep, fp, n words) that multi-index hashing finds, by the low bits of their fingerprints and their sizes, which can't differ by more than the threshold."""
     length = segment_length(rows)
     schema = "key long, rep long, s0 long, s1 long"
     make = _keys(length, tables(length, threshold))
-    spread = reps.select("rep", "fp").mapInArrow(make, schema)
-    sample = reps.select("rep", "fp").filter(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(SAMPLE)) == 0).mapInArrow(make, schema)
+    spread = reps.select("rep", "fp", "n").mapInArrow(make, schema)
+    sample = reps.select("rep", "fp", "n").filter(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(SAMPLE)) == 0).mapInArrow(make, schema)
     large = sample.groupBy("key").count().filter(F.col("count") * SAMPLE * 2 > MAX_BLOCK)
     large = large.select("key", F.ceil(F.col("count") * SAMPLE * 2 / MAX_BLOCK).cast("int").alias("parts")).filter("parts > 1")
     large = Scratch(reps.sparkSession).save(large, "large") if rows > MAX_BLOCK else None
@@ -226,8 +234,8 @@ def candidates(reps: DataFrame, rows: int, threshold: float) -> DataFrame:
         spread = spread.select(key.alias("key"), F.when(own, 0).otherwise(1).alias("part"), "rep", "s0", "s1", "chunk")
     else:
         spread = spread.select("key", F.lit(0).alias("part"), "rep", "s0", "s1", F.lit(0).alias("chunk"))
-    limit = max_distance(threshold, SYMBOLS, 0.5)
-    met = spread.repartition("key").sortWithinPartitions("key", "part").mapInArrow(_meet(limit), "a long, b long")
+    limit = max_distance(threshold, LOW, 0.5, 3.0)
+    met = spread.repartition("key").sortWithinPartitions("key", "part").mapInArrow(_meet(limit, math.ceil(-math.log(threshold) / math.log(SIZE_BASE))), "a long, b long")
     return met.distinct()
 
 
@@ -243,13 +251,14 @@ def near_classes(df: DataFrame, threshold: float = 0.70, id_col: str = "id", tex
     A pair of a set with itself stands for rows of the same words that aren't
     copies of each other.
     """
-    rows, classes, total, scratch = copy_classes(df, id_col, text_col, _extra(), ", set_key binary, words array<int>, fp binary")
+    rows, classes, total, scratch = copy_classes(df, id_col, text_col, _extra(), ", set_key binary, words array<int>")
     spark = df.sparkSession
     canonical = spark.read.parquet(f"{scratch.root}/canonical").filter(F.col("set_key").isNotNull())
     sets = canonical.groupBy("set_key").agg(F.min("first_id").alias("rep"))
     linked = scratch.save(canonical.select("raw", "set_key").join(sets, "set_key").join(classes.select("raw", "keep_id", "n"), "raw").select("raw", "rep", "keep_id", "n"), "linked")
-    reps = scratch.save(canonical.withColumnRenamed("first_id", "rep").join(sets.select("rep"), "rep", "left_semi").select("rep", "words", "fp"), "reps")
-    found = scratch.save(candidates(reps, reps.count(), threshold), "candidates")
+    reps = canonical.withColumnRenamed("first_id", "rep").join(sets.select("rep"), "rep", "left_semi").select("rep", "words")
+    reps = scratch.save(reps.mapInArrow(_fingerprinted, "rep long, words array<int>, fp binary"), "reps")
+    found = scratch.save(candidates(reps.withColumn("n", F.size("words")), reps.count(), threshold), "candidates")
     a, b = (reps.select(F.col("rep").alias(x), F.col("fp").alias(f"f{x}"), F.col("words").alias(f"w{x}")) for x in "ab")
     far = found.join(a.drop("wa"), "a").join(b.drop("wb"), "b").mapInArrow(_distance, "a long, b long, distance int")
     near = scratch.save(far.filter(F.col("distance") <= max_distance(threshold)).select("a", "b"), "near")

@@ -190,7 +190,7 @@ def test_near_duplicates_at_every_segment_length(spark, monkeypatch, length):
         # two fingerprints as of a pair of Jaccard similarity 0.7
         a = rng.integers(0, 256, near_duplicates.SYMBOLS, dtype=np.uint8)
         fp += [a, np.where(rng.random(len(a)) < 0.7, a, rng.integers(0, 256, len(a), dtype=np.uint8))]
-    df = frame(spark, [(i, bytes(f)) for i, f in enumerate(fp)], "rep long, fp binary")
+    df = frame(spark, [(i, bytes(f), 30) for i, f in enumerate(fp)], "rep long, fp binary, n int")
     monkeypatch.setattr(near_duplicates, "segment_length", lambda rows: length)
     got = [tuple(r) for r in near_duplicates.candidates(df, 1200, 0.7).collect()]
     near = {(i, i + 1) for i in range(0, 1200, 2)}
