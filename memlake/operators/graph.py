@@ -66,15 +66,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, save_every: int = 5) -> DataFrame:
-    """(node, rank) over (src, dst) edges: repeated edges accumulate, the rank of nodes without outgoing edges is lost.
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, save_every: int = 5, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, rank) over (src, dst) edges: repeated edges accumulate, the rank of nodes without outgoing edges is lost. ``nodes`` may name more nodes than the edges do.
 
     Ranks pass through one linear plan, cut by a saved table every ``save_every`` rounds.
     """
     scratch = Scratch(edges.sparkSession)
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     links = scratch.save(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).join(out, "src").select("src", "dst", (F.col("n") / F.col("deg")).alias("w")), "links")
-    nodes = scratch.save(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    nodes = scratch.save((ends if nodes is None else ends.unionByName(nodes.select("node"))).distinct(), "nodes")
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))

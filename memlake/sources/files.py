@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.runtime import Scratch
 from memlake.schema import EVENT, MEMORIES, normalize
 
 MEMORY_FIELDS = ("content", "content_hash", "memory_type", "tags", "metadata", "created_at", "created_at_iso", "updated_at", "updated_at_iso", "strength", "last_accessed_at", "valid_until")
@@ -36,13 +37,11 @@ def write_archive(memories: DataFrame, edges: DataFrame, path: str, schema: str
 
 def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(memories, edges) of an archive; a single line that can't be parsed, or a count that differs, stops the import."""
-    lines = spark.read.schema(ARCHIVE).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", "true").json(path).cache()
-    try:
-        bad = lines.filter("_corrupt_record is not null").count()
-        told = lines.filter("_type = 'manifest'").agg(F.max("count")).first()[0]
-        have = lines.filter("_type = 'memory'").count()
-    finally:
-        lines.unpersist()
+    lines = spark.read.schema(ARCHIVE).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", "true").json(path)
+    # the whole schema is read, as a line's fault shows in any of its fields
+    n = lambda c: F.count(F.when(c, 1))
+    lines = Scratch(spark).save(lines, "lines")
+    bad, told, have = lines.agg(n(F.col("_corrupt_record").isNotNull()), F.max(F.when(F.col("_type") == "manifest", F.col("count"))), n(F.col("_type") == "memory")).first()
     if bad or told != have:
         raise ValueError(f"archive {path}: {bad} unreadable lines, {have} memories of {told}")
     return lines.filter("_type = 'memory'").select(*MEMORY_FIELDS), lines.filter("_type = 'edge'").select(*EDGE_FIELDS)
@@ -85,6 +84,38 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 #: Import statements by file ending (fixed values).
 IMPORTS = {"py": r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", "js": r"(?:from\s+|require\()\s*['\"]([^'\"]+)['\"]()", "ts": r"(?:from\s+|require\()\s*['\"]([^'\"]+)['\"]()"}
+IMPORTS |= {"jsx": IMPORTS["js"], "tsx": IMPORTS["ts"]}
+
+
+#: Endings and folders of a source tree, standard modules, and the characters read of a file (fixed values).
+SOURCE_ENDINGS, SKIPPED_FOLDERS = ("py", "ts", "tsx", "js", "jsx"), (".git", "node_modules", ".venv", "venv", "__pycache__", "dist", "build")
+STANDARD, READ_CHARS, MAX_NODES = ("os", "sys", "json", "re", "time", "math", "io", "subprocess"), 60_000, 20_000
+
+
+def source_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, text) of the source files under a folder, hidden and generated folders aside; the first 60,000 characters of a text. Empty files have no row."""
+    globbed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(SOURCE_ENDINGS) + "}").load(root)
+    rel = F.regexp_replace(F.substring_index(F.col("path"), root.rstrip("/"), -1), "^/+", "")
+    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    rows = globbed.select(rel.alias("path"), F.substring(F.col("content").cast("string"), 1, READ_CHARS).alias("text"))
+    return rows.filter(~F.exists(folders, lambda d: d.isin(*SKIPPED_FOLDERS) | d.startswith(".")))
+
+
+def top_files(files: DataFrame, n: int = 5, max_nodes: int = MAX_NODES) -> DataFrame:
+    """(path, rank): the ``n`` files of a tree (path, text) that imports lead to most, by PageRank; no rows above ``max_nodes`` files (0: no bound).
+
+    Files without links have the least rank, so a tree without imports gives
+    its first files by name.
+    """
+    from memlake.operators.graph import pagerank
+
+    empty = files.sparkSession.createDataFrame([], "path string, rank double")
+    count = files.count()
+    if not count or 0 < max_nodes < count:
+        return empty
+    links = import_graph(files).join(files.select(F.col("path").alias("dst")), "dst", "left_semi")
+    ranked = pagerank(links.select("src", "dst"), nodes=files.select(F.col("path").alias("node")))
+    return ranked.select(F.col("node").alias("path"), "rank").orderBy(F.desc("rank"), "path").limit(n)
 
 
 def import_graph(files: DataFrame) -> DataFrame:
@@ -95,6 +126,6 @@ def import_graph(files: DataFrame) -> DataFrame:
         got = F.concat(F.regexp_extract_all("text", F.lit(p), F.lit(1)), F.regexp_extract_all("text", F.lit(p), F.lit(2)))
         mods = F.when(ending == ext, F.filter(got, lambda m: m != "")).otherwise(mods)
     rows = files.select("path", F.explode(F.array_distinct(mods)).alias("module"))
-    rows = rows.withColumn("name", F.regexp_replace(F.regexp_extract("module", r"([^./]+)(?:\.[jt]s)?$", 1), "^$", "?"))
+    rows = rows.filter(~F.col("module").isin(*STANDARD)).withColumn("name", F.regexp_replace(F.regexp_extract("module", r"([^./]+)(?:\.[jt]s)?$", 1), "^$", "?"))
     targets = files.groupBy(F.regexp_extract("path", r"([^/]+)\.\w+$", 1).alias("name")).agg(F.min("path").alias("target"))
     return rows.join(targets, "name", "left").select(F.col("path").alias("src"), F.coalesce("target", "module").alias("dst")).filter("src <> dst")

@@ -144,3 +144,16 @@ def test_pairs_in_many_blocks(spark):
     got = {(r.id, r.neighbor_id) for r in V.neighbours_of(df, df.filter("id < 9"), 2, -1.0, 3, ["g"]).collect()}
     best = lambda i: sorted((j for j in range(90) if j % 3 and j != i), key=lambda j: -(x[i] @ x[j]))[:2]
     assert got == {(i, j) for i in range(9) if i % 3 for j in best(i)}
+
+
+def test_top_files_of_a_tree(spark, tmp_path):
+    from memlake.sources import files
+
+    tree = {"app/main.py": "import core\nimport os\nfrom util import x\n", "app/core.py": "from util import y\n", "app/util.py": "x = 1\n", "web/page.tsx": "import a from './core'\n", "node_modules/z.js": "require('util')", ".hidden/h.py": "import util", "notes.txt": "import util", "alone.py": "y = 2\n"}
+    for path, text in tree.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    got = files.source_tree(spark, str(tmp_path))
+    assert {r.path for r in got.collect()} == {"app/main.py", "app/core.py", "app/util.py", "web/page.tsx", "alone.py"}
+    assert [r.path for r in files.top_files(got, 2).collect()] == ["app/util.py", "app/core.py"]
+    assert files.top_files(got, 2, max_nodes=3).count() == 0 and files.top_files(got.limit(0)).count() == 0
