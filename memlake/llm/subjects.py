@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from memlake.runtime import Scratch
 
-BUCKETS, DIM, SHARDS, STEPS, RATE, DECAY, SCALE = 1 << 15, 24, 8, 24, 0.05, 1e-6, 4.0
+BUCKETS, DIM, SHARDS, STEPS, RATE, DECAY, SCALE = 1 << 15, 24, 4, 24, 0.05, 1e-6, 4.0
 MAX_LABELED, MAX_SUBJECTS, SMOOTH, COUNTERS, THRESHOLD = 40_000, 1000, 3e-4, 1 << 18, 0.2
 #: Runs of letters of any script and length that stand free, not inside paths, names and calls of code.
 WORD = re.compile(r"(?<![\w/.])[^\W\d_]+(?![\w/(]|\.\w)")
@@ -155,12 +155,12 @@ def _count(batches):
     yield pa.RecordBatch.from_pydict({"counter": pa.array(at, pa.int32()), "n": pa.array(counts[at], pa.int64())})
 
 
-def _pack(params) -> bytes:
-    return b"".join(p.astype(np.float32).tobytes() for p in params)
+def _pack(params, kind=np.float32) -> bytes:
+    return b"".join(p.astype(kind).tobytes() for p in params)
 
 
-def _unpack(raw: bytes, outputs: int):
-    flat = np.frombuffer(raw, np.float32)
+def _unpack(raw: bytes, outputs: int, kind=np.float32):
+    flat = np.frombuffer(raw, kind).astype(np.float32)
     a, b = BUCKETS * DIM, BUCKETS * DIM + DIM * outputs
     return flat[:a].reshape(BUCKETS, DIM), flat[a:b].reshape(DIM, outputs), flat[b:]
 
@@ -191,7 +191,8 @@ def _sums(shared, m: int):
                 g = gradients(corpus, y.astype(np.float32), params)
                 total = g if total is None else [p + q for p, q in zip(total, g)]
         if total is not None:
-            yield pa.RecordBatch.from_pydict({"g": pa.array([_pack(total)], pa.binary())})
+            # at half precision, as the driver gets them in every step
+            yield pa.RecordBatch.from_pydict({"g": pa.array([_pack(total, np.float16)], pa.binary())})
 
     return run
 
@@ -227,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], steps: int = ST
         # SHARDS rows at most, of as many floats as there are parameters
         grads = None
         for r in shards.mapInArrow(_sums(common, m), "g binary").collect():
-            part = _unpack(bytes(r[0]), m)
+            part = _unpack(r[0], m, np.float16)
             grads = part if grads is None else [p + q for p, q in zip(grads, part)]
         model.step([g / np.float32(total) for g in grads])
         common.destroy()
