@@ -446,6 +446,17 @@ def test_survivors_in_a_hot_set(spark):
     assert fusion.survivors(frame(spark, [], "set_id long, memory_id long"), mem).count() == 0
 
 
+def test_survivors_run_no_stage_without_effect(spark, monkeypatch):
+    m = [(k, s, 1.6e9, f'{{"credibility": {c}, "source_type": "{n}"}}') for k, (s, c, n) in enumerate([(1.0, 0.9, "a"), (2.0, 0.5, "b"), (2.0, 0.4, "c"), (2.0, 0.4, "d")])]
+    mem = frame(spark, m, "id long, strength double, updated_at double, metadata string")
+    sets = frame(spark, [(1, k) for k in range(4)], "set_id long, memory_id long")
+    voted = {r.field: r.value for r in fusion.fuse(fusion.claims(sets, mem)).collect()}
+    monkeypatch.setattr(fusion, "fuse", None)
+    got = {r.field_name: r.winner_id for r in fusion.survivors(sets, mem).collect()}
+    # three votes outweigh one where votes decide; the rule asks the most credible member alone
+    assert voted["strength"] == "2.0" and got == {"strength": 0, "updated_at": 0, "metadata": 0}
+
+
 # --- 8 and 9 ---
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(f"{tokens.TOKENIZERS}/{tokens.NAME}"), reason="no tokenizer")
 TEXTS = ["Hello  world\n\n don't", "", None, " ", "naïve 東京 😀 ‍  x", "<|endoftext|> raw", "a" * 5000, "tab\t\ttab  \r\n", "١٢٣ ½ Ⅷ", "͸\U0001fae9 x", "x\x85y\x1cz"]
