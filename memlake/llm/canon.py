@@ -13,6 +13,8 @@ import re
 import unicodedata
 
 RUN = re.compile(r"[^\W_]+")
+#: Of the ASCII characters letters in lower case and digits, blanks for all others.
+_ASCII = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(128))
 
 #: One field of labelled text: separator, decoration, label, decoration, sign.
 _FIELD = re.compile(
@@ -34,7 +36,7 @@ def fold(text: str) -> str:
 
 
 def runs(text: str) -> list[str]:
-    return RUN.findall(fold(text))
+    return text.translate(_ASCII).split() if text.isascii() else RUN.findall(fold(text))
 
 
 def _key(kind: str, text: str) -> bytes:
@@ -62,18 +64,20 @@ def fields(text: str) -> list[tuple[str, str]] | None:
         rest, found = _XML.sub("", t), _XML.findall(t)
         if found and not RUN.search(rest):
             return found
-    for pattern in (_FIELD, _BRACKETED, _HEADING):
-        marks = list(pattern.finditer(t))
-        if marks and not RUN.search(t[: marks[0].start()]):
+    first = RUN.search(t)
+    for pattern in (_FIELD, _BRACKETED, _HEADING) if first else ():
+        # no run may stand before the first field
+        if any(pattern.match(t, at) for at in range(first.start() + 1)):
+            marks = list(pattern.finditer(t))
             ends = [m.start() for m in marks[1:]] + [len(t)]
             return [(next(g for g in m.groups() if g), t[m.end() : e]) for m, e in zip(marks, ends)]
     return None
 
 
-def keys(text: str | None) -> tuple[bytes, bytes | None]:
-    """(key of the runs in order, key of the labelled fields or None). A null counts as an empty text."""
+def keys(text: str | None, found: list[str] | None = None) -> tuple[bytes, bytes | None]:
+    """(key of the runs in order, key of the labelled fields or None). A null counts as an empty text; ``found`` are its runs, where they are known."""
     text = text or ""
-    seq = _key("s", " ".join(runs(text)))
+    seq = _key("s", " ".join(runs(text) if found is None else found))
     got = fields(text)
     if not got:
         return seq, None

@@ -26,11 +26,12 @@ def _canonical(extra=None):
     def run(batches):
         for b in batches:
             texts = b.column("content").to_pylist()
-            ks = [canon.keys(t) for t in texts]
+            runs = [canon.runs(t or "") for t in texts]
+            ks = [canon.keys(t, r) for t, r in zip(texts, runs)]
             columns = {"raw": b.column("raw"), "n": b.column("n"), "first_id": b.column("first_id")}
             columns |= {"seq_key": pa.array([k[0] for k in ks], pa.binary()), "field_key": pa.array([k[1] for k in ks], pa.binary())}
             if extra:
-                columns |= extra(texts)
+                columns |= extra(texts, runs)
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -39,8 +40,8 @@ def _canonical(extra=None):
 def copy_classes(df: DataFrame, id_col: str = "id", text_col: str = "content", extra=None, extra_schema: str = "") -> tuple[DataFrame, DataFrame, int, Scratch]:
     """(rows: id, raw), (survivors: raw, n, keep_id, copies) of the copy relation.
 
-    ``extra`` maps a list of texts to more Arrow columns, made in the same pass
-    and found in the scratch table ``canonical``.
+    ``extra`` maps a list of texts and their runs to more Arrow columns, made in
+    the same pass and found in the scratch table ``canonical``.
     """
     scratch = Scratch(df.sparkSession)
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))

@@ -25,6 +25,7 @@ similarity 1; repeated ids count once; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -41,18 +42,20 @@ SYMBOLS, SHORTEST, FEW, MISS = 128, 4, 1_000_000, 1e-3
 #: The low bits of so many symbols go with every key, and the logarithm of the number of words to this base in one byte.
 LOW, SIZE_BASE = 120, 1.05
 MAX_BLOCK, SAMPLE, MAX_BROADCAST = 16384, 32, 200_000
+#: Pairs compared at a time, rows of a large group at a time, and the least rows of such a group.
+PAIRS, TALL, WIDE = 65536, 64, 64
 _RNG = np.random.default_rng(20260301)
 _A = (_RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint64).astype(np.uint32)
 
 
 class _Hashes(dict):
-    """Word to 32-bit hash, forgetting all when it has grown large."""
+    """Word to 32-bit hash (a run that is no word to none), forgetting all when it has grown large."""
 
     def __missing__(self, word):
         if len(self) > 500_000:
             self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")
+        self[word] = h = None if len(word) < 2 else int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")
         return h
 
 
@@ -73,13 +76,20 @@ def fingerprints(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _extra():
     cache = _Hashes()
 
-    def run(texts):
-        sets = [np.unique(np.fromiter((cache[w] for w in ws), np.uint32, len(ws))) if (ws := words(t)) else np.empty(0, np.uint32) for t in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        flat = np.concatenate(sets).view(np.int32) if sets else np.empty(0, np.int32)
+    def run(texts, runs):
+        # the runs of ASCII are known, in lower case
+        sets = [set(map(cache.__getitem__, r if t is not None and t.isascii() else words(t))) for t, r in zip(texts, runs)]
+        for s in sets:
+            s.discard(None)
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = np.fromiter(itertools.chain.from_iterable(sets), np.uint64, n.sum())
+        # the hashes of each text in order
+        flat = np.sort(np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(32), n) | flat).astype(np.uint32)
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        raw, ends = memoryview(flat.tobytes()), (4 * offsets).tolist()
         return {
-            "set_key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-            "words": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+            "set_key": pa.array([hashlib.blake2b(raw[s:e], digest_size=16).digest() if s < e else None for s, e in itertools.pairwise(ends)], pa.binary()),
+            "words": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int32))),
         }
 
     return run
@@ -127,7 +137,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _keys(length: int, count: int):
-    """(key, rep, s0, s1): the keys of the ball of radius 1 in each table, with the low bits of the fingerprint and the size of the set."""
+    """(key, rep, s0, s1, own): the keys of the ball of radius 1 in each table, with the low bits of the fingerprint, the size of the set, and the symbol left out and 1 (0 where it is the first)."""
     parts = segments(length, count)
 
     def run(batches):
@@ -139,6 +149,7 @@ def _keys(length: int, count: int):
             low[:, LOW // 8] = np.minimum(255, np.log(np.maximum(1, b.column("n").to_numpy())) / math.log(SIZE_BASE)).astype(np.uint8)
             low = low.view("<u8")
             keys = np.empty((len(fp), count, length), np.uint64)
+            own = np.zeros((len(fp), count, length), np.int16)
             for t, symbols in enumerate(parts):
                 seg = fp[:, symbols].astype(np.uint64)
                 for left_out in range(length):
@@ -147,51 +158,76 @@ def _keys(length: int, count: int):
                         if k != left_out:
                             key = _mixed(key + seg[:, k] + np.uint64(1))
                     keys[:, t, left_out] = key
+                    if left_out:
+                        own[:, t, left_out] = fp[:, symbols[left_out]].astype(np.int16) + 1
             each = count * length
             at = pa.array(np.repeat(np.arange(len(fp)), each))
             sketch = [pa.array(np.repeat(low[:, k], each).view(np.int64)) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), b.column("rep").take(at), *sketch], names=["key", "rep", "s0", "s1"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), b.column("rep").take(at), *sketch, pa.array(own.reshape(-1))], names=["key", "rep", "s0", "s1", "own"])
 
     return run
 
 
-def _close_pairs(key, part, rep, sketch, chunk, limit, spread):
-    """Pairs within the groups of sorted rows of equal key and part whose low bits differ in at most ``limit`` and whose size bytes in at most ``spread``."""
+def _close_pairs(key, part, rep, sketch, own, chunk, limit, spread):
+    """(a, b) within the groups of sorted rows of equal key and part whose low bits differ in at most ``limit`` and whose size bytes in at most ``spread``.
+
+    Rows whose segments are equal meet at every key of a table, and count at
+    the one that leaves out the first symbol alone.
+    """
     size = (sketch[1] >> np.uint64(LOW - 64)).astype(np.int16)
-    tail = sketch[1] & np.uint64((1 << LOW - 64) - 1)
+    head, tail = sketch[0], sketch[1] & np.uint64((1 << LOW - 64) - 1)
     new = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
-    ends = np.repeat(np.append(new, len(key)), np.diff(np.concatenate([[0], new, [len(key)]])))
-    count = ends - np.arange(len(key)) - 1
-    rows = np.flatnonzero(count)
+    starts, ends = np.append(0, new), np.append(new, len(key))
+
+    def met(i, j):
+        # rows of two chunks meet here, those of one chunk in its own task
+        keep = (np.abs(size[i] - size[j]) <= spread) & ((own[i] == 0) | (own[i] != own[j])) & ((part[i] == 0) | (chunk[i] != chunk[j]))
+        a, b = rep[i[keep]], rep[j[keep]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    # small groups side by side
+    n = ends - starts
+    small = n < WIDE
+    count = np.repeat(ends, n) - np.arange(len(key)) - 1
+    rows = np.flatnonzero(np.repeat(small, n) & (count > 0))
     count = count[rows]
     cum = np.cumsum(count)
     at = 0
     while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(cum, (cum[at - 1] if at else 0) + 2_000_000, "right")))
+        to = max(at + 1, int(np.searchsorted(cum, (cum[at - 1] if at else 0) + PAIRS, "right")))
         c = count[at:to]
         i = np.repeat(rows[at:to], c)
-        j = i + 1 + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
         at = to
-        first = np.bitwise_count(sketch[0][i] ^ sketch[0][j])
-        keep = first <= limit
-        i, j, first = i[keep], j[keep], first[keep]
-        keep = (first + np.bitwise_count(tail[i] ^ tail[j]) <= limit) & (np.abs(size[i] - size[j]) <= spread)
-        # rows of two chunks meet here, those of one chunk in its own task
-        keep &= (part[i] == 0) | (chunk[i] != chunk[j])
-        a, b = rep[i[keep]], rep[j[keep]]
-        if len(a):
-            yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        keep = np.flatnonzero(np.bitwise_count(head[i] ^ head[j]) + np.bitwise_count(tail[i] ^ tail[j]) <= limit)
+        yield met(i[keep], j[keep])
+    # large ones by size, rows against those that aren't too large for them
+    for s, e in zip(starts[~small].tolist(), ends[~small].tolist()):
+        order = s + np.argsort(size[s:e], kind="stable")
+        x, y, z = head[order], tail[order], size[order]
+        far = np.searchsorted(z, z + spread, "right").tolist()
+        for at in range(0, e - s, TALL):
+            to = min(at + TALL, e - s)
+            for left in range(at, far[to - 1], PAIRS // TALL):
+                right = min(left + PAIRS // TALL, far[to - 1])
+                differ = np.bitwise_count(x[at:to, None] ^ x[left:right])
+                differ += np.bitwise_count(y[at:to, None] ^ y[left:right])
+                i, j = np.divmod(np.flatnonzero(differ <= limit), right - left)
+                i, j = i + at, j + left
+                later = i < j
+                yield met(order[i[later]], order[j[later]])
 
 
 def _meet(limit: int, spread: int):
-    """Rows sorted by key and part to close pairs, groups taken as they end."""
+    """Rows sorted by key (and part, where keys are cut) to close pairs, groups taken as they end."""
 
     def run(batches):
         kept: tuple | None = None
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = tuple(b.column(c).to_numpy() for c in ("key", "part", "rep", "s0", "s1", "chunk"))
+            whole = np.zeros(b.num_rows, np.int32)
+            rows = tuple(b.column(c).to_numpy() if c in b.schema.names else whole for c in ("key", "part", "rep", "s0", "s1", "own", "chunk"))
             if kept:
                 rows = tuple(np.concatenate([x, y]) for x, y in zip(kept, rows))
             key, part = rows[0], rows[1]
@@ -205,17 +241,30 @@ def _meet(limit: int, spread: int):
 
 
 def _batch(rows, limit, spread):
-    key, part, rep, s0, s1, chunk = rows
+    key, part, rep, s0, s1, own, chunk = rows
     if not len(key):
         return
-    for pairs in _close_pairs(key, part, rep, (s0.view(np.uint64), s1.view(np.uint64)), chunk, limit, spread):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    some, n = [], 0
+
+    def made():
+        a, b = (np.concatenate(x) for x in zip(*some))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for pairs in _close_pairs(key, part, rep, (s0.view(np.uint64), s1.view(np.uint64)), own, chunk, limit, spread):
+        if len(pairs[0]):
+            some.append(pairs)
+            n += len(pairs[0])
+        if n >= 1_000_000:
+            yield made()
+            some, n = [], 0
+    if n:
+        yield made()
 
 
 def candidates(reps: DataFrame, rows: int, threshold: float) -> DataFrame:
     """(a, b), a < b, each once: rows of (rep, fp, n words) that multi-index hashing finds, by the low bits of their fingerprints and their sizes, which can't differ by more than the threshold."""
     length = segment_length(rows)
-    schema = "key long, rep long, s0 long, s1 long"
+    schema = "key long, rep long, s0 long, s1 long, own short"
     make = _keys(length, tables(length, threshold))
     spread = reps.select("rep", "fp", "n").mapInArrow(make, schema)
     sample = reps.select("rep", "fp", "n").filter(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(SAMPLE)) == 0).mapInArrow(make, schema)
@@ -229,13 +278,11 @@ def candidates(reps: DataFrame, rows: int, threshold: float) -> DataFrame:
         # chunk c meets every other chunk in the part (min, max) and its own rows in part 0 of a key of its own
         spread = spread.withColumn("meet", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         lo, hi = F.least("chunk", "meet"), F.greatest("chunk", "meet")
-        own = F.col("chunk") == F.col("meet")
+        same = F.col("chunk") == F.col("meet")
         key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", lo, hi))
-        spread = spread.select(key.alias("key"), F.when(own, 0).otherwise(1).alias("part"), "rep", "s0", "s1", "chunk")
-    else:
-        spread = spread.select("key", F.lit(0).alias("part"), "rep", "s0", "s1", F.lit(0).alias("chunk"))
+        spread = spread.select(key.alias("key"), F.when(same, 0).otherwise(1).alias("part"), "rep", "s0", "s1", "own", "chunk")
     limit = max_distance(threshold, LOW, 0.5, 3.0)
-    met = spread.repartition("key").sortWithinPartitions("key", "part").mapInArrow(_meet(limit, math.ceil(-math.log(threshold) / math.log(SIZE_BASE))), "a long, b long")
+    met = spread.repartition("key").sortWithinPartitions("key", *(["part"] if n else [])).mapInArrow(_meet(limit, math.ceil(-math.log(threshold) / math.log(SIZE_BASE))), "a long, b long")
     return met.distinct()
 
 

@@ -4,6 +4,7 @@ import itertools
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 llm = pytest.importorskip("memlake.llm")
@@ -197,6 +198,43 @@ def test_near_duplicates_at_every_segment_length(spark, monkeypatch, length):
     assert len(got) == len(set(got)) and len(set(got) & near) >= 0.985 * len(near)
 
 
+def test_rows_of_equal_segments_meet_once_a_table():
+    fp = np.random.default_rng(2).integers(0, 256, near_duplicates.SYMBOLS, dtype=np.uint8).tobytes()
+    rows = pa.RecordBatch.from_arrays([pa.array([7, 3]), pa.array([fp, fp]), pa.array([30, 30], pa.int32())], names=["rep", "fp", "n"])
+    made = pa.Table.from_batches(near_duplicates._keys(4, 7)([rows])).sort_by("key")
+    # a batch for each key, so that no pair is dropped because it was seen in its batch
+    batches = [made.slice(k, 2).combine_chunks().to_batches()[0] for k in range(0, made.num_rows, 2)]
+    got = [p for b in near_duplicates._meet(30, 8)(batches) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(batches) == 28 and got == [(3, 7)] * 7
+
+
+def test_close_pairs_of_small_and_large_groups():
+    rng = np.random.default_rng(4)
+    n = [1, 2, 5, 63, 64, 200, 3]
+    key, part = np.repeat([-5, -5, 0, 1, 2, 2, 9], n), np.repeat([0, 1, 0, 0, 0, 1, 1], n)
+    base, flips = rng.integers(0, 2, 120), rng.random((len(key), 120)) < 0.14
+    size = rng.integers(60, 90, len(key)).astype(np.uint8)
+    low = np.concatenate([np.packbits(base ^ flips, axis=1, bitorder="little"), size[:, None]], axis=1).view("<u8")
+    rep, own, chunk = rng.permutation(len(key)) - 100, rng.integers(0, 3, len(key)).astype(np.int16), rng.integers(0, 3, len(key))
+    pairs = near_duplicates._close_pairs(key, part, rep, (low[:, 0].copy(), low[:, 1].copy()), own, chunk, 30, 8)
+    got = sorted((int(a), int(b)) for x, y in pairs for a, b in zip(x, y))
+    alike = lambda i, j: (flips[i] ^ flips[j]).sum() <= 30 and abs(int(size[i]) - int(size[j])) <= 8 and (own[i] == 0 or own[i] != own[j]) and (part[i] == 0 or chunk[i] != chunk[j])
+    want = sorted((int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))) for i, j in itertools.combinations(range(len(key)), 2) if key[i] == key[j] and part[i] == part[j] and alike(i, j))
+    assert len(want) > 1000 and got == want
+
+
+@pytest.mark.parametrize("text", ["Decision: use a_b | Reason: x", "** - Decision: A\nreason => b c", "a, decision: b", "[Reason] x\n[Decision] y", "plain text, no field: here", "É Straße İx ß", "--- \x1c Größe: 5", "", "!?"])
+def test_runs_and_fields_as_by_plain_search(text):
+    assert canon.runs(text) == canon.RUN.findall(canon.fold(text)) and canon.keys(text, canon.runs(text)) == canon.keys(text)
+    marks = [list(p.finditer(text.strip())) for p in (canon._FIELD, canon._BRACKETED, canon._HEADING)]
+    first = next((m for m in marks if m and not canon.RUN.search(text.strip()[: m[0].start()])), None)
+    assert (canon.fields(text) is None) == (first is None)
+    got = near_duplicates._extra()([text], [canon.runs(text)])
+    cache = near_duplicates._Hashes()
+    want = np.unique(np.array([cache[w] for w in near_duplicates.words(text)], np.uint32))
+    assert got["words"].to_pylist() == [want.view(np.int32).tolist()]
+
+
 def test_tables_follow_the_length():
     counts = [near_duplicates.tables(m, 0.7) for m in range(4, 9)]
     assert counts == sorted(counts) and counts[0] < 10
